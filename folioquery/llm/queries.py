@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, one for each operator, and their SQL."""
 
-from folioquery.llm import decontam, pii, quality, secrets
+from folioquery.llm import bpe, decontam, pii, quality, secrets, token_count, token_store
 from folioquery.sources.tables import table
 
 
@@ -8,9 +8,12 @@ def queries() -> dict:
     docs = lambda s, d: table(s, d, "documents")
     return {
         "op4_quality_rules": lambda s, d: quality.quality_query(docs(s, d)),
+        "op5_bpe": lambda s, d: bpe.bpe_query(docs(s, d)),
+        "op6_token_store": lambda s, d: token_store.store_query(docs(s, d)),
         "op7_decontamination": lambda s, d: decontam.decontam_query(docs(s, d), table(s, d, "benchmark")),
         "op8_pii": lambda s, d: pii.pii_query(docs(s, d)),
         "op9_secret_scan": lambda s, d: secrets.secrets_query(docs(s, d)),
+        "op10_token_counts": lambda s, d: token_count.count_tokens(docs(s, d)),
     }
 
 
