@@ -50,7 +50,7 @@ class Counter(dict):
             self.automaton.add_word(p, (len(p), s, i == unknown))  # the unknown piece's own name counts as unknown text
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in pieces) - PENALTY
-        self.byte_fallback = byte_fallback
+        self.byte_fallback, self.name = byte_fallback, len(pieces[unknown][0].encode())
 
     def __missing__(self, word: str) -> tuple[int, float]:
         value = self.count(MARK + word)
@@ -62,15 +62,20 @@ class Counter(dict):
 
     def count(self, word: str) -> tuple[int, float]:
         n = len(word)
-        score, pieces, unk, begin = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1), [-1] * (n + 1)
+        score, pieces, unk, begin = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         single = [False] * n
         at = 0
 
         def put(a: int, b: int, s: float, unknown: bool) -> None:
-            more = 1
-            if unknown:
-                more = len(word[a:b].encode("utf-8", "surrogatepass")) if self.byte_fallback else int(not unk[a])
-            score[b], pieces[b], unk[b], begin[b] = s, pieces[a] + more, unknown, a
+            # unk: 0 known, 1 a run of unknown text, 2 the unknown piece's name alone, which is one piece
+            more, state = 1, 0
+            if unknown and self.byte_fallback:
+                state = 2 if b - a == self.name and not unk[a] else 1
+                if state == 1:
+                    more = len(word[a:b].encode("utf-8", "surrogatepass")) + (self.name - 1) * (unk[a] == 2)
+            elif unknown:
+                more, state = int(not unk[a]), 1
+            score[b], pieces[b], unk[b], begin[b] = s, pieces[a] + more, state, a
 
         def settle(upto: int) -> None:
             """Close the ends before ``upto``: unknown characters compete as well."""
