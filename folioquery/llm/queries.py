@@ -1,12 +1,13 @@
 """The registered queries of this subpackage, one for each operator, and their SQL."""
 
-from folioquery.llm import bpe, decontam, pii, quality, secrets, token_count, token_store
+from folioquery.llm import bpe, decontam, near_dup, pii, quality, secrets, token_count, token_store
 from folioquery.sources.tables import table
 
 
 def queries() -> dict:
     docs = lambda s, d: table(s, d, "documents")
     return {
+        "op3_near_duplicates": lambda s, d: near_dup.near_dup_query(docs(s, d)),
         "op4_quality_rules": lambda s, d: quality.quality_query(docs(s, d)),
         "op5_bpe": lambda s, d: bpe.bpe_query(docs(s, d)),
         "op6_token_store": lambda s, d: token_store.store_query(docs(s, d)),
