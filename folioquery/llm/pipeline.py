@@ -2,23 +2,51 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquery.llm import decontam, quality
+from folioquery.llm import bpe, decontam, line_dedup, near_dup, quality
+from folioquery.plans.ship import ship
 from folioquery.plans.workspace import Workspace
 from folioquery.sources.tables import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or are likely junk go."""
     return quality.filter_quality(docs)
 
 
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document has, but for small edits, go; emptied documents too."""
+    ship(spark)
+    return line_dedup.drop_repeated_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    ship(spark)
+    return near_dup.drop_near_duplicates(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with passages of two or more benchmark items go."""
     return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality_rules", quality_rules), ("benchmark_decontamination", benchmark_decontamination)]
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the text decoded from them."""
+    ship(spark)
+    return bpe.bpe_query(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", repeated_lines),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("bpe_encoding", encoding),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result is written to the shared folder and read again as the next one's input."""
     ws = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:

@@ -1,20 +1,39 @@
 """The registered queries of this subpackage, one for each operator, and their SQL."""
 
-from folioquery.llm import bpe, decontam, near_dup, pii, quality, secrets, token_count, token_store
+from functools import wraps
+
+from folioquery.llm import bpe, decontam, line_dedup, near_dup, pii, quality, secrets, token_count, token_store, toxicity
+from folioquery.plans.ship import ship
 from folioquery.sources.tables import table
 
 
+def _over(*names: str):
+    """A query over whole tables: reads them, hands the package to the executors."""
+
+    def made(query):
+        @wraps(query)
+        def run(spark, folder):
+            ship(spark)
+            return query(*[table(spark, folder, n) for n in names])
+
+        return run
+
+    return made
+
+
 def queries() -> dict:
-    docs = lambda s, d: table(s, d, "documents")
+    docs, marked, bench = _over("documents"), _over("documents", "labels"), _over("documents", "benchmark")
     return {
-        "op3_near_duplicates": lambda s, d: near_dup.near_dup_query(docs(s, d)),
-        "op4_quality_rules": lambda s, d: quality.quality_query(docs(s, d)),
-        "op5_bpe": lambda s, d: bpe.bpe_query(docs(s, d)),
-        "op6_token_store": lambda s, d: token_store.store_query(docs(s, d)),
-        "op7_decontamination": lambda s, d: decontam.decontam_query(docs(s, d), table(s, d, "benchmark")),
-        "op8_pii": lambda s, d: pii.pii_query(docs(s, d)),
-        "op9_secret_scan": lambda s, d: secrets.secrets_query(docs(s, d)),
-        "op10_token_counts": lambda s, d: token_count.count_tokens(docs(s, d)),
+        "op1_line_dedup": docs(line_dedup.line_dedup_query),
+        "op2_toxicity": marked(toxicity.toxicity_query),
+        "op3_near_duplicates": docs(near_dup.near_dup_query),
+        "op4_quality_rules": docs(quality.quality_query),
+        "op5_bpe": docs(bpe.bpe_query),
+        "op6_token_store": docs(token_store.store_query),
+        "op7_decontamination": bench(decontam.decontam_query),
+        "op8_pii": docs(pii.pii_query),
+        "op9_secret_scan": docs(secrets.secrets_query),
+        "op10_token_counts": docs(token_count.count_tokens),
     }
 
 
