@@ -1,9 +1,13 @@
-"""Registry of the library's queries and their SQL twins."""
+"""All queries of the library and their SQL twins."""
+
+from folioquery.plans import q_align, q_corpus, q_graph, q_layout, q_records, registry
+
+__all__ = ["q_align", "q_corpus", "q_graph", "q_layout", "q_records"]
 
 
 def queries() -> dict:
-    return {}
+    return registry.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return registry.SQL
