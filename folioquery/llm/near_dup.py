@@ -5,10 +5,10 @@
 2. Inverted lists of retained values bring together sets that share one. In a list, the
    share of common values among the K least of both (a union sketch) estimates the
    similarity; only pairs far below the threshold are put aside (chance under 1e-9 for a
-   pair at the threshold). A list gives the tree edges of its graph, not all its pairs.
+   pair at the threshold). A list gives a star for each component of its graph, not pairs.
 3. Components of those edges are clusters of candidates. Their full sets are read again
-   and compared exactly, block against block, again giving tree edges only; components
-   of the confirmed links are the result.
+   and compared exactly, block against block, again giving stars only; components of
+   the confirmed links are the result.
 
 A list or cluster too large for one task is cut into blocks, and each pair of blocks is a
 task of its own.
@@ -83,25 +83,34 @@ def needed(k: int, percent: int = PERCENT, risk: float = 1e-9) -> int:
     return max(c, 1)
 
 
-def _tree(n: np.ndarray, percent: int, common) -> list[tuple[int, int]]:
-    """Tree edges of the graph over members sorted by set size n. common(i, members) says
-    which of them are linked to i. Members that are reached aren't compared again."""
-    left, edges = np.ones(len(n), bool), []
+def _components(n: np.ndarray, percent: int, common) -> list[list[int]]:
+    """Components of two or more of the graph over members sorted by set size n.
+    common(i, members) says which of them are linked to i. Members that are reached
+    aren't compared again."""
+    left, found = np.ones(len(n), bool), []
     low = np.searchsorted(n * 100, n * percent, "left")
     high = np.searchsorted(n * percent, n * 100, "right")
     for root in range(len(n)):
         if not left[root]:
             continue
-        left[root], queue = False, [root]
+        left[root], queue, whole = False, [root], [root]
         while queue:
             i = queue.pop()
             some = np.flatnonzero(left[low[i] : high[i]]) + low[i]
             if len(some):
                 got = some[common(i, some)]
                 left[got] = False
-                edges += [(i, int(j)) for j in got]
                 queue += got.tolist()
-    return edges
+                whole += got.tolist()
+        if len(whole) > 1:
+            found.append(whole)
+    return found
+
+
+def star(ids) -> list[tuple]:
+    """Edges from the smallest id to the others."""
+    low = min(ids)
+    return [(low, x) for x in ids if x != low]
 
 
 def _similar(percent: int, k: int):
@@ -127,8 +136,8 @@ def _similar(percent: int, k: int):
 def _list_edges(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int, test) -> list[tuple[int, int]]:
     order = np.argsort(n, kind="stable")
     ids, n, sketch = ids[order], n[order], sketch[order]
-    rows = _tree(n, percent, lambda i, some: test(n[some], sketch[some], n[i], np.broadcast_to(sketch[i], (len(some), sketch.shape[1]))))
-    return [(int(ids[a]), int(ids[b])) for a, b in rows]
+    found = _components(n, percent, lambda i, some: test(n[some], sketch[some], n[i], np.broadcast_to(sketch[i], (len(some), sketch.shape[1]))))
+    return [e for whole in found for e in star(ids[whole].tolist())]
 
 
 def small_pairs(at: np.ndarray, most: int):
@@ -159,7 +168,7 @@ def _exact_edges(ids: list, sets: list[np.ndarray], percent: int) -> list[tuple[
         mask[own] = False
         return 100 * hit >= percent * (n[some] + n[i] - hit)
 
-    return [(ids[a], ids[b]) for a, b in _tree(n, percent, common)]
+    return [e for whole in _components(n, percent, common) for e in star([ids[i] for i in whole])]
 
 
 def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
