@@ -259,7 +259,7 @@ def cluster(docs: DataFrame, text: str = "text", percent: int = PERCENT, k: int
             sets = [shingles(t, size) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "cluster", "n", "set"])
 
-    near_rows = rows.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+    near_rows = rows.hint("merge").join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
     sets = near_rows.select("doc_id", text, "cluster").mapInArrow(full_sets, "doc_id long, cluster long, n long, set binary")
     weight = clusters.join(held.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("w"))
     weight = weight.select(F.col("component").alias("cluster"), _split(F.col("w"), set_block).alias("blocks"))
