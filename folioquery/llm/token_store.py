@@ -5,8 +5,8 @@ last ids says so; equal chunks are stored once, by digest. Folder of a store:
 
   recipes/   parquet in ascending doc_id order, one file a part: part, doc_id, n_tokens,
              chunks (digest and length of each chunk, in order)
-  chunks/    parquet: digest, payload (little-endian ids, 16 bits wide if the vocabulary
-             allows, else 32)
+  data/      parquet: kind=chunk: key (the chunk's digest), payload (little-endian ids, 16
+             bits wide if the vocabulary allows, else 32); kind=recipe: the recipes as made
   manifest/  parquet: part, first_id, documents, tokens, root (Merkle root of the part's
              documents, each leaf the hash of a recipe)
 
@@ -14,18 +14,18 @@ Reading checks every payload against its digest and every part against its root.
 """
 
 import hashlib
-import os
-import struct
+import uuid
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioquery.llm.bpe import encoder_path
-from folioquery.llm.bytelevel import MEMO, Encoder
+from folioquery.llm.bytelevel import Encoder
 from folioquery.plans.workspace import Workspace
 
 END = 0
@@ -34,49 +34,37 @@ LEAST, MOST, WINDOW, MASK = 64, 4096, 16, 0xFF
 _POLY = 0xEDB88320
 
 
-class LibraryEncoder(Encoder):
-    """Chunks go to the tokenizers library, many at a time; results are remembered."""
+class FastEncoder:
+    """The tokenizer file's vocabulary, merges and special tokens run by a library's whole-text
+    encoder: ids in order of merges are its ranks."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        super().__init__(path)
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-
-    def _chunk(self, chunk: str) -> bytes:
-        ids = self.library.encode(chunk, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode_many(self, texts: list) -> list[bytes]:
-        memo = self.spaced
-        for at in range(0, len(texts), 256):
-            new: set = set()
-            for t in texts[at : at + 256]:
-                if t:
-                    new.update(t.split(" "))
-            new = [w for w in new if w and len(w) <= 64 and w not in memo]
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-            for w, e in zip(new, self.library.encode_batch_fast([" " + w for w in new], add_special_tokens=False)):
-                ids = e.ids
-                memo[w] = struct.pack(f"<{len(ids)}I", *ids)
-            yield from map(self.encode, texts[at : at + 256])
+        import tiktoken
+
+        own = Encoder(path)
+        ranks = {v: k for k, v in own.token_bytes.items() if k not in own.special.values()}
+        self.plain = tiktoken.Encoding("store", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.special, self.parts = own.special, own._special
+
+    def ids(self, text: str | None) -> list[int]:
+        if not text:
+            return []
+        if self.parts is None or not self.parts.search(text):
+            return self.plain(text)
+        return [i for k, p in enumerate(self.parts.split(text)) for i in ([self.special[p]] if k % 2 else self.plain(p))]
 
 
 _held: dict = {}
 
 
-def _encoder(path: str | None) -> LibraryEncoder:
+def _encoder(path: str | None) -> FastEncoder:
     key = encoder_path(path)
     if key not in _held:
-        _held[key] = LibraryEncoder(key)
+        _held[key] = FastEncoder(key)
     return _held[key]
 
 
-_GEAR = np.frombuffer(b"".join(hashlib.blake2b(struct.pack("<I", i), digest_size=4, person=b"gear").digest() for i in range(4096)), "<u4")
+_GEAR = np.frombuffer(b"".join(hashlib.blake2b(i.to_bytes(4, "little"), digest_size=4, person=b"gear").digest() for i in range(4096)), "<u4")
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -105,10 +93,10 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
-def _pieces(ids: bytes, width: int):
+def _pieces(ids: list[int], width: int):
     """(digest, count, payload) of each chunk."""
-    a = np.frombuffer(ids, "<u4")
-    data = a.astype("<u2").tobytes() if width == 2 else ids
+    a = np.array(ids, np.uint32)
+    data = a.astype(f"<u{width}").tobytes()
     start = 0
     for end in cuts(a):
         payload = data[start * width : end * width]
@@ -153,55 +141,50 @@ class _Merkle:
 
 
 def write_store(docs: DataFrame, folder: str, text: str = "text", path: str | None = None) -> None:
-    """Encode whole texts (null: empty) and write the store.
+    """Encode whole texts (null: empty) once and write the store.
 
-    Repeated ids are separate recipes. Null ids come first. Documents are encoded twice,
-    for the recipes and for the chunks, so that payloads are shuffled and written once.
+    Repeated ids are separate recipes. Null ids come first. Each task sends a chunk on
+    once; after one shuffle by digest the copies from different tasks are dropped.
     """
     width = _width(path)
     kind = dict(docs.dtypes)["doc_id"]
+    listed = pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32())]))
 
-    def recipes(batches):
-        enc = _encoder(path)
-        for b in batches:
-            n, chunks = [], []
-            for ids in enc.encode_many(b.column(1).to_pylist()):
-                ids += struct.pack("<I", END)
-                n.append(len(ids) // 4)
-                chunks.append([{"digest": d, "n": k} for d, k, _ in _pieces(ids, width)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(chunks, pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32())])))], ["doc_id", "n_tokens", "chunks"])
-
-    def payloads(batches):
-        enc, seen = _encoder(path), set()
+    def work(batches):
+        enc, seen, salt, count = _encoder(path), set(), uuid.uuid4().bytes, 0
         for b in batches:
-            digest, payload = [], []
-            for ids in enc.encode_many(b.column(1).to_pylist()):
-                for d, _, p in _pieces(ids + struct.pack("<I", END), width):
-                    if d not in seen:
-                        if len(seen) >= 500_000:  # forgets; the shuffle below finds the rest
+            key, payload, ids_of, n, chunks = [], [], [], [], []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids, own = [*enc.ids(t), END], []
+                for digest, k, p in _pieces(ids, width):
+                    own.append({"digest": digest, "n": k})
+                    if digest not in seen:
+                        if len(seen) >= 500_000:  # forgets; the shuffle finds the rest
                             seen.clear()
-                        seen.add(d)
-                        digest.append(d)
-                        payload.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(payload, pa.binary())], ["digest", "payload"])
-
-    def once(batches):
-        last = None
-        for b in batches:
-            d = b.column(0).to_pylist()
-            keep = [x != y for x, y in zip(d, [last, *d])]
-            last = d[-1] if d else last
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    rows = docs.select("doc_id", text)
-    made = rows.mapInArrow(recipes, f"doc_id {kind}, n_tokens bigint, chunks array<struct<digest:binary,n:int>>")
-    made = made.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "n_tokens")
+                        seen.add(digest)
+                        for col, v in zip((key, payload, ids_of, n, chunks), (digest, p, None, None, None)):
+                            col.append(v)
+                count += 1
+                for col, v in zip((key, payload, ids_of, n, chunks), (salt + count.to_bytes(8, "big"), None, d, len(ids), own)):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key, pa.binary()), pa.array(payload, pa.binary()), pa.array(ids_of, b.column(0).type), pa.array(n, pa.int64()), pa.array(chunks, listed)],
+                ["key", "payload", "doc_id", "n_tokens", "chunks"],
+            )
+
+    made = docs.select("doc_id", text).mapInArrow(work, f"key binary, payload binary, doc_id {kind}, n_tokens bigint, chunks array<struct<digest:binary,n:int>>")
+    made = made.withColumn("kind", F.when(F.col("payload").isNull(), "recipe").otherwise("chunk"))
+    once = made.repartition("kind", "key").groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in ("payload", "doc_id", "n_tokens", "chunks")])
+    once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/data")
+    recipes = docs.sparkSession.read.schema(once.schema).parquet(f"{folder}/data").where("kind = 'recipe'")
+    made = recipes.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "n_tokens")
     made.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "chunks").write.parquet(f"{folder}/recipes")
-    unique = rows.mapInArrow(payloads, "digest binary, payload binary").repartition("digest").sortWithinPartitions("digest")
-    unique.mapInArrow(once, "digest binary, payload binary").write.option("compression", "zstd").parquet(f"{folder}/chunks")
-    written = docs.sparkSession.read.parquet(f"{folder}/recipes")
-    leaves = _part_roots(written)
-    leaves.coalesce(1).write.parquet(f"{folder}/manifest")
+    _part_roots(docs.sparkSession.read.parquet(f"{folder}/recipes")).coalesce(1).write.parquet(f"{folder}/manifest")
+
+
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+    stored = spark.read.schema("key binary, payload binary, kind string").parquet(f"{folder}/data")
+    return stored.where("kind = 'chunk'").select(F.col("key").alias("digest"), "payload")
 
 
 def _part_roots(recipes: DataFrame) -> DataFrame:
@@ -253,7 +236,7 @@ def _payload_table(spark: SparkSession, folder: str, width: int) -> DataFrame:
                 crc.append(zlib.crc32(a.astype("<u4").tobytes() if width == 2 else payload))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(crc, pa.int64())], ["digest", "n", "crc"])
 
-    return spark.read.parquet(f"{folder}/chunks").mapInArrow(work, "digest binary, n int, crc bigint")
+    return _chunks(spark, folder).mapInArrow(work, "digest binary, n int, crc bigint")
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -315,7 +298,7 @@ def read_ids(spark: SparkSession, folder: str, path: str | None = None) -> DataF
     """(doc_id, ids binary) of every recipe: chunks joined back in order, as 32-bit integers."""
     width = _width(path)
     rows = spark.read.parquet(f"{folder}/recipes").select("doc_id", F.posexplode("chunks").alias("i", "c"), F.monotonically_increasing_id().alias("_row"))
-    chunks = spark.read.parquet(f"{folder}/chunks")
+    chunks = _chunks(spark, folder)
     full = rows.select("_row", "doc_id", "i", F.col("c.digest").alias("digest")).join(chunks, "digest")
     whole = full.groupBy("_row", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "payload"))), lambda x: x["payload"]).alias("p"))
 
