@@ -120,22 +120,23 @@ def find_pii(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",), thr
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each span of the text replaced by its kind in angle brackets; where
     spans overlap, one mark covers them all. Null stays null."""
-    found = docs.withColumn("_s", spans_of(F.coalesce(F.col(text), F.lit(""))))
-    merged = F.aggregate(
-        "_s",
-        F.array().cast("array<struct<kind:string,start:int,end:int>>"),
-        lambda a, s: F.when(
-            (F.size(a) > 0) & (F.coalesce(F.get(a, F.size(a) - 1)["end"], F.lit(-1)) > s["start"]),
-            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.get(a, F.size(a) - 1)["kind"].alias("kind"), F.get(a, F.size(a) - 1)["start"].alias("start"), F.greatest(F.get(a, F.size(a) - 1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(a, F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    out = F.aggregate(
-        F.col("_m"),
-        F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
-        lambda a, s: F.struct(s["end"].alias("pos"), F.concat(a["out"], F.substring(F.col(text), a["pos"] + 1, s["start"] - a["pos"]), F.lit("<"), s["kind"], F.lit(">")).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(F.col(text), a["pos"] + 1, F.length(text) - a["pos"])),
-    )
-    return found.withColumn("_m", merged).withColumn(text, F.when(F.size("_m") > 0, out).otherwise(F.col(text))).drop("_s", "_m")
+    cols = docs.columns
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col(text).alias("t"), spans_of(F.coalesce(F.col(text), F.lit(""))).alias("s"))
+    kind = "array<struct<kind:string,start:int,end:int>>"
+
+    def join(a, s):
+        last = F.get(a, F.size(a) - 1)
+        wider = F.struct(last["kind"].alias("kind"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        own = F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+        return F.when((F.size(a) > 0) & (F.coalesce(last["end"], F.lit(-1)) > s["start"]), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(a, F.array(own)))
+
+    def put(a, s):
+        return F.struct(s["end"].alias("pos"), F.concat(a["out"], F.substring(F.col("t"), a["pos"] + 1, s["start"] - a["pos"]), F.lit("<"), s["kind"], F.lit(">")).alias("out"))
+
+    merged = found.withColumn("m", F.aggregate("s", F.array().cast(kind), join))
+    tail = lambda a: F.concat(a["out"], F.substring(F.col("t"), a["pos"] + 1, F.length("t") - a["pos"]))
+    out = F.when(F.size("m") > 0, F.aggregate("m", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), put, tail)).otherwise(F.col("t"))
+    return merged.select(*[out.alias(c) if c == text else F.col("row")[c].alias(c) for c in cols])
 
 
 def pii_query(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ RULES = [
     ("length", "n_words < 20", "n_words >= 60"),
     ("word_length", "word_chars > 14 * n_words or 2 * word_chars < 5 * n_words", "word_chars between 3 * n_words and 9 * n_words"),
     ("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    ("repeats", "100 * n_repeat_words > 20 * n_words", "n_repeat_words = 0"),
+    ("repeats", "100 * n_repeat_words > 30 * n_words", "n_repeat_words = 0"),
     ("dup_lines", "n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0"),
     ("capitals", "10 * n_upper > 3 * word_chars", "20 * n_upper <= 3 * word_chars"),
     ("exclaim", "5 * n_exclaim > n_words", "n_exclaim = 0"),
@@ -89,7 +89,7 @@ def votes(features: DataFrame, rules=RULES) -> DataFrame:
     return features.select("*", *cols)
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, smooth: float = 1.0, anchor: float = 0.9) -> dict:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, smooth: float = 0.05, anchor: float = 0.999) -> dict:
     """EM over vote patterns with their counts.
 
     Documents come from one good kind or from one junk kind for each rule, as junk is

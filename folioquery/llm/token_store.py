@@ -297,7 +297,8 @@ def read_digests(spark: SparkSession, folder: str, path: str | None = None) -> D
 def read_ids(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
     """(doc_id, ids binary) of every recipe: chunks joined back in order, as 32-bit integers."""
     width = _width(path)
-    rows = spark.read.parquet(f"{folder}/recipes").select("doc_id", F.posexplode("chunks").alias("i", "c"), F.monotonically_increasing_id().alias("_row"))
+    whole = spark.read.parquet(f"{folder}/recipes").select("doc_id", "chunks", F.monotonically_increasing_id().alias("_row"))
+    rows = whole.select("doc_id", "_row", F.posexplode("chunks").alias("i", "c"))
     chunks = _chunks(spark, folder)
     full = rows.select("_row", "doc_id", "i", F.col("c.digest").alias("digest")).join(chunks, "digest")
     whole = full.groupBy("_row", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "payload"))), lambda x: x["payload"]).alias("p"))
