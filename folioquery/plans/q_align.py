@@ -275,14 +275,14 @@ def word_multiset_prf(read):
 @query(
     "cer_pairs",
     f"""WITH {SEGMENTS_SQL.strip()},{BOXES_SQL}, h AS (SELECT doc_id, gold AS seg, string_agg(text, ' ' ORDER BY box) AS hyp FROM boxes GROUP BY doc_id, gold),
-e AS (SELECT s.doc_id, s.seg, length(norm) AS n, levenshtein(norm, coalesce(hyp, '')) AS d FROM segments s LEFT JOIN h ON s.doc_id = h.doc_id AND s.seg = h.seg WHERE length(norm) <= 300)
+e AS (SELECT s.doc_id, s.seg, length(norm) AS n, levenshtein(norm, coalesce(hyp, '')) AS d FROM segments s LEFT JOIN h ON s.doc_id = h.doc_id AND s.seg = h.seg)
 SELECT doc_id, count(*) AS n, CAST(sum(d) AS BIGINT) AS edits, round(sum(d)::DOUBLE / sum(n), 6) AS cer FROM e GROUP BY doc_id""",
 )
 def cer_pairs(read):
-    """Character error rate of a passage against its boxes' text, passages up to 300 characters."""
+    """Character error rate of passages against their boxes' text."""
     segs = segments(read("documents"))
     hyp = boxes(segs).groupBy("doc_id", F.col("gold").alias("seg")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("box", "text"))), lambda s: s["text"]), " ").alias("hyp"))
-    both = segs.where(F.length("norm") <= 300).join(hyp, ["doc_id", "seg"], "left")
+    both = segs.join(hyp, ["doc_id", "seg"], "left")
     scored = metrics.with_cer(both, "norm", F.coalesce("hyp", F.lit("")))
     return scored.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("edits").cast("long").alias("edits"), F.round(F.sum("edits") / F.sum(F.length("norm")), 6).alias("cer"))
 

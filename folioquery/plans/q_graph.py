@@ -49,14 +49,15 @@ def scope_partition_check(read):
     return got.agg(F.count("*").alias("n"), F.countDistinct("node").alias("n_nodes")).crossJoin(lost)  # one row each
 
 
-@query("fk_dangling", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0) GROUP BY o_orderpriority")
+@query("fk_dangling", "SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang")
 def fk_dangling(read):
-    return graph.dangling(read("orders"), "o_custkey", read("customer").where("c_custkey % 7 <> 0"), "c_custkey").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    """Documents that no label names."""
+    return graph.dangling(read("documents"), "doc_id", read("labels"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("fk_resolved", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0) GROUP BY o_orderpriority")
+@query("fk_resolved", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) GROUP BY c_mktsegment")
 def fk_resolved(read):
-    return graph.resolved(read("orders"), "o_custkey", read("customer").where("c_custkey % 7 <> 0"), "c_custkey").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return graph.resolved(read("customer"), "c_custkey", read("orders"), "o_custkey").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
 def _parts(read):
@@ -79,10 +80,10 @@ def schema_levels(read):
     return graph.levels(names.withColumnRenamed("k", "name"), edges.select("parent", "child")).groupBy("level").agg(F.count("*").alias("n"))
 
 
-@query("schema_roots", f"WITH {PARTS_SQL} SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT child FROM edges WHERE child % 5 <> 0)")
+@query("schema_roots", f"WITH {PARTS_SQL} SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT child FROM edges)")
 def schema_roots(read):
     names, edges = _parts(read)
-    return graph.roots(names.withColumnRenamed("k", "name"), edges.where("child % 5 <> 0"))
+    return graph.roots(names.withColumnRenamed("k", "name"), edges)
 
 
 @query("first_parent_only", f"WITH {PARTS_SQL} SELECT parent, count(*) AS n_children FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY pos DESC) AS r FROM edges WHERE parent <> child) WHERE r = 1 GROUP BY parent")
@@ -93,13 +94,14 @@ def first_parent_only(read):
 
 @query(
     "components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 97 AS a, 1000 + l_suppkey % 89 AS b FROM lineitem WHERE l_suppkey % 5 = 0), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    """WITH RECURSIVE e AS (SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(100 + n_regionkey AS BIGINT) AS b FROM nation UNION ALL SELECT 1000 + c_custkey, c_nationkey FROM customer), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 t AS (SELECT DISTINCT a AS node, a AS c FROM b UNION SELECT b.b, t.c FROM t JOIN b ON t.node = b.a) SELECT node, min(c) AS component FROM t GROUP BY node""",
 )
 def components(read):
-    lines = read("lineitem").where("l_suppkey % 5 = 0")
-    edges = lines.select((F.col("l_suppkey") % 97).alias("a"), (1000 + F.col("l_suppkey") % 89).alias("b")).distinct()
-    return connected_components(edges, Workspace(lines.sparkSession, "components"))
+    """What hangs together of regions, nations and customers."""
+    n = read("nation").select(F.col("n_nationkey").cast("long").alias("a"), (100 + F.col("n_regionkey")).cast("long").alias("b"))
+    c = read("customer").select(1000 + F.col("c_custkey"), F.col("c_nationkey").cast("long"))
+    return connected_components(n.union(c), Workspace(n.sparkSession, "components"))
 
 
 @query(

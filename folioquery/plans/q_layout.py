@@ -9,7 +9,7 @@ from folioquery.plans.registry import query
 
 LINES_SQL = """lines AS (SELECT l_orderkey AS page, l_linenumber AS line, (l_partkey % 600)::DOUBLE AS x0, ((l_linenumber - 1) * 40 + l_suppkey % 30)::DOUBLE AS y0,
   l_partkey % 600 + 0.0 + 100 + l_quantity * 4 AS x1, (l_linenumber - 1) * 40.0 + l_suppkey % 30 + 10 + l_quantity / 5 AS y1 FROM lineitem)"""
-BLOCKS_SQL = """blocks AS (SELECT page, CAST(floor(line / 3) AS BIGINT) AS block, min(x0) + 20 AS x0, min(y0) - 2 AS y0, max(x1) - 20 AS x1, max(y1) + 2 AS y1 FROM lines WHERE line % 3 <> 1 GROUP BY ALL)"""
+BLOCKS_SQL = """blocks AS (SELECT page, CAST(floor(line / 3) AS BIGINT) AS block, min(x0) + 20 AS x0, min(y0) - 2 AS y0, max(x1) - 20 AS x1, max(y1) + 2 AS y1 FROM lines GROUP BY ALL)"""
 _IN = """greatest(0, least(l.x1, b.x1) - greatest(l.x0, b.x0)) * greatest(0, least(l.y1, b.y1) - greatest(l.y0, b.y0))"""
 
 
@@ -22,7 +22,7 @@ def _lines(read):
 
 
 def _blocks(lines, prefix):
-    b = lines.where("line % 3 <> 1").groupBy("page", F.floor(F.col("line") / 3).alias("block")).agg(F.min("x0").alias("a"), F.min("y0").alias("b"), F.max("x1").alias("c"), F.max("y1").alias("d"))
+    b = lines.groupBy("page", F.floor(F.col("line") / 3).alias("block")).agg(F.min("x0").alias("a"), F.min("y0").alias("b"), F.max("x1").alias("c"), F.max("y1").alias("d"))
     return b.select("page", "block", (F.col("a") + 20).alias(prefix + "x0"), (F.col("b") - 2).alias(prefix + "y0"), (F.col("c") - 20).alias(prefix + "x1"), (F.col("d") + 2).alias(prefix + "y1"))
 
 
@@ -72,16 +72,16 @@ def widest_gap(read):
 
 @query(
     "gutter_candidates",
-    """WITH w AS (SELECT l_suppkey AS page, l_partkey % 600 + 0.0 AS x0, l_partkey % 600 + 0.0 + l_quantity AS x1 FROM lineitem WHERE l_partkey % 600 NOT BETWEEN 200 AND 320),
+    """WITH v AS (SELECT l_suppkey AS page, l_partkey % 600 - CASE WHEN l_partkey % 600 BETWEEN 200 AND 320 THEN 180 ELSE 0 END AS x, l_quantity AS q FROM lineitem), w AS (SELECT page, x::DOUBLE AS x0, x + q AS x1 FROM v),
 c AS (SELECT page, k, round(600 * (0.35 + 0.3 * k / 12), 4) AS g, x0, x1 FROM w, range(0, 13) t(k)),
 n AS (SELECT page, k, g, count(*) AS n, sum(CASE WHEN x0 < g AND x1 > g THEN 1 ELSE 0 END) AS cross_n, sum(CASE WHEN x1 <= g THEN 1 ELSE 0 END) AS l, sum(CASE WHEN x0 >= g THEN 1 ELSE 0 END) AS r FROM c GROUP BY page, k, g),
 b AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY cross_n, k) AS o FROM n WHERE n >= 40 AND l * 4 >= n AND r * 4 >= n AND cross_n * 100 <= 6 * n)
 SELECT page, g AS gutter, CAST(cross_n AS BIGINT) AS "cross" FROM b WHERE o = 1""",
 )
 def gutter_candidates(read):
-    words = read("lineitem").where("l_partkey % 600 not between 200 and 320")
-    x = (F.col("l_partkey") % 600).cast("double")
-    return layout.gutter(words.select(F.col("l_suppkey").alias("page"), F.lit(600.0).alias("width"), x.alias("x0"), (x + F.col("l_quantity")).alias("x1")), ["page"])
+    k = F.col("l_partkey") % 600
+    x = (k - F.when(k.between(200, 320), 180).otherwise(0)).cast("double")
+    return layout.gutter(read("lineitem").select(F.col("l_suppkey").alias("page"), F.lit(600.0).alias("width"), x.alias("x0"), (x + F.col("l_quantity")).alias("x1")), ["page"])
 
 
 @query("reading_order_pages", python=True)
@@ -105,18 +105,18 @@ def block_routing_counts(read):
 
 @query(
     "node_iou_cells",
-    f"""WITH {LINES_SQL}, a AS (SELECT DISTINCT page, cx, cy FROM lines, unnest(range(CAST(floor(x0 / 4) AS BIGINT), CAST(floor(x1 / 4) AS BIGINT) + 1)) t(cx), unnest(range(CAST(floor(y0 / 4) AS BIGINT), CAST(floor(y1 / 4) AS BIGINT) + 1)) u(cy) WHERE line <= 2),
-b AS (SELECT DISTINCT page, cx, cy FROM lines, unnest(range(CAST(floor((x0 + 30) / 4) AS BIGINT), CAST(floor((x1 + 30) / 4) AS BIGINT) + 1)) t(cx), unnest(range(CAST(floor(y0 / 4) AS BIGINT), CAST(floor(y1 / 4) AS BIGINT) + 1)) u(cy) WHERE line <= 2)
+    f"""WITH {LINES_SQL}, a AS (SELECT DISTINCT page, cx, cy FROM lines, unnest(range(CAST(floor(x0 / 16) AS BIGINT), CAST(floor(x1 / 16) AS BIGINT) + 1)) t(cx), unnest(range(CAST(floor(y0 / 16) AS BIGINT), CAST(floor(y1 / 16) AS BIGINT) + 1)) u(cy)),
+b AS (SELECT DISTINCT page, cx, cy FROM lines, unnest(range(CAST(floor((x0 + 30) / 16) AS BIGINT), CAST(floor((x1 + 30) / 16) AS BIGINT) + 1)) t(cx), unnest(range(CAST(floor(y0 / 16) AS BIGINT), CAST(floor(y1 / 16) AS BIGINT) + 1)) u(cy))
 SELECT coalesce(a.page, b.page) AS page, count(a.cx) AS n_a, count(b.cx) AS n_b, CAST(sum(CASE WHEN a.cx IS NOT NULL AND b.cx IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS common,
   round(sum(CASE WHEN a.cx IS NOT NULL AND b.cx IS NOT NULL THEN 1.0 ELSE 0 END) / count(*), 6) AS iou
 FROM a FULL JOIN b ON a.page = b.page AND a.cx = b.cx AND a.cy = b.cy GROUP BY 1""",
 )
 def node_iou_cells(read):
-    """Overlap of a page's first two boxes with themselves moved by 30, on a grid of 4."""
-    lines = _lines(read).where("line <= 2")
+    """Overlap of a page's boxes with themselves moved by 30, on a grid of 16."""
+    lines = _lines(read)
 
     def cells(df):
-        xs, ys = grid_cells(Box())
+        xs, ys = grid_cells(Box(), 16.0)
         return df.select("page", F.explode(xs).alias("cx"), ys.alias("ys")).select("page", "cx", F.explode("ys").alias("cy"))
 
     moved = lines.withColumn("x0", F.col("x0") + 30).withColumn("x1", F.col("x1") + 30)

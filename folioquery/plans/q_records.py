@@ -9,18 +9,14 @@ from folioquery.plans.registry import query
 
 @query(
     "pipe_table_records",
-    r"""WITH t AS (SELECT doc_id, replace(text, ' | ', chr(10) || '| ') AS text FROM documents),
-l AS (SELECT doc_id, 'name | part ' || chr(10) || '---|---' || chr(10) || string_agg(part || ' | ' || n, chr(10) ORDER BY n) AS text FROM
- (SELECT doc_id, trim(unnest(string_split(text, '|'))) AS part, generate_subscripts(string_split(text, '|'), 1) AS n FROM documents WHERE contains(text, '|') AND NOT contains(text, chr(10))) WHERE part <> '' AND part <> '-' GROUP BY doc_id),
-c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM l)
-SELECT doc_id, CAST(pos AS BIGINT) AS line, CAST(k AS BIGINT) AS col, CASE k WHEN 0 THEN 'name' ELSE 'part' END AS header,
-  CASE WHEN k = 0 OR trim(split_part(line, '|', 1)) = trim(split_part(line, '|', 2)) THEN '' ELSE trim(split_part(line, '|', 1)) END AS entity, trim(split_part(line, '|', CAST(k + 1 AS BIGINT))) AS value
-FROM c, range(0, 2) r(k) WHERE pos >= 2""",
+    r"""WITH p AS (SELECT doc_id, trim(replace(unnest(string_split(text, chr(10))), '|', '/'), ' ') AS part, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+k AS (SELECT doc_id, part, n, row_number() OVER (PARTITION BY doc_id ORDER BY n) + 1 AS line FROM p WHERE part NOT IN ('', '-'))
+SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(c AS BIGINT) AS col, CASE c WHEN 0 THEN 'name' ELSE 'part' END AS header, CASE WHEN c = 0 OR part = CAST(n AS VARCHAR) THEN '' ELSE part END AS entity, CASE c WHEN 0 THEN part ELSE CAST(n AS VARCHAR) END AS value FROM k, range(0, 2) r(c)""",
 )
 def pipe_table_records(read):
-    """Cells of the tables that list each one-line document's parts."""
-    docs = read("documents").where(F.col("text").contains("|") & ~F.col("text").contains("\n"))
-    parts = docs.select("doc_id", F.posexplode(F.split("text", r"\|")).alias("n", "part")).select("doc_id", (F.col("n") + 1).alias("n"), F.trim("part").alias("part")).where("part not in ('', '-')")
+    """Cells of the tables that list each document's lines and their numbers."""
+    lines = read("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "part"))
+    parts = lines.select("doc_id", (F.col("n") + 1).alias("n"), F.trim(F.replace("part", F.lit("|"), F.lit("/"))).alias("part")).where("part not in ('', '-')")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda s: F.concat_ws(" | ", s["part"], s["n"].cast("string"))), "\n")
     tables = parts.groupBy("doc_id").agg(F.concat(F.lit("name | part \n---|---\n"), body).alias("text"))
     return records.pipe_tables(tables, "doc_id", "text").select("doc_id", F.col("line").cast("long").alias("line"), "col", "header", "entity", "value")
