@@ -15,7 +15,9 @@ from tokenizers import pre_tokenizers
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunks remembered by a worker, and the longest that is.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 500_000, 64
+#: A blank, Latin letters, then ASCII marks: two pre-tokens, or one without marks.
+_SIMPLE = re.compile(r"( [A-Za-zÀ-ÖØ-öø-ſ]+)([!-/:-@\[-`{-~]*)\Z")
 #: A space before white space or the end: such texts are cut by pattern instead.
 _ODD = re.compile(r" (?=[\s\x1c-\x1f\x85᠎​﻿]|\Z)")
 _CUT = re.compile(r"(?= [^\s\x1c-\x1f\x85᠎​﻿])")
@@ -28,7 +30,7 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-_NONE = (1 << 60, -1)
+_NONE, _ID = 1 << 62, (1 << 32) - 1
 
 
 class _Memo(dict):
@@ -53,9 +55,9 @@ class Encoder:
             whole = json.load(f)
         vocab, merges = whole["model"]["vocab"], whole["model"]["merges"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
-        self.rank = {(vocab[a], vocab[b]): (i, vocab[a + b]) for i, (a, b) in enumerate(pairs)}
+        self.rank = {(vocab[a], vocab[b]): i << 32 | vocab[a + b] for i, (a, b) in enumerate(pairs)}
         self.alphabet = byte_alphabet()
-        self.first = {c: vocab[c] for c in self.alphabet}
+        self.first = {b: vocab[c] for c, b in self.alphabet.items()}
         self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
         self.token_bytes = {i: bytes(self.alphabet[c] for c in t) for t, i in vocab.items()}
         self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
@@ -71,10 +73,17 @@ class Encoder:
             found = self.lexicon.get(chunk.encode("utf-8", "surrogatepass"))
             if found is not None:
                 return found
-        return b"".join([self.words[w] for w, _ in self.split(chunk)])
+        simple = _SIMPLE.match(chunk)
+        if simple:
+            word, marks = simple.groups()
+            return self.words[word] + self.words[marks] if marks else self.words[word]
+        return b"".join([self._merge_bytes(bytes(map(self.alphabet.__getitem__, w))) for w, _ in self.split(chunk)])
 
     def _merge_word(self, word: str) -> bytes:
-        ids = merge([self.first[c] for c in word], self.rank)
+        return self._merge_bytes(word.encode())
+
+    def _merge_bytes(self, word: bytes) -> bytes:
+        ids = merge(list(map(self.first.__getitem__, word)), self.rank)
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
@@ -100,17 +109,18 @@ class Encoder:
 
 
 def merge(ids: list[int], rank: dict) -> list[int]:
-    """Merges of lowest rank first, leftmost first, until none applies. rank: pair to (rank, new id)."""
+    """Merges of lowest rank first, leftmost first, until none applies. rank: pair to
+    rank * 2**32 + new id."""
     if len(ids) > 200:
         return _merge_long(ids, rank)
     get = rank.get
     best = [get(p, _NONE) for p in zip(ids, ids[1:])]
     while best:
         low = min(best)
-        if low is _NONE:
+        if low == _NONE:
             break
         i = best.index(low)
-        ids[i] = low[1]
+        ids[i] = low & _ID
         del ids[i + 1], best[i]
         if i:
             best[i - 1] = get((ids[i - 1], ids[i]), _NONE)
@@ -123,19 +133,19 @@ def _merge_long(ids: list[int], rank: dict) -> list[int]:
     """The same with a queue over a linked list: n log n for runs without white space."""
     ids, n = list(ids), len(ids)
     left, right, live = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-    queue = [(rank[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]
+    queue = [(rank[p] >> 32, i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]
     heapq.heapify(queue)
     while queue:
         _, i, pair = heapq.heappop(queue)
         j = right[i]
         if not live[i] or j >= n or (ids[i], ids[j]) != pair:
             continue
-        ids[i], live[j], right[i] = rank[pair][1], False, right[j]
+        ids[i], live[j], right[i] = rank[pair] & _ID, False, right[j]
         if right[j] < n:
             left[right[j]] = i
         for a, b in ((left[i], i), (i, right[i])):
             if a >= 0 and b < n and (p := (ids[a], ids[b])) in rank:
-                heapq.heappush(queue, (rank[p][0], a, p))
+                heapq.heappush(queue, (rank[p] >> 32, a, p))
     return [x for x, ok in zip(ids, live) if ok]
 
 

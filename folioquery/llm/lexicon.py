@@ -81,6 +81,7 @@ class Lexicon:
             raise ValueError("not a lexicon file")
         self.root, states, edges, words, ids = struct.unpack_from("<5I", data, 8)
         self.words, self.states, self.edges, at = words, states, edges, 28
+        self.known: dict = {}
         got = []
         for n, kind in ((states + 1, "<u4"), (states, "u1"), (edges, "u1"), (edges, "<u4"), (edges, "<u4"), (words + 1, "<u4"), (ids, "<u4")):
             got.append(memoryview(np.frombuffer(data, kind, n, at)))
@@ -92,22 +93,22 @@ class Lexicon:
         with open(file, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
+    def _edges(self, state: int) -> dict[int, tuple[int, int]]:
+        """A state's edges by label, kept once read: no more than the file's states."""
+        lo, hi = self.first[state], self.first[state + 1]
+        got = self.known[state] = {self.label[i]: (self.target[i], self.skip[i]) for i in range(lo, hi)}
+        return got
+
     def get(self, word: bytes) -> bytes | None:
         """The ids of a word, or None if the lexicon doesn't have it."""
-        first, label, target, skip = self.first, self.label, self.target, self.skip
-        state, number = self.root, 0
+        known, state, number = self.known, self.root, 0
         for c in word:
-            lo, hi = first[state], first[state + 1]
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if label[mid] < c:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == first[state + 1] or label[lo] != c:
+            edges = known.get(state)
+            step = (self._edges(state) if edges is None else edges).get(c)
+            if step is None:
                 return None
-            number += skip[lo]
-            state = target[lo]
+            state = step[0]
+            number += step[1]
         if not self.final[state]:
             return None
         return self.ids[self.offsets[number] : self.offsets[number + 1]].tobytes()
