@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioquery.llm import lexicon
-from folioquery.llm.bytelevel import Encoder, encoder
+from folioquery.llm.bytelevel import Encoder, encoder, lexicon_key
 from folioquery.plans.workspace import Workspace
 
 SHARE = 50_000
@@ -37,7 +37,8 @@ def ship_lexicon(docs: DataFrame, text: str = "text", path: str | None = None, s
     spark = docs.sparkSession
     ws = Workspace(spark, "lexicon")
     enc = Encoder(encoder_path(path))
-    words = {b" " + w.encode(): enc.spaced[w] for w in frequent_words(docs, text, share, ws=ws)}
+    keys = {lexicon_key(" " + w) for w in frequent_words(docs, text, share, ws=ws)}
+    words = {k.encode(): enc.raw[k] for k in keys}
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     spark.sparkContext.addFile(ws.write_bytes(name, lexicon.build(words)))
     return name

@@ -2,7 +2,8 @@
 
 A text falls into chunks before each single space that a non-space follows; the
 pre-tokenizer never joins such neighbours, so chunks are encoded alone and remembered.
-A chunk's ids come from a lexicon, if one is given, else from exact merges.
+The ids of a chunk, or of its word where marks follow the word, come from a lexicon, if
+one is given, else from exact merges.
 """
 
 import heapq
@@ -11,11 +12,12 @@ import re
 import struct
 
 import public_tokenizers
+import tiktoken
 from tokenizers import pre_tokenizers
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Chunks remembered by a worker, and the longest that is.
-MEMO, MEMO_CHARS = 500_000, 64
+#: Entries of a worker's memory before they become old ones, and the longest that is kept.
+MEMO, MEMO_CHARS = 300_000, 64
 #: A blank, Latin letters, then ASCII marks: two pre-tokens, or one without marks.
 _SIMPLE = re.compile(r"( [A-Za-zÀ-ÖØ-öø-ſ]+)([!-/:-@\[-`{-~]*)\Z")
 #: A space before white space or the end: such texts are cut by pattern instead.
@@ -34,19 +36,31 @@ _NONE, _ID = 1 << 62, (1 << 32) - 1
 
 
 class _Memo(dict):
+    """Results of make() by key. When full, the entries become the old ones, from which what
+    is asked for again moves back; older ones are forgotten."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= MEMO_CHARS:
             if len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
+def lexicon_key(chunk: str) -> str:
+    """What is looked up for a chunk: its word without marks, else all of it."""
+    simple = _SIMPLE.match(chunk)
+    return simple.group(1) if simple else chunk
+
+
 class Encoder:
     """ids as little-endian unsigned 32-bit integers, equal to the tokenizers library's."""
 
@@ -63,27 +77,34 @@ class Encoder:
         self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
         self.split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
         self.lexicon = lexicon
+        # ids are in order of merges, so they serve as ranks; merge() below does the same
+        ranks = {v: k for k, v in self.token_bytes.items() if k not in self.special.values()}
+        self.library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.merge_piece = self.library._encode_single_piece
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = _Memo(self._merge_word)
         self.raw = _Memo(self._chunk)
         self.spaced = _Memo(lambda s: self._chunk(" " + s))
 
     def _chunk(self, chunk: str) -> bytes:
-        if self.lexicon is not None:
-            found = self.lexicon.get(chunk.encode("utf-8", "surrogatepass"))
-            if found is not None:
-                return found
         simple = _SIMPLE.match(chunk)
         if simple:
             word, marks = simple.groups()
             return self.words[word] + self.words[marks] if marks else self.words[word]
+        found = self._known(chunk)
+        if found is not None:
+            return found
         return b"".join([self._merge_bytes(bytes(map(self.alphabet.__getitem__, w))) for w, _ in self.split(chunk)])
 
+    def _known(self, chunk: str) -> bytes | None:
+        return None if self.lexicon is None else self.lexicon.get(chunk.encode("utf-8", "surrogatepass"))
+
     def _merge_word(self, word: str) -> bytes:
-        return self._merge_bytes(word.encode())
+        found = self._known(word)
+        return self._merge_bytes(word.encode()) if found is None else found
 
     def _merge_bytes(self, word: bytes) -> bytes:
-        ids = merge(list(map(self.first.__getitem__, word)), self.rank)
+        ids = self.merge_piece(word)
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:

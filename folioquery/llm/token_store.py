@@ -18,7 +18,6 @@ import uuid
 import zlib
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -39,11 +38,8 @@ class FastEncoder:
     encoder: ids in order of merges are its ranks."""
 
     def __init__(self, path: str):
-        import tiktoken
-
         own = Encoder(path)
-        ranks = {v: k for k, v in own.token_bytes.items() if k not in own.special.values()}
-        self.plain = tiktoken.Encoding("store", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.plain = own.library.encode_ordinary
         self.special, self.parts = own.special, own._special
 
     def ids(self, text: str | None) -> list[int]:

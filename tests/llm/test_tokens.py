@@ -43,7 +43,7 @@ def test_long_and_short_merges_agree():
         word = [e.first[random.choice(b"abcde ")] for _ in range(random.randrange(1, 190))]
         from folioquery.llm.bytelevel import _merge_long
 
-        assert merge(list(word), e.rank) == _merge_long(list(word), e.rank)
+        assert merge(list(word), e.rank) == _merge_long(list(word), e.rank) == e.merge_piece(b"".join(e.token_bytes[i] for i in word))
 
 
 def test_lexicon_round_trip(tmp_path):
