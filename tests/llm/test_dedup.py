@@ -270,3 +270,10 @@ def test_pipeline(spark):
         assert {g[0] for g in got} <= {r[0] for r in rows}
         step = spark.createDataFrame(new.collect(), docs.schema)
     assert sorted(r.doc_id for r in run(spark, folder).collect()) == sorted(r.doc_id for r in step.collect())
+
+
+def test_decontamination_stage_drops_one_item(spark):
+    folder, stage = "/root/testdata/sf0.001", dict(STAGES)["benchmark_decontamination"]
+    items = spark.read.parquet(f"{folder}/benchmark.parquet").where("size(split(text, ' ')) >= 8").orderBy("item_id").limit(2).collect()
+    rows = [(1, "before it " + items[0].text + " and after"), (2, items[0].text + " " + items[1].text), (3, "nothing of the kind is in here at all, not a word of it")]
+    assert [r.doc_id for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder).collect()] == [3]
