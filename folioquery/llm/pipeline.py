@@ -20,9 +20,9 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies (similarity 0.8 or more) the document with the smallest id stays."""
     ship(spark)
-    return near_dup.drop_near_duplicates(docs)
+    return near_dup.drop_near_duplicates(docs, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

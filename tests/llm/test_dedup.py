@@ -277,3 +277,10 @@ def test_decontamination_stage_drops_one_item(spark):
     items = spark.read.parquet(f"{folder}/benchmark.parquet").where("size(split(text, ' ')) >= 8").orderBy("item_id").limit(2).collect()
     rows = [(1, "before it " + items[0].text + " and after"), (2, items[0].text + " " + items[1].text), (3, "nothing of the kind is in here at all, not a word of it")]
     assert [r.doc_id for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder).collect()] == [3]
+
+
+def test_near_duplicates_stage_at_80(spark):
+    rows = near_copies(1)
+    got = {r.doc_id for r in dict(STAGES)["near_duplicates"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert got == {d for d, _, _, k in plain_clusters(rows, 80) if k}
+    assert got != {d for d, _, _, k in plain_clusters(rows, 85) if k}
