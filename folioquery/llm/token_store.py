@@ -24,27 +24,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioquery.llm.bpe import encoder_path
-from folioquery.llm.bytelevel import Encoder
+from folioquery.llm.bytelevel import Encoder, encoder
 from folioquery.plans.workspace import Workspace
 
 END = 0
 #: Chunk lengths in ids: a cut needs MASK bits of the hash of WINDOW ids to be zero.
 LEAST, MOST, WINDOW, MASK = 64, 4096, 16, 0xFF
 _POLY = 0xEDB88320
+#: Texts of more characters go to the exact encoder by chunks: the whole-text encoder's
+#: pattern engine runs out of stack on a million blanks in a row.
+LONG = 100_000
 
 
 class FastEncoder:
     """The tokenizer file's vocabulary, merges and special tokens run by a library's whole-text
-    encoder: ids in order of merges are its ranks."""
+    encoder: ids in order of merges are its ranks. Texts over LONG characters go to Encoder."""
 
     def __init__(self, path: str):
         own = Encoder(path)
+        self.path = path
         self.plain = own.library.encode_ordinary
         self.special, self.parts = own.special, own._special
 
     def ids(self, text: str | None) -> list[int]:
         if not text:
             return []
+        if len(text) > LONG:
+            return np.frombuffer(encoder(self.path).encode(text), "<u4").tolist()
         if self.parts is None or not self.parts.search(text):
             return self.plain(text)
         return [i for k, p in enumerate(self.parts.split(text)) for i in ([self.special[p]] if k % 2 else self.plain(p))]

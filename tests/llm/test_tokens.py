@@ -36,6 +36,17 @@ def test_encoder_equals_library(library):
         assert e.decode(e.encode(t)) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "one" + " " * 1_000_000 + "two<|endoftext|>", "the words of " * 9000 + " \u3000" * 500_000 + "end"])
+def test_a_million_blanks(library, text):
+    assert token_store.FastEncoder(PATH).ids(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_texts_by_either_encoder(library, monkeypatch):
+    monkeypatch.setattr(token_store, "LONG", 3)
+    fast = token_store.FastEncoder(PATH)
+    assert all(fast.ids(t) == library.encode(t, add_special_tokens=False).ids for t in texts(7))
+
+
 def test_long_and_short_merges_agree():
     e = Encoder(PATH)
     random.seed(2)
