@@ -293,11 +293,14 @@ def near_dup_query(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one of smallest id.
 
-    Rows that repeat an id are one document, of which one row stays.
+    Rows that repeat an id are one document, whatever their texts, of which one row stays.
+    Rows without an id all stay, whether or not some id repeats.
     """
     ws = Workspace(docs.sparkSession, "near-dedup")
     found = ws.table(cluster(docs, percent=percent), "kept")
     gone = found.where("not kept").select("doc_id").distinct()
     kept = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    if not repeated:
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))

@@ -284,3 +284,9 @@ def test_near_duplicates_stage_at_80(spark):
     got = {r.doc_id for r in dict(STAGES)["near_duplicates"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     assert got == {d for d, _, _, k in plain_clusters(rows, 80) if k}
     assert got != {d for d, _, _, k in plain_clusters(rows, 85) if k}
+
+
+def test_near_duplicates_keep_rows_without_id(spark):
+    rows = [(1, "one of the two"), (1, "one of the two"), (None, "first text"), (None, "second text"), (2, "other")]
+    got = near_dup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted({*rows}, key=str)
