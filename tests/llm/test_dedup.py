@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -137,19 +137,84 @@ def test_keys_and_sketch_lose_no_link(a, edits, tau):
         assert bits <= 4 * tau
 
 
-def plain_lines(rows, tau=2, least=24):
-    """Each row's (removed positions, rest) by the contract of drop_repeated_lines()."""
+def changed(words, edits):
+    """The words with so many of them replaced, left out or put in."""
+    w = list(words)
+    for _ in range(edits):
+        at, kind = random.randrange(len(w)), random.randrange(3)
+        if kind == 0:
+            w.insert(at, "new" + str(random.randrange(9)))
+        elif kind == 1:
+            del w[at]
+        else:
+            w[at] = "new" + str(random.randrange(9))
+    return w
+
+
+def test_word_keys_lose_no_link():
+    random.seed(4)
+    keys = lambda w, roles: {(s, tuple(w[i:j])) for s, i, j, r in line_dedup.windows(len(w), by_words=True, least=line_dedup.LONG) if r in roles}
+    tried = 0
+    for _ in range(150):
+        a = [random.choice("abcdefgh") + str(random.randrange(30)) for _ in range(random.choice([50, 60, 119, 120, 161, 300, 420]))]
+        b = changed(a, line_dedup.allowed(len(a)))
+        tau = line_dedup.allowed(min(len(a), len(b)))
+        if len(b) < line_dedup.LONG or not line_dedup.within(a, b, tau):
+            continue
+        tried += 1
+        assert keys(a, {0}) & keys(b, {0, 1}) or keys(b, {0}) & keys(a, {0, 1})
+        assert sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(line_dedup.parity(a), line_dedup.parity(b))) <= 4 * tau
+    assert tried > 100
+
+
+def test_word_distance():
+    random.seed(5)
+    for _ in range(150):
+        a = [random.choice("abc") for _ in range(random.randrange(1, 90))]
+        b = changed(a, random.randrange(min(14, len(a))))
+        tau = random.randrange(1, 11)
+        assert line_dedup.within(a, b, tau) == (distance(a, b) <= tau)
+
+
+def test_keys_dealt_out_are_met(spark):
+    random.seed(6)
+    rows = [(k, "a common beginning of the line, then " + "".join(random.choice("abcdefgh") for _ in range(24))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    dealt = line_dedup._keys(docs, "text", 2, 24)
+    want = defaultdict(set)
+    for r in dealt.collect():
+        want[r.key].add(r.name)
+    assert dealt.where("salt > 0").count() >= 300
+    want = {(k, n & ~1) for k, names in want.items() if len({n & ~1 for n in names}) > 1 and any(not n & 1 for n in names) for n in names}
+    assert {tuple(r) for r in line_dedup._met(dealt).collect()} == want
+
+
+def near_lines(a, b, tau=2, least=24):
+    """The measure of line_dedup, by plain rules."""
+    if min(len(a), len(b)) < least:
+        return False
+    v, w = a.split(), b.split()
+    most, both = line_dedup.LONG + line_dedup.SPARE, min(len(v), len(w))
+    by_chars = max(len(v), len(w)) <= most and abs(len(a) - len(b)) <= tau and distance(a, b) <= tau
+    return by_chars or (both >= line_dedup.LONG and abs(len(v) - len(w)) <= line_dedup.allowed(both) and distance(v, w) <= line_dedup.allowed(both))
+
+
+def plain_lines(rows):
+    """Each row's rest by the contract of drop_repeated_lines()."""
     lines = {}
     order = lambda d: (1 << 63) - 1 if d is None else d
     for d, t in rows:
         for x in (t or "").split("\n"):
-            if len(x) >= least:
+            if x.strip():
                 lines[x] = min(lines.get(x, order(d)), order(d))
     parent = {x: x for x in lines}
+    bag = {x: Counter(x.split()) for x in lines}
     names = list(lines)
     for i, a in enumerate(names):
         for b in names[:i]:
-            if abs(len(a) - len(b)) <= tau and line_dedup.within(a, b, tau):
+            # lines of over 24 characters with few common words aren't near; spares the distance
+            few = 2 * line_dedup.allowed(max(bag[a].total(), bag[b].total())) + 4
+            if abs(bag[a].total() - bag[b].total()) <= few and ((bag[a] - bag[b]).total() <= few) and near_lines(a, b):
                 parent[find(parent, a)] = find(parent, b)
     first = {}
     for x, d in lines.items():
@@ -158,14 +223,14 @@ def plain_lines(rows, tau=2, least=24):
     for d, t in rows:
         seen, left, gone = set(), [], 0
         for x in (t or "").split("\n"):
-            if len(x) >= least:
+            if x.strip():
                 c = find(parent, x)
                 if first[c] != order(d) or c in seen:
                     gone += 1
                     continue
                 seen.add(c)
             left.append(x)
-        if gone and not any(len(x) >= least for x in left):
+        if gone and not any(x.strip() for x in left):
             continue
         out.append((d, t if not gone else "\n".join(left)))
     return out
@@ -184,6 +249,10 @@ def test_repeated_lines(spark, edge, blocks):
                 line[random.randrange(len(line))] = random.choice("xyz")
             text.append("".join(line))
         rows.append((k, "\n".join(text)))
+    long = [[random.choice("abcdefgh") + str(random.randrange(30)) for _ in range(n)] for n in (49, 52, 70, 130, 200)]
+    for k in range(60, 100):
+        w = random.choice(long)
+        rows.append((k, "\n".join([" ".join(changed(w, random.randrange(7))), random.choice(["All rights reserved.", "own line " + str(k), " \t"])])))
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "cast(length(text) as long) n_chars", "1 AS removed", "2 AS `left`")
     got = line_dedup.drop_repeated_lines(docs, **blocks)
     assert got.columns == docs.columns
@@ -290,3 +359,16 @@ def test_near_duplicates_keep_rows_without_id(spark):
     rows = [(1, "one of the two"), (1, "one of the two"), (None, "first text"), (None, "second text"), (2, "other")]
     got = near_dup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted({*rows}, key=str)
+
+
+def test_unique_lines_stay(spark):
+    line = "this one long line is found in both of the documents"
+    rows = [(1, line), (2, line + "\nshort one\nshort two"), (3, line), (4, "short one")]
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, line), (2, "short one\nshort two")]
+
+
+def test_near_duplicates_tell_rows_apart(spark):
+    rows = [(None, "text a"), (None, "text b"), (7, "text c"), (7, "text d"), (8, "text e"), (9, "text c"), (7, "text c")]
+    got = near_dup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(rows[:5], key=str)
