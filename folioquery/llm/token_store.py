@@ -3,10 +3,11 @@
 Each document's ids, with an end id, are cut into chunks where a rolling hash of the
 last ids says so; equal chunks are stored once, by digest. Folder of a store:
 
-  recipes/   parquet in ascending doc_id order, one file a part: part, doc_id, n_tokens,
-             chunks (digest and length of each chunk, in order)
+  recipes/   parquet in ascending doc_id order, one file a part: part, place (in the part,
+             from 0), doc_id, n_tokens, chunks (digest and length of each chunk, in order)
   data/      parquet: kind=chunk: key (the chunk's digest), payload (little-endian ids, 16
-             bits wide if the vocabulary allows, else 32); kind=recipe: the recipes as made
+             bits wide if the vocabulary allows, else 32); kind=recipe: the recipes as made,
+             keyed by their own hash, and how many documents have each
   manifest/  parquet: part, first_id, documents, tokens, root (Merkle root of the part's
              documents, each leaf the hash of a recipe)
 
@@ -14,7 +15,6 @@ Reading checks every payload against its digest and every part against its root.
 """
 
 import hashlib
-import uuid
 import zlib
 
 import numpy as np
@@ -146,14 +146,15 @@ def write_store(docs: DataFrame, folder: str, text: str = "text", path: str | No
     """Encode whole texts (null: empty) once and write the store.
 
     Repeated ids are separate recipes. Null ids come first. Each task sends a chunk on
-    once; after one shuffle by digest the copies from different tasks are dropped.
+    once; one shuffle drops the copies from different tasks. Keys are made from the rows
+    alone, so a task that runs again sends each row where it went before.
     """
     width = _width(path)
     kind = dict(docs.dtypes)["doc_id"]
     listed = pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32())]))
 
     def work(batches):
-        enc, seen, salt, count = _encoder(path), set(), uuid.uuid4().bytes, 0
+        enc, seen = _encoder(path), set()
         for b in batches:
             key, payload, ids_of, n, chunks = [], [], [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -166,8 +167,7 @@ def write_store(docs: DataFrame, folder: str, text: str = "text", path: str | No
                         seen.add(digest)
                         for col, v in zip((key, payload, ids_of, n, chunks), (digest, p, None, None, None)):
                             col.append(v)
-                count += 1
-                for col, v in zip((key, payload, ids_of, n, chunks), (salt + count.to_bytes(8, "big"), None, d, len(ids), own)):
+                for col, v in zip((key, payload, ids_of, n, chunks), (_leaf(d, len(ids), [c["digest"] for c in own]), None, d, len(ids), own)):
                     col.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key, pa.binary()), pa.array(payload, pa.binary()), pa.array(ids_of, b.column(0).type), pa.array(n, pa.int64()), pa.array(chunks, listed)],
@@ -176,12 +176,14 @@ def write_store(docs: DataFrame, folder: str, text: str = "text", path: str | No
 
     made = docs.select("doc_id", text).mapInArrow(work, f"key binary, payload binary, doc_id {kind}, n_tokens bigint, chunks array<struct<digest:binary,n:int>>")
     made = made.withColumn("kind", F.when(F.col("payload").isNull(), "recipe").otherwise("chunk"))
-    once = made.repartition("kind", "key").groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in ("payload", "doc_id", "n_tokens", "chunks")])
+    once = made.repartition("kind", "key").groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in ("payload", "doc_id", "n_tokens", "chunks")], F.count("*").alias("copies"))
     once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/data")
     recipes = docs.sparkSession.read.schema(once.schema).parquet(f"{folder}/data").where("kind = 'recipe'")
-    made = recipes.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "n_tokens")
-    made.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "chunks").write.parquet(f"{folder}/recipes")
-    _part_roots(docs.sparkSession.read.parquet(f"{folder}/recipes")).coalesce(1).write.parquet(f"{folder}/manifest")
+    recipes = recipes.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_tokens", "key", "chunks")
+    made = recipes.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "n_tokens", "key")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # its lower bits count the partition's rows
+    made.select(F.spark_partition_id().alias("part"), place.alias("place"), "doc_id", "n_tokens", "chunks").write.parquet(f"{folder}/recipes")
+    _part_roots(docs.sparkSession.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -195,13 +197,13 @@ def _part_roots(recipes: DataFrame) -> DataFrame:
 
     def leaves(batches):
         for b in batches:
-            out = [_leaf(d, n, [x["digest"] for x in c]) for d, n, c in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], ["part", "doc_id", "n_tokens", "leaf"])
+            out = [_leaf(d, n, [x["digest"] for x in c]) for d, n, c in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.binary())], ["part", "place", "doc_id", "n_tokens", "leaf"])
 
     def roots(batches):
         part, tree, docs, tokens, first = None, None, 0, 0, None
         for b in batches:
-            for p, d, n, leaf in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for p, d, n, leaf in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
                 if p != part:
                     if tree is not None:
                         yield row(part, first, docs, tokens, tree)
@@ -218,8 +220,8 @@ def _part_roots(recipes: DataFrame) -> DataFrame:
         )
 
     kind = dict(recipes.dtypes)["doc_id"]
-    hashed = recipes.select("part", "doc_id", "n_tokens", "chunks").mapInArrow(leaves, f"part int, doc_id {kind}, n_tokens bigint, leaf binary")
-    ordered = hashed.repartition("part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "n_tokens", "leaf")
+    hashed = recipes.select("part", "place", "doc_id", "n_tokens", "chunks").mapInArrow(leaves, f"part int, place bigint, doc_id {kind}, n_tokens bigint, leaf binary")
+    ordered = hashed.repartition("part").sortWithinPartitions("part", "place")
     return ordered.mapInArrow(roots, "part int, first_id string, documents bigint, tokens bigint, root string")
 
 
@@ -274,36 +276,43 @@ def read_digests(spark: SparkSession, folder: str, path: str | None = None) -> D
         raise ValueError("a part doesn't match its Merkle root")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a part
     offset = parts.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"), "n_tokens", "_row").rowsBetween(W.unboundedPreceding, -1)
-    rows = written.select("part", "doc_id", "n_tokens", "chunks", F.monotonically_increasing_id().alias("_row"))
-    starts = rows.select("part", "doc_id", "n_tokens", "_row", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("at"))
-    starts = starts.join(offset, "part").select("_row", "doc_id", (F.col("at") + F.col("offset")).alias("start"), "n_tokens")
-    after = F.expr("transform(chunks, (c, i) -> struct(c.digest as digest, c.n as n))")
-    each = rows.select("_row", "n_tokens", F.posexplode(after).alias("i", "c"), F.col("chunks.n").alias("ns"))
-    each = each.select("_row", F.col("c.digest").alias("digest"), F.col("c.n").alias("k"), F.expr("aggregate(slice(ns, i + 2, size(ns)), 0L, (a, x) -> a + x)").alias("after"))
+    inside = W.partitionBy("part").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    starts = written.select("part", "place", "doc_id", "n_tokens", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("at"))
+    starts = starts.join(offset, "part").select("part", "place", "doc_id", (F.col("at") + F.col("offset")).alias("start"), "n_tokens")
+
+    def chunks(batches):
+        for b in batches:
+            listed = b.column(2)
+            size, flat = listed.value_lengths().to_numpy(), listed.flatten()
+            n = flat.field("n").to_numpy().astype(np.int64)
+            ends, upto = np.cumsum(size), np.cumsum(n)
+            last = np.repeat(upto[ends - 1], size) if len(n) else n
+            row = np.repeat(np.arange(len(size)), size)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), flat.field("digest"), flat.field("n"), pa.array(last - upto)], ["part", "place", "digest", "k", "after"])
+
+    each = written.select("part", "place", "chunks").mapInArrow(chunks, "part int, place bigint, digest binary, k int, after bigint")
     joined = each.join(_payload_table(spark, folder, _width(path)), "digest", "left")
 
     def shift(batches):
         for b in batches:
-            row, k, after, n, crc = (b.column(i) for i in range(5))
+            part, place, k, after, n, crc = b.columns
             if crc.null_count or k.cast(pa.int64()) != n.cast(pa.int64()):
                 raise ValueError("a recipe names a chunk that isn't stored as such")
             v = _times(crc.to_numpy(zero_copy_only=False).astype(np.uint32), _power(4 * after.to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([row, pa.array(v.astype(np.int64))], ["_row", "v"])
+            yield pa.RecordBatch.from_arrays([part, place, pa.array(v.astype(np.int64))], ["part", "place", "v"])
 
-    moved = joined.select("_row", "k", "after", "n", "crc").mapInArrow(shift, "_row bigint, v bigint")
-    crc = moved.groupBy("_row").agg(F.bit_xor("v").alias("ids_crc32"))
-    return starts.join(crc, "_row").select("doc_id", "start", "n_tokens", "ids_crc32")
+    moved = joined.select("part", "place", "k", "after", "n", "crc").mapInArrow(shift, "part int, place bigint, v bigint")
+    crc = moved.groupBy("part", "place").agg(F.bit_xor("v").alias("ids_crc32"))
+    return starts.join(crc, ["part", "place"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def read_ids(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
     """(doc_id, ids binary) of every recipe: chunks joined back in order, as 32-bit integers."""
     width = _width(path)
-    whole = spark.read.parquet(f"{folder}/recipes").select("doc_id", "chunks", F.monotonically_increasing_id().alias("_row"))
-    rows = whole.select("doc_id", "_row", F.posexplode("chunks").alias("i", "c"))
+    rows = spark.read.parquet(f"{folder}/recipes").select("doc_id", "part", "place", F.posexplode("chunks").alias("i", "c"))
     chunks = _chunks(spark, folder)
-    full = rows.select("_row", "doc_id", "i", F.col("c.digest").alias("digest")).join(chunks, "digest")
-    whole = full.groupBy("_row", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "payload"))), lambda x: x["payload"]).alias("p"))
+    full = rows.select("part", "place", "doc_id", "i", F.col("c.digest").alias("digest")).join(chunks, "digest")
+    whole = full.groupBy("part", "place", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "payload"))), lambda x: x["payload"]).alias("p"))
 
     def work(batches):
         for b in batches:
@@ -315,6 +324,9 @@ def read_ids(spark: SparkSession, folder: str, path: str | None = None) -> DataF
 
 
 def store_query(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Write a store of whole texts and read (doc_id, start, n_tokens, ids_crc32) back from
+    its files. Null and empty texts have the end id alone; rows that share an id each have a
+    place of their own, null ids first; an empty table gives an empty table."""
     ws = Workspace(docs.sparkSession, "token-store")
     write_store(docs, ws.root, path=path)
     return read_digests(docs.sparkSession, ws.root, path)
