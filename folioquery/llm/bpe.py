@@ -85,5 +85,6 @@ def _digest(ids: bytes, enc: Encoder) -> list:
 
 
 def bpe_query(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text; cases as in encode()."""
     kind = dict(docs.dtypes)["doc_id"]
     return _run(docs, "text", path, SHARE, "doc_id", f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digest)

@@ -105,6 +105,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple
 
 
 def decontam_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The contract's columns for every row; cases as in scan()."""
     return scan(docs, benchmark).select(
         "doc_id",
         "n_words",
@@ -115,9 +116,9 @@ def decontam_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with windows of fewer than ``min_items`` items, all columns."""
     cols = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col("text").alias("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col(text).alias("text"))
     clean = scan(packed, benchmark, keep=("row",)).where(F.size("items") < min_items)
     return clean.select(*[F.col("row")[c].alias(c) for c in cols])

@@ -140,6 +140,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def pii_query(docs: DataFrame) -> DataFrame:
+    """The contract's columns and the largest score of a document's spans; cases as in find_pii()."""
     found = find_pii(docs)
     base = F.filter("pii", lambda s: s["kind"].isin(BASE))
     return found.select(

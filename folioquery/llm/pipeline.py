@@ -46,7 +46,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's result is written to the shared folder and read again as the next one's input."""
+    """Each stage's result is written to the shared folder and read again as the next one's
+    input. An empty table gives an empty table; null and empty texts go with the first stage."""
     ws = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:

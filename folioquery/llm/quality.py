@@ -175,13 +175,14 @@ def judge(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",), rules=
 
 
 def quality_query(docs: DataFrame) -> DataFrame:
+    """The contract's columns and the posterior; cases as in judge()."""
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
     return judge(docs).select(*cols)
 
 
-def filter_quality(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; null and empty texts go."""
     cols = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col("text").alias("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col(text).alias("text"))
     judged = judge(packed, keep=("row",)).where("kept")
     return judged.select(*[F.col("row")[c].alias(c) for c in cols])

@@ -44,14 +44,15 @@ def candidates(text: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), value_of(s).alias("value")))
 
 
-def scan(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",), owner: str = "source", repository: str = "concat_ws('/', source, lang)", shared_by: int = 3) -> DataFrame:
-    """The kept columns, ``found`` (the candidates), ``n_example`` and ``n_live``.
+def scan(docs: DataFrame, owner: str, repository: str, text: str = "text", keep: tuple = ("doc_id",), shared_by: int = 3) -> DataFrame:
+    """The kept columns and ``found``, the candidates, each with ``owners`` and
+    ``repositories`` (how many distinct ones have its value in all documents) and ``live``.
 
-    A candidate's value is hashed and counted by distinct owners and repositories over
-    all documents. At ``shared_by`` owners or more it counts as a copied example, else as
-    live-looking; ``max_owners`` and ``max_repositories`` are the largest counts of the
-    row's candidates. Null owners count as one owner. One output row for each input
-    row; null texts count as empty; repeated ids don't matter.
+    owner, repository: SQL expressions over ``docs`` that say whose a row is. A value is
+    hashed; at ``shared_by`` owners or more it is a copied example, else it looks live and
+    belongs to its few owners. Null owners count as one owner. One output row for each
+    input row; null texts count as empty; repeated ids don't matter. A value that very many
+    rows have is one row on the counted side of the join, so Spark can split its rows.
     """
     ws = Workspace(docs.sparkSession, "secrets")
     t = F.coalesce(F.col(text), F.lit(""))
@@ -63,35 +64,37 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",), owner:
         F.monotonically_increasing_id().alias("_row"),
     )
     rows = ws.table(rows, "found")
-    cand = rows.where(F.size("found") > 0).select("_row", "_owner", "_repo", F.explode(F.transform("found", lambda s: F.sha2(s["value"], 256))).alias("_h"))
+    name = lambda s: F.sha2(s["value"], 256)
+    each = F.explode(F.array_distinct(F.transform("found", name)))
+    cand = rows.where(F.size("found") > 0).select("_row", "_owner", "_repo", each.alias("_h"))
     seen = cand.groupBy("_h", "_owner", "_repo").agg(F.lit(1).alias("one")).groupBy("_h", "_owner").agg(F.count("*").alias("r"))
     seen = seen.groupBy("_h").agg(F.count("*").alias("owners"), F.sum("r").alias("repos"))
-    by_row = (
-        cand.groupBy("_row", "_h")
-        .agg(F.count("*").alias("n"))
-        .join(seen, "_h")
-        .groupBy("_row")
-        .agg(
-            F.sum(F.when(F.col("owners") >= shared_by, F.col("n")).otherwise(0)).alias("n_example"),
-            F.sum(F.when(F.col("owners") < shared_by, F.col("n")).otherwise(0)).alias("n_live"),
-            F.max("owners").alias("max_owners"),
-            F.max("repos").alias("max_repositories"),
-        )
-    )
-    zero = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_example", "n_live", "max_owners", "max_repositories")]
-    return rows.join(by_row, "_row", "left").select(*keep, "found", *zero)
+    counts = cand.select("_row", "_h").join(seen, "_h").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_h", F.struct("owners", "repos")))).alias("_of"))
+
+    def judged(s):
+        of = F.col("_of")[name(s)]
+        return F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "text", "value")], of["owners"].alias("owners"), of["repos"].alias("repositories"), (of["owners"] < shared_by).alias("live"))
+
+    return rows.join(counts, "_row", "left").select(*keep, F.transform("found", judged).alias("found"))
 
 
 def secrets_query(docs: DataFrame) -> DataFrame:
-    found = scan(docs)
+    """The contract's columns; ``verdicts`` (live or example, owners and repositories of
+    each span, in their order), counts of both, and the largest counts of a document. The
+    source stands for the owner, source and language for the repository. ASCII letters
+    only in either case; rules for nulls and repeats as in scan()."""
+    found = scan(docs, "source", "concat_ws('/', source, lang)")
     base = F.filter("found", lambda s: s["kind"].isin(BASE))
+    said = F.transform("found", lambda s: F.concat_ws(":", F.when(s["live"], "live").otherwise("example"), s["owners"].cast("string"), s["repositories"].cast("string")))
+    most = lambda c: F.coalesce(F.array_max(F.transform("found", lambda s: s[c])), F.lit(0)).cast("long").alias(f"max_{c}")
     return found.select(
         "doc_id",
         *[S.count_of(F.col("found"), k).alias(f"n_{k}") for k in BASE],
         F.sha2(S.written(base), 256).alias("base_sha256"),
         S.written(F.col("found")).alias("spans"),
-        "n_example",
-        "n_live",
-        "max_owners",
-        "max_repositories",
+        F.array_join(said, ",").alias("verdicts"),
+        F.size(F.filter("found", lambda s: ~s["live"])).cast("long").alias("n_example"),
+        F.size(F.filter("found", lambda s: s["live"])).cast("long").alias("n_live"),
+        most("owners"),
+        most("repositories"),
     )

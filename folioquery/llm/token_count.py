@@ -116,14 +116,18 @@ def _counter(path: str | None, byte_fallback: bool) -> Counter:
     return _held[key]
 
 
-def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, byte_fallback: bool = True, keep: str = "doc_id") -> DataFrame:
+def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, byte_fallback: bool = True, keep: str = "doc_id", pieces: list[tuple[str, float]] | None = None, unknown: int = 0) -> DataFrame:
     """(doc_id, n_tokens, score) for every row; null and empty texts have no tokens.
 
+    pieces: (piece, log-probability) by id of a unigram model, of which piece ``unknown``
+    stands for unknown text; without them the vocabulary file's pieces with Zipf's.
+    byte_fallback: the vocabulary has a piece for each byte.
+
     Rows stay apart, also with equal or null ids; other columns are ignored.
     """
 
     def work(batches):
-        c = _counter(path, byte_fallback)
+        c = Counter(pieces, byte_fallback, unknown) if pieces else _counter(path, byte_fallback)
         for b in batches:
             got = [c.text(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())], [keep, "n_tokens", "score"])

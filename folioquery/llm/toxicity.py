@@ -8,8 +8,10 @@ forward-backward marginals give each cue token its probability of being toxic; t
 gives the document's score by a two-parameter calibration on the training rows, and the
 likely ones are the offending spans.
 
-The fit reads at most about ``rows`` labelled rows, picked by hash. Labels, language,
-source and id are never inputs of a score.
+The fit reads at most about ``rows`` labelled rows, picked by hash, for cues and
+calibration, and at most about ``windows`` sequences of tokens around cues for the field.
+Every cue of those rows that passes counts. Labels, language, source and id are never
+inputs of a score.
 """
 
 import math
@@ -22,7 +24,10 @@ from pyspark.sql import functions as F
 
 from folioquery.plans.workspace import Workspace
 
-ROWS, FIELD_ROWS, CUES = 40_000, 6_000, 4_000
+ROWS, FIELD_ROWS, WINDOWS = 40_000, 6_000, 200_000
+#: Least occurrences in toxic text and least log-odds ratio of a cue; chosen on a fifth of the
+#: training rows, held back from the fit.
+LEAST, ODDS = 5, 3.0
 _WORD = re.compile(r"[^\W_]+")
 _MEMO = 400_000
 EDGE = 2
@@ -35,18 +40,6 @@ def parts(word: str) -> list[str]:
     return ["w:" + word, "4:" + word[:4], "5:" + word[:5], "e:" + word[-4:]]
 
 
-def choose_cues(counts: list[tuple[str, int, int]], toxic: int, clean: int, least: int = 5, odds: float = 4.0, most: int = CUES) -> list[str]:
-    """Cues by their occurrences in toxic and clean text: log-odds ratio of at least
-    ``odds``, the ``most`` surest."""
-    out = []
-    for name, t, c in counts:
-        if t >= least:
-            r = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-            if r >= odds:
-                out.append((-r / math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)), name))
-    return [name for _, name in sorted(out)[:most]]
-
-
 class Field:
     """Two tags, 0 clean and 1 toxic. Scores: bias and cue weights for tag 1, move[a, b]."""
 
@@ -229,7 +222,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", label:
     return texts.select("text", "toxic", (F.col("h") / F.lit(1_000_000 * share)).alias("h")).dropDuplicates(["text"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", rows: int = ROWS, field_rows: int = FIELD_ROWS):
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", rows: int = ROWS, field_rows: int = FIELD_ROWS, n_windows: int = WINDOWS):
     """(Field, (intercept, slope)). Without labels of both kinds the field is empty and the
     intercept is the share of toxic rows."""
     spark = docs.sparkSession
@@ -258,9 +251,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         return Field([]), (math.log((yes + 0.5) / (no + 0.5)), 0.0)
     total = counts.where("cue like 'w:%'").agg(F.sum("t"), F.sum("c")).first()
     toxic, clean = int(total[0]), max(1, int(total[1]), int(total[0] * no / yes))
-    ahead = counts.where((F.col("t") >= 5) & (F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1)) >= 4.0))
-    surest = ahead.orderBy(F.desc("t"), "cue").limit(4 * CUES)
-    cues = choose_cues([(r["cue"], r["t"], r["c"]) for r in surest.collect()], toxic, clean)
+    # those of at most ``rows`` rows, so their number doesn't grow with the corpus
+    odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
+    cues = sorted(r["cue"] for r in counts.where((F.col("t") >= LEAST) & (odds >= ODDS)).select("cue").collect())
     field = Field(cues)
     some = F.col("h") <= min(1.0, field_rows / (yes + no))
 
@@ -270,16 +263,22 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ws_ = words_of(t)
                 cs = [field.cues_of(w) for w in ws_]
-                hot = [i for i, c in enumerate(cs) if c]
-                while hot:
-                    a = z = hot.pop(0)
-                    while hot and hot[0] - z <= 2 * EDGE and hot[0] - a < 40:
-                        z = hot.pop(0)
+                hot, k = [i for i, c in enumerate(cs) if c], 0
+                while k < len(hot):
+                    a = z = hot[k]
+                    k += 1
+                    while k < len(hot) and hot[k] - z <= 2 * EDGE and hot[k] - a < 40:
+                        z = hot[k]
+                        k += 1
                     lo, hi = max(0, a - EDGE), min(len(ws_), z + EDGE + 1)
                     out.append(([[int(c) for c in x] for x in cs[lo:hi]], [int(bool(x) and y > 0) for x in cs[lo:hi]]))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.list_(pa.list_(pa.int32()))), pa.array([o[1] for o in out], pa.list_(pa.int32()))], ["cues", "tags"])
 
-    got = train.where(some).select("text", "toxic").mapInArrow(windows, "cues array<array<int>>, tags array<int>").collect()
+    found = ws.table(train.where(some).select("text", "toxic").mapInArrow(windows, "cues array<array<int>>, tags array<int>"), "windows")
+    n = found.count()
+    if n > n_windows:
+        found = found.where(F.rand(17) < n_windows / n)
+    got = found.collect()
     field.fit([(r["cues"], r["tags"]) for r in got])
 
     def sums(batches):
@@ -341,5 +340,8 @@ def _places(text: str) -> list[tuple[int, int]]:
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted and n_spans for every row; null, empty and
+    wordless texts have the score of a text without cues; without labels of both kinds all
+    rows have the same score; rows without an id aren't held out."""
     scored = tag(docs, fit(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))

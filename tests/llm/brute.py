@@ -19,10 +19,12 @@ def pii(text):
             out.append((m.start(),k,kind,m.end()))
     out.sort()
     return [f'{k}:{a}:{b}' for a,_,k,b in out]
-def sec(text):
+def sec(text, added=False):
     t=text or ''; out=[]
-    for k,(kind,p) in enumerate([('assign',r'''((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)'''),('access','AKIA[A-Z0-9]+'),('hex','[0-9a-f]+')]):
-        for m in re.finditer(p,t):
+    kinds=[('assign',r'''((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)'''),('access','AKIA[A-Z0-9]+'),('hex','[0-9a-f]+')]
+    more=[('vendor',r'(?<![A-Za-z0-9_])(gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{20,})'),('jwt',r'(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}'),('pem','-----BEGIN ([A-Z]{1,12} ){0,3}PRIVATE KEY-----')]
+    for k,(kind,p) in enumerate(kinds+(more if added else [])):
+        for m in re.finditer(p,t,re.ASCII):  # either case of ASCII letters only
             if kind=='assign' and len(m.group(2))<8: continue
             if kind=='access' and len(m.group())<16: continue
             if kind=='hex' and len(m.group())<32: continue

@@ -57,6 +57,24 @@ def test_quality_model_finds_planted_junk():
     assert all(a > 0.5 for a in model["accuracy"][:3])
 
 
+def test_quality_posterior_is_that_of_the_model(edge, noisy):
+    """The column's posterior against Bayes' rule written out, and the verdict by it."""
+    import math
+
+    for docs in (edge, noisy):
+        names = [f"v_{n}" for n, *_ in quality.RULES]
+        rows = quality.judge(docs).collect()
+        patterns: dict = {}
+        for r in rows:
+            v = tuple(r[n] for n in names)
+            patterns[v] = patterns.get(v, 0) + 1
+        model = quality.fit(list(patterns.items()))
+        for r in rows:
+            joint = [math.exp(p + sum(rate[r[n]] for n, rate in zip(names, rates))) for p, rates in zip(model["log_prior"], model["log_rate"])]
+            assert abs(r.quality - joint[0] / sum(joint)) < 1e-9
+            assert r.kept == (not r.base_failed and r.quality >= 0.5)
+
+
 def test_quality_filter_keeps_columns(read, edge):
     docs = read("documents")
     kept = quality.filter_quality(docs)
@@ -123,17 +141,36 @@ def test_pii_redact(spark, edge):
     assert pii.redact(edge).columns == edge.columns
 
 
-def test_secrets(edge, noisy, read):
-    for docs in (edge, noisy, read("documents")):
-        want = sorted(sha(brute.sec(t)) for _, t in rows_of(docs))
-        assert sorted(r.base_sha256 for r in secrets.secrets_query(docs).collect()) == want
+def test_secrets(spark, edge, noisy, read):
+    ascii_only = spark.createDataFrame([(1, "pa\u017f\u017fword = abcdefgh12 to\u212aen=abcdefgh12"), (2, "PassWord = abcdefgh12")], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
+    for docs in (edge, noisy, read("documents"), ascii_only):
+        got = secrets.secrets_query(docs).collect()
+        want = [brute.sec(t) for _, t in rows_of(docs)]
+        assert sorted(r.base_sha256 for r in got) == sorted(map(sha, want))
+        kinds = lambda spans: tuple(sum(x.startswith(k + ":") for x in spans) for k in secrets.BASE)
+        assert sorted((r.n_assign, r.n_access, r.n_hex) for r in got) == sorted(map(kinds, want))
+        whole = sorted(",".join(brute.sec(t, added=True)) for _, t in rows_of(docs))
+        assert sorted(r.spans for r in got) == whole
+        assert all(len(r.verdicts.split(",")) == len(r.spans.split(",")) and r.n_live + r.n_example == (len(r.spans.split(",")) if r.spans else 0) for r in got)
+
+
+def test_secrets_added_kinds(spark):
+    texts = ["x ghp_" + "z1" * 18 + " y", "sk_live_" + "0Z" * 8, "xoxb-" + "1-a" * 7, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM", "-----BEGIN RSA PRIVATE KEY-----", "ghp_short sk_live_x xoxb-1 eyJa.b.c _ghp_" + "z1" * 18]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = [r.spans.split(":")[0] for r in secrets.secrets_query(docs).orderBy("doc_id").collect()]
+    assert got == ["vendor", "vendor", "vendor", "jwt", "pem", ""]
+    assert sorted(r.spans for r in secrets.secrets_query(docs).collect()) == sorted(",".join(brute.sec(t, added=True)) for t in texts)
 
 
 def test_secret_owners(spark):
     shared, own = "password=example1234", "password=q8Zr7Lw2Kp"
-    rows = [(i, f"x {shared} y", "en", f"owner{i}") for i in range(5)] + [(9, f"{own} {own}", "en", "owner1"), (10, own, "en", None)]
-    got = {r.doc_id: (r.n_example, r.n_live, r.max_owners) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert got == {**{i: (1, 0, 5) for i in range(5)}, 9: (0, 2, 2), 10: (0, 1, 2)}
+    rows = [(i, f"x {shared} y", "en", f"owner{i}") for i in range(5)] + [(9, f"{own} {own} {shared}", "en", "owner1"), (10, own, "en", None), (11, own, "de", "owner1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: [(s.value, s.owners, s.repositories, s.live) for s in r.found] for r in secrets.scan(docs, "source", "concat_ws('/', source, lang)").collect()}
+    a, b = ("example1234", 5, 5, False), ("q8Zr7Lw2Kp", 2, 3, True)
+    assert got == {**{i: [a] for i in range(5)}, 9: [b, b, a], 10: [b], 11: [b]}
+    r = secrets.secrets_query(docs).where("doc_id = 9").first()
+    assert (r.n_example, r.n_live, r.max_owners, r.max_repositories, r.verdicts) == (1, 2, 5, 5, "live:2:3,live:2:3,example:5:5")
 
 
 def test_empty_tables(spark, empty):

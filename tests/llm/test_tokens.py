@@ -1,6 +1,7 @@
 """Encoding, the token store and token counts against the libraries."""
 
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -176,6 +177,21 @@ def test_count_ties():
         assert c.text(s)[0] == len(t.encode(s).ids)
 
 
+def test_counts_of_a_model_with_real_scores(spark):
+    """Pieces as (piece, log-probability), not in order of rank, unknown piece not first."""
+    random.seed(12)
+    names = sorted({"".join(random.choice("abcde\u2581é漢") for _ in range(random.randrange(1, 5))) for _ in range(300)})
+    pieces = [(p, math.log(random.random() ** 4 + 1e-9)) for p in names]
+    pieces.insert(7, ("<unk>", -20.0))
+    pieces += [(f"<0x{b:02X}>", -25.0) for b in range(256)]
+    for fallback in (True, False):
+        t = Tokenizer(models.Unigram(pieces, unk_id=7, byte_fallback=fallback))
+        t.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=True)
+        rows = [(i, "".join(random.choice("abcde  é漢xy😀") for _ in range(random.randrange(40)))) for i in range(300)]
+        got = token_count.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), pieces=pieces, unknown=7, byte_fallback=fallback)
+        assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(t.encode(s).ids) for i, s in rows}
+
+
 def test_count_query(edge, empty):
     got = token_count.count_tokens(edge).collect()
     assert len(got) == edge.count()
