@@ -1,10 +1,12 @@
 """Tables written into the folder that driver and executors share.
 
 A written table cuts a plan's lineage and survives lost executors. Its place is
-``spark.checkpoint.dir``; only where no such setting exists (tests, one machine)
-a folder is made and set as the session's checkpoint folder.
+``spark.checkpoint.dir``; only where no such setting exists and the session runs on one
+machine (tests) a folder is made and set as the session's checkpoint folder. A cluster
+without the setting is an error, as its machines wouldn't see each other's files.
 """
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folio-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
