@@ -184,8 +184,8 @@ def test_keys_dealt_out_are_met(spark):
     want = defaultdict(set)
     for r in dealt.collect():
         want[r.key].add(r.name)
-    assert dealt.where("salt > 0").count() >= 300
-    want = {(k, n & ~1) for k, names in want.items() if len({n & ~1 for n in names}) > 1 and any(not n & 1 for n in names) for n in names}
+    assert dealt.where("name & 2 > 0").count() >= 300
+    want = {(k, n & ~3) for k, names in want.items() if len({n & ~3 for n in names}) > 1 and any(not n & 1 for n in names) for n in names}
     assert {tuple(r) for r in line_dedup._met(dealt).collect()} == want
 
 
