@@ -8,11 +8,15 @@ from pyspark.sql import SparkSession
 
 from folioquery.plans.workspace import Workspace
 
+BATCH = 2_000
 _done: set = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources once a Spark application, by the shared folder."""
+    """Send the package's sources once a Spark application, by the shared folder. Rows move
+    to Python 2,000 at a time: documents can be long, and a batch lies in memory three times."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     app = spark.sparkContext.applicationId
     if app in _done:
         return
