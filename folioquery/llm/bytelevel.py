@@ -17,7 +17,7 @@ from tokenizers import pre_tokenizers
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Entries of a worker's memory before they become old ones, and the longest that is kept.
-MEMO, MEMO_CHARS = 300_000, 64
+MEMO, MEMO_CHARS = 120_000, 64
 #: A blank, Latin letters, then ASCII marks: two pre-tokens, or one without marks.
 _SIMPLE = re.compile(r"( [A-Za-zÀ-ÖØ-öø-ſ]+)([!-/:-@\[-`{-~]*)\Z")
 #: A space before white space or the end: such texts are cut by pattern instead.
@@ -174,10 +174,13 @@ _held: dict = {}
 
 
 def encoder(path: str | None = None, lexicon_file: str | None = None) -> Encoder:
-    """This process's encoder for a vocabulary file and a lexicon file."""
+    """This process's encoder for a vocabulary file and a lexicon file. Of encoders with a
+    lexicon only the last is held, as workers outlive the query that made a lexicon."""
     key = (path or public_tokenizers.path(TOKENIZER), lexicon_file)
     if key not in _held:
         from folioquery.llm.lexicon import Lexicon
 
+        for old in [k for k in _held if k[1]]:
+            del _held[old]
         _held[key] = Encoder(key[0], Lexicon.open(lexicon_file) if lexicon_file else None)
     return _held[key]

@@ -33,9 +33,9 @@ K, LISTED = 32, 16
 SHINGLE = 5
 PERCENT = 85
 #: Members of a list, and shingles of a cluster, that one task compares with each other.
-LIST_BLOCK, SET_BLOCK = 1024, 400_000
+LIST_BLOCK, SET_BLOCK = 2048, 1_000_000
 _PAD = np.iinfo(np.int64).max
-_MEMO = 500_000
+_MEMO = 200_000
 
 
 class _WordHash(dict):

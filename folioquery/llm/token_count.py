@@ -22,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 
 VOCABULARY = "piece_bpe_32k.model"
-MARK, PENALTY, MEMO = "▁", 10.0, 400_000
+MARK, PENALTY, MEMO = "▁", 10.0, 200_000
 
 
 def vocabulary(path: str | None = None) -> list[tuple[str, float]]:

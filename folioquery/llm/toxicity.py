@@ -29,7 +29,7 @@ ROWS, FIELD_ROWS, WINDOWS = 40_000, 6_000, 200_000
 #: training rows, held back from the fit.
 LEAST, ODDS = 5, 3.0
 _WORD = re.compile(r"[^\W_]+")
-_MEMO = 400_000
+_MEMO = 200_000
 EDGE = 2
 
 

@@ -183,9 +183,9 @@ def test_keys_dealt_out_are_met(spark):
     dealt = line_dedup._keys(docs, "text", 2, 24)
     want = defaultdict(set)
     for r in dealt.collect():
-        want[r.key].add(r.name)
-    assert dealt.where("name & 2 > 0").count() >= 300
-    want = {(k, n & ~3) for k, names in want.items() if len({n & ~3 for n in names}) > 1 and any(not n & 1 for n in names) for n in names}
+        want[r.key & ~1].add((r.key & 1, r.name & ~1))
+    assert dealt.where("name & 1 > 0").count() >= 300
+    want = {(k, n) for k, names in want.items() if len({n for _, n in names}) > 1 and any(not role for role, _ in names) for _, n in names}
     assert {tuple(r) for r in line_dedup._met(dealt).collect()} == want
 
 
