@@ -34,10 +34,11 @@ def fold_marks(c: Column) -> Column:
 
 
 def snake(c: Column, default: str = "field") -> Column:
-    """Identifier: camel humps and other characters to single underscores, lower case."""
+    """Identifier: camel humps and other characters to single underscores, lower case; ``n``
+    before a digit at the start."""
     s = F.regexp_replace(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1_$2"), "[^0-9a-zA-Z]+", "_")
     s = F.lower(F.regexp_replace(s, "^_+|_+$", ""))
-    s = F.when(s.rlike("^[0-9]"), F.concat(F.lit("_"), s)).otherwise(s)
+    s = F.when(s.rlike("^[0-9]"), F.concat(F.lit("n"), s)).otherwise(s)
     return F.when(F.coalesce(s, F.lit("")) == "", F.lit(default)).otherwise(s)
 
 
@@ -51,27 +52,51 @@ def humanize(c: Column) -> Column:
 
 
 def norm_key(c: Column) -> Column:
-    """Key name: anything but a-z and 0-9 to one underscore, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    """Key name: lower case; white space, hyphens and underscores to one underscore, none at
+    the ends. Other characters stay."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[ \t\n\x0B\f\r_-]+", "_"), "^_+|_+$", "")
 
 
 def _unless_empty(new: Column, old: Column) -> Column:
     return F.when(new == "", old).otherwise(new)
 
 
-def norm_value(c: Column) -> Column:
-    """Comparable value: quotes, then citation brackets, a final period and a percent sign
-    go, each only if something is left."""
-    s = clean_ws(F.lower(fold_marks(c)))
-    s = _unless_empty(F.regexp_replace(s, "^[\"'`]+|[\"'`]+$", ""), s)
-    s = _unless_empty(F.trim(F.regexp_replace(s, r"\[[0-9, ]+\]", "")), s)
-    s = _unless_empty(F.regexp_replace(s, r"\.$", ""), s)
-    return _unless_empty(F.trim(F.regexp_replace(s, "%$", "")), s)
+CITATION = r"[ \t\n\x0B\f\r]*\[[0-9]+(,[ \t\n\x0B\f\r]*[0-9]+)*\]"
+#: Signs that values write in several ways.
+SIGNS = [("×", "x"), ("−", "-"), ("–", "-"), ("—", "-"), ("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("±", "+-"), ("≤", "<="), ("≥", ">="), ("∈", " in "), ("\u00a0", " ")]
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility form of Unicode. ASCII texts keep to the JVM's side of the batch as they are."""
+    import unicodedata
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def form(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+    return form(c)
+
+
+def norm_value(c: Column, compose: bool = True) -> Column:
+    """Comparable value: compatibility form, signs folded, lower case, collapsed; outer quotes
+    go, citation brackets unless nothing else is left, then a final period and, with
+    something before it, a percent sign. Null is empty."""
+    s = F.coalesce(c, F.lit(""))
+    s = nfkc(s) if compose else s
+    for a, b in SIGNS:
+        s = F.replace(s, F.lit(a), F.lit(b))
+    s = F.regexp_replace(F.lower(clean_ws(s)), "^[\"']+|[\"']+$", "")
+    s = _unless_empty(F.trim(F.regexp_replace(s, CITATION, "")), s)
+    s = F.trim(F.regexp_replace(s, r"\.$", ""))
+    return F.when(s.endswith("%"), _unless_empty(F.trim(F.regexp_replace(s, "%$", "")), s)).otherwise(s)
 
 
 def norm_entity(c: Column) -> Column:
-    s = clean_ws(F.lower(c))
-    return _unless_empty(F.trim(F.regexp_replace(s, r"\[[0-9, ]+\]", "")), s)
+    """Lower case, collapsed, without citation brackets unless nothing else is left."""
+    s = F.lower(clean_ws(F.coalesce(c, F.lit(""))))
+    return _unless_empty(F.trim(F.regexp_replace(s, CITATION, "")), s)
 
 
 def canon_value(c: Column) -> Column:
@@ -156,14 +181,15 @@ def hms(seconds: Column) -> Column:
 
 
 def node_kind(text: Column, is_heading: Column) -> Column:
-    """Kind of a passage by its surface."""
-    t = F.trim(text)
+    """Kind of a passage by its surface: heading, image, formula, table, marker (under four
+    characters once folded) or prose."""
+    t = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
     return (
         F.when(is_heading, "heading")
-        .when(t.rlike(r"^!\["), "image")
-        .when(t.rlike(r"^\$\$|^\\\[|^\\begin\{(equation|align)"), "formula")
-        .when(t.rlike(r"^\|") | F.lower(t).contains("<table"), "table")
-        .when(F.length(t) <= 3, "marker")
+        .when(t.startswith("!["), "image")
+        .when(t.startswith("$"), "formula")
+        .when(t.startswith("|") | t.contains("| --- |"), "table")
+        .when(F.length(fold_marks(t)) < 4, "marker")
         .otherwise("prose")
     )
 
@@ -218,8 +244,9 @@ TYPE_ALIASES = {
 
 
 def semantic_type(c: Column) -> Column:
-    """struct(type, known): the type a name stands for, by the whole or its first word; string otherwise."""
+    """struct(type, known): the type that a name stands for, by its identifier form or that
+    form's first word; string otherwise."""
     table = F.create_map(*[F.lit(x) for k, v in (TYPE_ALIASES | {p: p for p in PRIMITIVE_TYPES}).items() for x in (k, v)])
-    whole = F.lower(F.trim(c))
-    found = F.coalesce(F.try_element_at(table, whole), F.try_element_at(table, F.regexp_extract(whole, "^([a-z0-9_-]+)", 1)))
+    whole = snake(F.trim(c), "")
+    found = F.coalesce(F.try_element_at(table, whole), F.try_element_at(table, F.split_part(whole, F.lit("_"), F.lit(1))))
     return F.struct(F.coalesce(found, F.lit("string")).alias("type"), found.isNotNull().alias("known"))

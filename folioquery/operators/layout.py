@@ -1,16 +1,11 @@
-"""Boxes on pages: assigning lines to blocks, grouping what is left, reading order."""
+"""Boxes on pages: assigning lines to blocks, grouping what is left."""
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioquery.functions.geometry import Box, union_of
 
-#: Which labels are figures and which are page furniture, for reading order.
-VISION_LABELS = ["image", "figure", "table", "chart", "display_formula", "formula", "seal"]
-MARGINAL_LABELS = ["aside_text", "header", "footer", "header_image", "footer_image", "number"]
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 #: Which extractor a block's label asks for.
 BLOCK_TYPES = {
     "TITLE": ["doc_title", "paragraph_title", "title", "sub_title", "chapter_title"],
@@ -22,10 +17,6 @@ BLOCK_TYPES = {
 }
 
 
-def category(label):
-    return F.when(label.isin(VISION_LABELS), "vision").when(label.isin(MARGINAL_LABELS), "marginal").otherwise("other")
-
-
 def block_type(label):
     """The type of a label, whatever its case and outer blanks; UNKNOWN for others and null."""
     name, out = F.lower(F.trim(label)), F.lit("UNKNOWN")
@@ -113,63 +104,3 @@ def aggregate_region_text(lines: DataFrame, by: list[str]) -> DataFrame:
     """(by, region, text, score): a region's lines from top to bottom, and their mean score."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))), lambda s: s["text"]), " ")
     return lines.groupBy(*by, "region").agg(text.alias("text"), F.round(F.avg("score"), 4).alias("score"))
-
-
-def reading_order(boxes: DataFrame, by: list[str], least_gap: float = 1.0, dense: float = 0.9) -> DataFrame:
-    """(by, box, ord): positions from 0 in reading order on each page.
-
-    Body boxes are cut in two again and again at the widest gap that no box straddles: a
-    column gap first where the page is tall and narrow blocks lie side by side, else a row
-    gap; what can't be cut goes by (y, x). Figures and furniture then take the place of
-    their nearest body box, furniture after figures, and ties go by (y, x). A page's boxes
-    are held together while pages stream by. boxes: by, box, label, x0..y1.
-    """
-    import itertools
-
-    def split(rows, lo, hi):
-        rows, reach, best, at = sorted(rows, key=lambda r: (r[lo], r[hi])), None, least_gap, None
-        for i, r in enumerate(rows):
-            if reach is not None and r[lo] - reach > best:
-                best, at = r[lo] - reach, i
-            reach = r[hi] if reach is None else max(reach, r[hi])
-        return None if at is None else (best, rows[:at], rows[at:])
-
-    def cut(rows):
-        if len(rows) < 2:
-            return list(rows)
-        across, down = split(rows, "x0", "x1"), split(rows, "y0", "y1")
-        found = across if across and (not down or across[0] >= down[0] * dense) else down or across
-        if found is None:
-            return sorted(rows, key=lambda r: (r["y0"], r["x0"], r["box"]))
-        return cut(found[1]) + cut(found[2])
-
-    def middle(r):
-        return (r["x0"] + r["x1"]) / 2, (r["y0"] + r["y1"]) / 2
-
-    def place(rows: list[dict]) -> list[dict]:
-        kind = {r["box"]: "vision" if r["label"] in VISION_LABELS else "marginal" if r["label"] in MARGINAL_LABELS else "body" for r in rows}
-        body = cut([r for r in rows if kind[r["box"]] == "body"])
-        slot = {r["box"]: i for i, r in enumerate(body)}
-        anchors = list(body)
-        for wanted in ("vision", "marginal"):
-            for r in sorted((r for r in rows if kind[r["box"]] == wanted), key=lambda r: (r["y0"], r["x0"], r["box"])):
-                x, y = middle(r)
-                near = min(anchors, key=lambda a: ((middle(a)[0] - x) ** 2 + (middle(a)[1] - y) ** 2, slot[a["box"]]), default=None)
-                slot[r["box"]] = slot[near["box"]] if near else 0
-                if near and wanted == "vision":
-                    anchors.append(r)
-        rank = {"vision": 0, "body": 1, "marginal": 2}
-        return sorted(rows, key=lambda r: (slot[r["box"]], rank[kind[r["box"]]], r["y0"], r["x0"], r["box"]))
-
-    def work(batches):
-        each = (r for b in batches for r in b.to_pylist())
-        page = lambda r: tuple(r[c] for c in by)
-        done = ({**{c: r[c] for c in by}, "box": r["box"], "ord": i} for _, rows in itertools.groupby(each, page) for i, r in enumerate(place(list(rows))))
-        while some := list(itertools.islice(done, 10_000)):
-            yield pa.RecordBatch.from_pylist(some, schema=arrow)
-
-    kinds = dict(boxes.dtypes)
-    arrow = pa.schema([(c, _ARROW[kinds[c]]) for c in [*by, "box"]] + [("ord", pa.int64())])
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, "box"]) + ", ord long"
-    held = boxes.select(*by, "box", "label", "x0", "y0", "x1", "y1").repartition(*by).sortWithinPartitions(*by)
-    return held.mapInArrow(work, schema)

@@ -1,0 +1,214 @@
+"""Reading order of page regions by cuts of the page, with figures, furniture and, if asked
+for, titles and spanning boxes put in afterwards, each beside the region it belongs to."""
+
+import itertools
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from folioquery.functions.geometry import Box
+
+#: Which labels are titles, figures and page furniture.
+TITLE_LABELS = ["doc_title", "paragraph_title", "title", "sub_title", "chapter_title", "figure_title", "table_title", "chart_title"]
+VISION_LABELS = ["image", "figure", "table", "chart", "display_formula", "formula", "seal"]
+MARGINAL_LABELS = ["aside_text", "header", "footer", "header_image", "footer_image", "number", "page_number", "footnote", "page_footnote"]
+#: Of regions in one place the higher number comes first; and how much each of
+#: the four terms of the cost counts for a lying or standing title, a spanning box, and others.
+PRIORITY = {"cross": 4, "title": 3, "text": 2, "vision": 1, "marginal": 0}
+EDGE = {("title", True): (1.0, 0.1, 0.1, 1.0), ("title", False): (0.2, 0.1, 1.0, 1.0), "cross": (1.0, 1.0, 0.1, 1.0), "other": (1.0, 1.0, 1.0, 0.1)}
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+@dataclass(frozen=True)
+class Rules:
+    """What is taken out before the cuts, and when a page is cut by rows first."""
+
+    spanning: float = 1.3
+    dense: float = 0.9
+    least_gap: float = 1.0
+    aligned: float = 0.3
+    titles_apart: bool = False
+    vision_apart: bool = True
+    marginal_apart: bool = True
+    spanning_apart: bool = False
+    widest_axis: bool = False
+    marginal_labels: tuple = tuple(MARGINAL_LABELS)
+
+
+#: The smaller rule set: notes and page numbers are body text.
+PLAIN = Rules(marginal_labels=tuple(MARGINAL_LABELS[:6]))
+
+
+def category(label: Column, rules: Rules = Rules()) -> Column:
+    """title, vision, marginal or text."""
+    return F.when(label.isin(TITLE_LABELS), "title").when(label.isin(VISION_LABELS), "vision").when(label.isin(*rules.marginal_labels), "marginal").otherwise("text")
+
+
+def edge_weights(kind: Column, lying: Column) -> Column:
+    """The four weights of the cost, by category and orientation."""
+    as_array = lambda w: F.array(*map(F.lit, w))
+    return F.when((kind == "title") & lying, as_array(EDGE["title", True])).when(kind == "title", as_array(EDGE["title", False])).when(kind == "cross", as_array(EDGE["cross"])).otherwise(as_array(EDGE["other"]))
+
+
+def distance(kind: Column, a: Box, b: Box, page: Column, rules: Rules = Rules()) -> Column:
+    """Cost of placing box ``a`` beside box ``b`` on a page whose longer side is ``page``."""
+    (ax, ay), (bx, by) = a.center, b.center
+    dx, dy = F.abs(ax - bx), F.abs(ay - by)
+    meets = (a.direction == b.direction) & (F.when(a.direction == "h", a.projected_iou(b, "x")).otherwise(a.projected_iou(b, "y")) >= rules.aligned)
+    terms = [
+        F.when(meets, 0.0).otherwise(1.0) * page * page,
+        F.when((a.overlap(b, "x") > 0) | (a.overlap(b, "y") > 0), F.least(dx, dy)).otherwise(dx + dy) * page,
+        F.when((kind == "cross") & (a.y0 > b.y1), -b.y1).otherwise(b.y0),
+        b.x0 / page,
+    ]
+    w = edge_weights(kind, a.direction == "h")
+    cost = sum((w[i] * t for i, t in enumerate(terms)), F.lit(0.0))
+    return F.when(kind == "marginal", dx * dx + dy * dy).otherwise(cost)
+
+
+def regional_density(boxes: DataFrame, by: list[str], cross: str) -> DataFrame:
+    """(by, density): area of spanning boxes over that of the others; infinite without others."""
+    area = Box().area
+    wide, rest = F.sum(F.when(F.col(cross), area).otherwise(0.0)), F.sum(F.when(F.col(cross), 0.0).otherwise(area))
+    return boxes.groupBy(*by).agg(F.when(rest > 0, wide / rest).otherwise(F.lit(float("inf"))).alias("density"))
+
+
+def _gap(b: np.ndarray, rows: np.ndarray, axis: int, least: float):
+    """(width, rows before, rows after) of the first widest stretch that no box crosses, or None."""
+    rows = rows[np.argsort(b[rows, axis], kind="stable")]
+    gaps = b[rows[1:], axis] - np.maximum.accumulate(b[rows, axis + 2])[:-1]
+    at = int(np.argmax(gaps))
+    return (float(gaps[at]), rows[: at + 1], rows[at + 1 :]) if gaps[at] > least else None
+
+
+def _downwards(b: np.ndarray, rows) -> list[int]:
+    return sorted(map(int, rows), key=lambda i: (b[i, 1], b[i, 0]))
+
+
+def cut(b: np.ndarray, rows: np.ndarray, rules: Rules, cross: np.ndarray | None = None) -> list[int]:
+    """Rows of ``b`` (x0, y0, x1, y1) in order. Parts wait on a stack, so that a page of any
+    number of boxes can be cut."""
+    area = np.prod(np.maximum(b[:, 2:] - b[:, :2], 0), 1)
+    wide = np.zeros(len(b), bool) if cross is None else cross
+    waiting, out = [np.asarray(rows)], []
+    while waiting:
+        part = waiting.pop()
+        if len(part) < 2:
+            out += part.tolist()
+            continue
+        across, down = _gap(b, part, 0, rules.least_gap), _gap(b, part, 1, rules.least_gap)
+        rest = area[part][~wide[part]].sum()
+        rows_first = area[part][wide[part]].sum() > rules.dense * rest if rest > 0 else True
+        if not rows_first and rules.widest_axis:
+            rows_first = (down[0] if down else 0.0) > (across[0] if across else 0.0)
+        found = (down or across) if rows_first else (across or down)
+        if found:
+            waiting += [found[2], found[1]]
+        else:
+            out += _downwards(b, part)
+    return out
+
+
+def _costs(b: np.ndarray, i: int, at: np.ndarray, kind: str, page: float, rules: Rules) -> np.ndarray:
+    """distance() of row i to the rows ``at``."""
+    mid, size = (b[:, :2] + b[:, 2:]) / 2, b[:, 2:] - b[:, :2]
+    d = np.abs(mid[at] - mid[i])
+    if kind == "marginal":
+        return (d**2).sum(1)
+    common = np.maximum(0.0, np.minimum(b[at, 2:], b[i, 2:]) - np.maximum(b[at, :2], b[i, :2]))
+    lying = size[:, 0] >= size[:, 1]
+    axis = 0 if lying[i] else 1
+    whole = size[at, axis] + size[i, axis] - common[:, axis]
+    iou = np.divide(common[:, axis], whole, out=np.zeros(len(at)), where=whole > 0)
+    meets = (lying[at] == lying[i]) & (iou >= rules.aligned)
+    near = np.where((common > 0).any(1), d.min(1), d.sum(1))
+    below = np.where((kind == "cross") & (b[i, 1] > b[at, 3]), -b[at, 3], b[at, 1])
+    terms = np.stack([~meets * page**2, near * page, below, b[at, 0] / page])
+    return np.asarray(EDGE["title", bool(lying[i])] if kind == "title" else EDGE.get(kind, EDGE["other"])) @ terms
+
+
+def spanning(b: np.ndarray, rows: np.ndarray, rules: Rules) -> np.ndarray:
+    """Those of ``rows`` wider than ``spanning`` medians that share width with two others."""
+    if len(rows) < 3:
+        return rows[:0]
+    width = b[rows, 2] - b[rows, 0]
+    wide = rows[width > rules.spanning * np.median(width)]
+    over = [sum(j != i and min(b[i, 2], b[j, 2]) > max(b[i, 0], b[j, 0]) for j in rows) for i in wide]
+    return wide[np.array(over, int) >= 2]
+
+
+def place(b: np.ndarray, labels: list, rules: Rules) -> list[int]:
+    """Rows in reading order: the body cut, then what was taken out beside its cheapest
+    neighbour, spanning boxes first, furniture last; each may be a neighbour of the next."""
+    n = len(b)
+    marginal = set(rules.marginal_labels)
+    kind = ["title" if x in TITLE_LABELS else "vision" if x in VISION_LABELS else "marginal" if x in marginal else "text" for x in labels]
+    apart = {"title": rules.titles_apart, "vision": rules.vision_apart, "marginal": rules.marginal_apart, "text": False}
+    body = np.array([i for i in range(n) if not apart[kind[i]]], int)
+    for i in spanning(b, body, rules) if rules.spanning_apart else []:
+        kind[i] = "cross"
+    body = np.array([i for i in body if kind[i] != "cross"], int)
+    if not len(body):
+        return _downwards(b, range(n))
+    page = max(1.0, float(b[:, 2].max()), float(b[:, 3].max()))
+    anchors = cut(b, body, rules)
+    slot = {i: k for k, i in enumerate(anchors)}
+    for wanted in ("cross", "title", "vision", "marginal"):
+        for i in _downwards(b, [i for i in range(n) if kind[i] == wanted and i not in slot]):
+            at = np.array(anchors)
+            slot[i] = slot[anchors[int(np.argmin(_costs(b, i, at, wanted, page, rules)))]]
+            anchors.append(i)
+    return sorted(range(n), key=lambda i: (slot[i], -PRIORITY[kind[i]], b[i, 1], b[i, 0]))
+
+
+def reading_order(boxes: DataFrame, by: list[str], rules: Rules = Rules()) -> DataFrame:
+    """(by, box, ord): positions from 0 in reading order on each page; the page's extent is
+    that of its boxes, ties go by (y, x, box). A page is held together while pages stream
+    by. boxes: by, box, label, x0..y1."""
+
+    def page_of(rows):
+        rows = sorted(rows, key=lambda r: r["box"])
+        b = np.array([[r[c] for c in ("x0", "y0", "x1", "y1")] for r in rows], float)
+        return [rows[i] for i in place(b, [r["label"] for r in rows], rules)]
+
+    def work(batches):
+        each = (r for b in batches for r in b.to_pylist())
+        page = lambda r: tuple(r[c] for c in by)
+        done = ({**{c: r[c] for c in by}, "box": r["box"], "ord": i} for _, rows in itertools.groupby(each, page) for i, r in enumerate(page_of(list(rows))))
+        while some := list(itertools.islice(done, 10_000)):
+            yield pa.RecordBatch.from_pylist(some, schema=arrow)
+
+    kinds = dict(boxes.dtypes)
+    arrow = pa.schema([(c, _ARROW[kinds[c]]) for c in [*by, "box"]] + [("ord", pa.int64())])
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, "box"]) + ", ord long"
+    held = boxes.select(*by, "box", "label", "x0", "y0", "x1", "y1").repartition(*by).sortWithinPartitions(*by)
+    return held.mapInArrow(work, schema)
+
+
+def sort_lines(lines: DataFrame, by: list[str], share: float = 0.5) -> DataFrame:
+    """lines with ``row`` and ``ord`` within a block: from top to bottom, a line joins the row
+    before it if it shares over ``share`` of the smaller height with all that row spans so
+    far; rows are read from left to right. One running fold a block, in the JVM."""
+    item = F.struct("y0", "x0", "y1", "line")
+    state = "struct<top:double,bottom:double,row:int,rows:array<int>>"
+
+    def step(a, x):
+        height = F.greatest(F.lit(1.0), F.least(a["bottom"] - a["top"], x["y1"] - x["y0"]))
+        joins = (a["row"] >= 0) & (F.least(a["bottom"], x["y1"]) - F.greatest(a["top"], x["y0"]) > share * height)
+        row = F.when(joins, a["row"]).otherwise(a["row"] + 1)
+        return F.struct(
+            F.when(joins, F.least(a["top"], x["y0"])).otherwise(x["y0"]).alias("top"),
+            F.when(joins, F.greatest(a["bottom"], x["y1"])).otherwise(x["y1"]).alias("bottom"),
+            row.cast("int").alias("row"),
+            F.concat(a["rows"], F.array(row.cast("int"))).alias("rows"),
+        )
+
+    start = F.expr(f"cast(named_struct('top', 0D, 'bottom', 0D, 'row', -1, 'rows', array()) as {state})")
+    blocks = lines.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("s"))
+    rows = blocks.select(*by, "s", F.aggregate("s", start, step, lambda a: a["rows"]).alias("r"))
+    keyed = F.array_sort(F.transform("s", lambda x, i: F.struct(F.get("r", i).alias("row"), x["x0"].alias("x0"), x["y0"].alias("y0"), x["line"].alias("line"))))
+    out = rows.select(*by, F.posexplode(keyed).alias("ord", "k"))
+    return out.select(*by, F.col("k.line").alias("line"), F.col("k.row").cast("long").alias("row"), F.col("ord").cast("long").alias("ord"))

@@ -4,7 +4,7 @@ a page is an order or a customer, a box is one of its rows."""
 from pyspark.sql import functions as F
 
 from folioquery.functions.geometry import Box, grid_cells
-from folioquery.operators import layout, metrics
+from folioquery.operators import layout, reading, metrics
 from folioquery.plans.registry import query
 
 LINES_SQL = """lines AS (SELECT l_orderkey AS page, l_linenumber AS line, (l_partkey % 600)::DOUBLE AS x0, ((l_linenumber - 1) * 40 + l_suppkey % 30)::DOUBLE AS y0,
@@ -89,7 +89,7 @@ def reading_order_pages(read):
     """Reading order of each page; its number of boxes and the sum of position times line."""
     label = F.when(F.col("l_returnflag") == "R", "figure").when(F.col("l_returnflag") == "A", "text").otherwise("number")
     boxes = _lines(read).select("page", F.col("line").alias("box"), F.when(F.col("line") == 1, "text").otherwise(label).alias("label"), "x0", "y0", "x1", "y1")
-    return layout.reading_order(boxes, ["page"]).groupBy("page").agg(F.count("*").alias("n"), F.sum("ord").alias("ord_sum"), F.sum(F.col("ord") * F.col("box")).alias("mark"))
+    return reading.reading_order(boxes, ["page"]).groupBy("page").agg(F.count("*").alias("n"), F.sum("ord").alias("ord_sum"), F.sum(F.col("ord") * F.col("box")).alias("mark"))
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioquery.functions import text as T
 from folioquery.functions.geometry import Box, polygon_box
-from folioquery.operators import align, components, corpus, graph, layout, metrics, records
+from folioquery.operators import align, components, corpus, graph, layout, metrics, records, reading
 from folioquery.plans.workspace import Workspace
 
 
@@ -19,9 +19,9 @@ def values(spark, column, *inputs):
 
 def test_text_forms(spark):
     assert values(spark, T.norm_alnum, "  Ab-C\t9é ", "") == ["ab c 9", ""]
-    assert values(spark, T.snake, "orderDate", "9 lives", "--", None) == ["order_date", "_9_lives", "field", "field"]
+    assert values(spark, T.snake, "orderDate", "9 lives", "--", None) == ["order_date", "n9_lives", "field", "field"]
     assert values(spark, T.pascal, "order_line", "") == ["OrderLine", "Entity"]
-    assert values(spark, T.norm_value, '"12.5%"', "[3]", "Yes.", "%") == ["12.5", "[3]", "yes", "%"]
+    assert values(spark, T.norm_value, '"12.5%"', "[3]", "Yes.", "%", "5 ± 1 [4, 12]", "\uff11\uff12", "x [,]", "`a`") == ["12.5", "[3]", "yes", "%", "5 +- 1", "12", "x [,]", "`a`"]
     assert values(spark, T.escape_latex, "a_b & {c}\\", None) == [r"a\_b \& \{c\}\textbackslash{}", ""]
     assert values(spark, lambda c: T.unescape_latex(T.escape_latex(c)), "50% of #1_$x^2~{a}&b") == ["50% of #1_$x^2~{a}&b"]
     assert values(spark, T.strip_comments, "a % b\n50\\% c") == ["a \n50\\% c"]
@@ -29,7 +29,7 @@ def test_text_forms(spark):
     assert values(spark, T.xml_escape, 'a<b>&"\x01') == ["a&lt;b&gt;&amp;&quot;"]
     assert values(spark, T.xml_tag, "1 st", "", "ok") == ["_1_st", "element", "ok"]
     assert values(spark, T.bare_label, "B-ANSWER", "O") == ["ANSWER", "O"]
-    assert values(spark, lambda c: T.semantic_type(c)["type"], "VARCHAR", "Money", "what", None) == ["string", "currency", "string", "string"]
+    assert values(spark, lambda c: T.semantic_type(c)["type"], "VARCHAR", "Money", "what", None, "int_8", "PhoneNumber", "decimal(10,2)") == ["string", "currency", "string", "string", "integer", "phone", "decimal"]
     assert values(spark, T.parse_relationship, "Order.customer_id -> Customer.id")[0].asDict() == {"child": "Order", "child_column": "customer_id", "parent": "Customer", "parent_column": "id"}
     assert values(spark, T.as_bool, "Yes", "0", "?", None) == [True, False, False, False]
     assert values(spark, lambda c: T.hms(c.cast("int")), "5", "65", "3700") == ["5s", "1m05s", "1h01m"]
@@ -40,7 +40,7 @@ def boxes(spark, *rows):
 
 
 def order(spark, *rows):
-    return [r.box for r in layout.reading_order(boxes(spark, *rows), ["page"]).orderBy("ord").collect()]
+    return [r.box for r in reading.reading_order(boxes(spark, *rows), ["page"]).orderBy("ord").collect()]
 
 
 def test_geometry(spark):
@@ -194,3 +194,86 @@ def test_levels_and_cycles(spark):
 def test_scopes_of_orphans(spark):
     links = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "gone")], "node string, parent string")
     assert {r.node: r.root for r in graph.scopes(links).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d"}
+
+
+def test_reading_order_puts_furniture_beside_its_neighbour(spark):
+    """Notes and page numbers are furniture, in the smaller rule set body text."""
+    page = [(80, 100, 480, 180, "text"), (80, 200, 480, 280, "text"), (520, 100, 920, 180, "text"), (80, 290, 480, 300, "footnote")]
+    assert order(spark, *page) == [0, 1, 3, 2]
+    kinds = boxes(spark, (0, 0, 1, 1, "page_number"), (0, 0, 1, 1, "figure_title")).select("box", reading.category(F.col("label")).alias("a"), reading.category(F.col("label"), reading.PLAIN).alias("b"))
+    assert [tuple(r)[1:] for r in kinds.orderBy("box").collect()] == [("marginal", "text"), ("title", "title")]
+    plain = reading.reading_order(boxes(spark, *page), ["page"], reading.PLAIN).orderBy("ord").collect()
+    assert [r.box for r in plain] == [0, 1, 3, 2]
+    figure = [(80, 100, 480, 180, "text"), (80, 200, 480, 280, "text"), (520, 190, 920, 290, "figure"), (520, 100, 920, 180, "text")]
+    assert order(spark, *figure) == [0, 1, 3, 2]
+
+
+def test_reading_costs_agree(spark):
+    """The column form of the cost and the one that places boxes."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    lo = rng.integers(0, 800, (40, 2))
+    b = np.concatenate([lo, lo + rng.integers(1, 300, (40, 2))], 1).astype(float)
+    rows = [(int(i), *map(float, b[i]), *map(float, b[j])) for i in range(5) for j in range(40)]
+    df = spark.createDataFrame(rows, "i int, x0 double, y0 double, x1 double, y1 double, b_x0 double, b_y0 double, b_x1 double, b_y1 double")
+    for kind in ("cross", "title", "vision", "marginal"):
+        got = [r[0] for r in df.select(reading.distance(F.lit(kind), Box(), Box("b_"), F.lit(1000.0))).collect()]
+        want = [x for i in range(5) for x in reading._costs(b, i, np.arange(40), kind, 1000.0, reading.Rules())]
+        assert np.allclose(got, want)
+
+
+def test_cut_of_many_boxes():
+    import numpy as np
+
+    n = 5000
+    b = np.array([(0, 20 * i, 100, 20 * i + 10) for i in reversed(range(n))], float)
+    assert reading.cut(b, np.arange(n), reading.Rules()) == list(range(n))[::-1]
+    full = np.array([(0, 0, 100, 10), (0, 20, 45, 200), (55, 20, 100, 200), (0, 210, 100, 220)], float)
+    assert reading.cut(full, np.arange(4), reading.Rules()) == [0, 1, 2, 3]
+    assert list(reading.spanning(np.array([(0, 0, 100, 10), (0, 20, 45, 30), (55, 20, 100, 30)], float), np.arange(3), reading.Rules())) == [0]
+
+
+def test_regional_density(spark):
+    df = spark.createDataFrame([(1, True, 0.0, 0.0, 2.0, 2.0), (1, False, 0.0, 0.0, 1.0, 8.0), (2, True, 0.0, 0.0, 1.0, 1.0)], "page int, wide boolean, x0 double, y0 double, x1 double, y1 double")
+    assert {r.page: r.density for r in reading.regional_density(df, ["page"], "wide").collect()} == {1: 0.5, 2: float("inf")}
+
+
+def test_text_kinds_and_keys(spark):
+    assert values(spark, T.norm_key, " Learning-Rate (%) ", "a__b", "É-é") == ["learning_rate_(%)", "a_b", "é_é"]
+    assert values(spark, lambda c: T.node_kind(c, F.lit(False)), "$x$", "a | --- | b", "| a", "ok", "![x](y)", "words here", None) == ["formula", "table", "table", "marker", "image", "prose", "marker"]
+
+
+def test_word_error_rate(spark):
+    from folioquery.operators import cards
+
+    df = spark.createDataFrame([(1, "the cat sat", "the cat sat down"), (2, "a b c", "x b"), (3, "", "a"), (4, None, None)], "k int, ref string, hyp string")
+    assert {r.k: (r.word_edits, r.wer) for r in cards.with_wer(df, "k", "ref", "hyp").collect()} == {1: (1, 0.3333), 2: (2, 0.6667), 3: (1, 1.0), 4: (0, 0.0)}
+
+
+def test_noise_is_steady(spark):
+    from folioquery.functions import forms
+
+    text = "the quick brown fox " * 200
+    a, b = values(spark, lambda c: forms.charwise_noise(c, 10), text, text)
+    assert a == b != text and values(spark, lambda c: forms.charwise_noise(c, 0), text) == [text]
+    assert 0.8 * len(text) < len(a) < 1.1 * len(text)
+
+
+def test_page_files(spark, tmp_path):
+    import json
+
+    from folioquery.sources import pages
+
+    for doc, files in (("a", ["p1", "p2"]), ("b", ["p1"])):
+        (tmp_path / doc).mkdir()
+        (tmp_path / doc / "manifest.json").write_text(json.dumps({"pages": [{"page": i + 1, "dir": f"p{i + 1}"} for i in range(2)]}))
+        for f in files:
+            (tmp_path / doc / f).mkdir()
+            (tmp_path / doc / f / "paragraph.json").write_text(json.dumps({"width": 10, "height": 20, "boxes": [{"text": None, "bbox": [0, 1, 2, 3]}, {"text": "t", "label": "title", "bbox": [1, 1, 2, 2], "order": 4}]}))
+    got = pages.read_pages(spark, f"file://{tmp_path}").orderBy("doc", "page").collect()
+    assert [(r.doc, r.page, r.width) for r in got] == [("a", 1, 10.0), ("a", 2, 10.0), ("b", 1, 10.0)]
+    assert [tuple(x) for x in got[0].boxes] == [("", "unlabeled", [0, 1, 2, 3], None), ("t", "title", [1, 1, 2, 2], 4)]
+    files = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "doc string, file string")
+    assert {r.doc: r.built for r in pages.built(files, files.where("file = 'x'"), ["doc"]).collect()} == {"a": False, "b": True}
+    assert values(spark, pages.granularities, "all", "word") == [["paragraph", "line", "word"], ["word"]]
