@@ -52,7 +52,7 @@ _words = _WordHash()
 _ODD = np.array([int.from_bytes(hashlib.blake2b(b"%d" % i, digest_size=8).digest(), "little") | 1 for i in range(64)], np.uint64)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -73,7 +73,7 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     out = np.full(n - m + 1, m, np.uint64)
     for j in range(m):
         out += h[j : n - m + 1 + j] * _ODD[j % 64]
-    return np.unique(_mix(out).view(np.int64))
+    return np.unique(mix(out).view(np.int64))
 
 
 def needed(k: int, percent: int = PERCENT, risk: float = 1e-9) -> int:
