@@ -2,7 +2,10 @@
 
 1. Each text becomes a set of hashed word shingles; its K least hashes are the sketch.
    Equal sets are collapsed by digest, which is the set's name from then on.
-2. Inverted lists of the LISTED least values bring together sets that share one. In a list,
+2. Inverted lists of retained values bring together sets that share one. Two sets at the
+   threshold share ``needed`` values or more, so each set can leave out that many less one
+   of its values, the most frequent ones, and still meets the other under the rarest value
+   of both: a passage that many sets hold makes no long list. In a list,
    the share of common values among the K least of both (a union sketch) estimates the
    similarity; only pairs far below the threshold are put aside (chance under 1e-9 for a
    pair at the threshold). A list gives a star for each component of its graph, not pairs.
@@ -27,9 +30,8 @@ from pyspark.sql import functions as F
 from folioquery.operators.components import connected_components
 from folioquery.plans.workspace import Workspace
 
-#: Values of a sketch, and how many of them, the least, have inverted lists. A pair of
-#: similarity 0.8 shares none of 16 with a chance of 0.2 ** 16.
-K, LISTED = 32, 16
+#: Values of a sketch.
+K = 32
 SHINGLE = 5
 PERCENT = 85
 #: Members of a list, and shingles of a cluster, that one task compares with each other.
@@ -237,10 +239,15 @@ def _grouped(docs: DataFrame, ws: Workspace, text: str, percent: int, k: int, si
     once = held.where("sig is not null").join(copies, "sig", "left")
     several = once.where("text is not null and doc_id <=> rep").dropDuplicates(["sig"])
     reps = once.where("text is null").select("sig", "n", "sketch").union(several.select("sig", "n", "sketch"))
-    posted = reps.select("sig", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
-    live = posted.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value", split(F.col("c"), list_block).alias("blocks"))
+    spare = F.get(F.array(*[F.lit(max(0, needed(x, percent) - 1)) for x in range(k + 1)]), F.least("n", F.lit(k)).cast("int"))
+    posted = reps.select("sig", spare.alias("spare"), F.explode("sketch").alias("value"))
+    shared = posted.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
+    rare = posted.join(shared, "value").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("v"), F.first("spare").alias("spare"))  # k values at most
+    rare = rare.where(F.size("v") > F.col("spare")).select("sig", F.explode(F.slice("v", F.lit(1), F.size("v") - F.col("spare"))).alias("v"))
+    listed = ws.table(rare.select("sig", "v.value"), "listed")
+    live = listed.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value", split(F.col("c"), list_block).alias("blocks"))
     live = ws.table(live, "live")
-    members = posted.join(live, "value").join(reps, "sig")
+    members = listed.join(live, "value").join(reps, "sig")
 
     def from_lists(batches):
         rest = None

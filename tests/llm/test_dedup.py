@@ -372,3 +372,21 @@ def test_near_duplicates_tell_rows_apart(spark):
     rows = [(None, "text a"), (None, "text b"), (7, "text c"), (7, "text d"), (8, "text e"), (9, "text c"), (7, "text c")]
     got = near_dup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted(rows[:5], key=str)
+
+
+def test_near_copies_that_share_a_passage_with_many(spark):
+    """A passage that every document holds, beside texts of their own, and near copies among them."""
+    random.seed(21)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for k in range(150):
+        own = [f"{k}x{random.randrange(10**6)}" for _ in range(random.choice([20, 60, 200]))]
+        rows.append((3 * k, " ".join(own + passage)))
+        if k % 5 == 0:
+            w = own + passage
+            w[random.randrange(len(w))] = "edit"
+            rows.append((3 * k + 1, " ".join(w)))
+            rows.append((3 * k + 2, " ".join(passage + own)))
+    for percent in (80, 85):
+        got = [tuple(r) for r in near_dup.cluster(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent, list_block=16).collect()]
+        assert sorted(got) == sorted(plain_clusters(rows, percent))
