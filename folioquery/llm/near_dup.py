@@ -35,7 +35,7 @@ K = 32
 SHINGLE = 5
 PERCENT = 85
 #: Members of a list, and shingles of a cluster, that one task compares with each other.
-LIST_BLOCK, SET_BLOCK = 2048, 1_000_000
+LIST_BLOCK, SET_BLOCK = 4096, 2_000_000
 _PAD = np.iinfo(np.int64).max
 _MEMO = 200_000
 
