@@ -31,7 +31,7 @@ from folioquery.operators.components import connected_components
 from folioquery.plans.workspace import Workspace
 
 #: Values of a sketch.
-K = 32
+K = 24
 SHINGLE = 5
 PERCENT = 85
 #: Members of a list, and shingles of a cluster, that one task compares with each other.
@@ -240,10 +240,10 @@ def _grouped(docs: DataFrame, ws: Workspace, text: str, percent: int, k: int, si
     several = once.where("text is not null and doc_id <=> rep").dropDuplicates(["sig"])
     reps = once.where("text is null").select("sig", "n", "sketch").union(several.select("sig", "n", "sketch"))
     spare = F.get(F.array(*[F.lit(max(0, needed(x, percent) - 1)) for x in range(k + 1)]), F.least("n", F.lit(k)).cast("int"))
-    posted = reps.select("sig", spare.alias("spare"), F.explode("sketch").alias("value"))
+    posted = reps.select("sig", F.explode("sketch").alias("value"))
     shared = posted.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
-    rare = posted.join(shared, "value").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("v"), F.first("spare").alias("spare"))  # k values at most
-    rare = rare.where(F.size("v") > F.col("spare")).select("sig", F.explode(F.slice("v", F.lit(1), F.size("v") - F.col("spare"))).alias("v"))
+    rare = posted.join(shared, "value").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("v"))  # k values at most
+    rare = rare.join(reps.select("sig", spare.alias("spare")), "sig").where(F.size("v") > F.col("spare")).select("sig", F.explode(F.slice("v", F.lit(1), F.size("v") - F.col("spare"))).alias("v"))
     listed = ws.table(rare.select("sig", "v.value"), "listed")
     live = listed.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value", split(F.col("c"), list_block).alias("blocks"))
     live = ws.table(live, "live")
