@@ -62,9 +62,10 @@ def round_robin(children: DataFrame, parents: DataFrame, orphan_percent: int, se
     return dealt.select("child", F.when(orphan, None).otherwise(F.col("parent")).alias("parent"), orphan.alias("orphan"))
 
 
-def scopes(links: DataFrame, levels: int = 16) -> DataFrame:
+def scopes(links: DataFrame, levels: int = 64) -> DataFrame:
     """(root, node, level): each record with the root it hangs under; a record without a
-    resolving parent is a root. links: node, parent (null or unknown: none)."""
+    resolving parent is a root. Records nested deeper than ``levels`` are an error.
+    links: node, parent (null or unknown: none)."""
     nodes = links.select("node").distinct()
     known = links.join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node", "parent")
     top = nodes.join(known.select("node"), "node", "left_anti")
@@ -74,9 +75,9 @@ def scopes(links: DataFrame, levels: int = 16) -> DataFrame:
         below = known.select(F.col("node").alias("_c"), F.col("parent").alias("_p"))
         level = level.join(below, F.col("node") == F.col("_p")).select("root", F.col("_c").alias("node"), F.lit(n).cast("long").alias("level"))
         if level.limit(1).count() == 0:
-            break
+            return out
         out = out.union(level)
-    return out
+    raise ValueError("records are nested deeper than allowed")
 
 
 def export_ids(elements: DataFrame, doc: str) -> DataFrame:
