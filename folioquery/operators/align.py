@@ -196,14 +196,15 @@ def monotone_assignment(scored: DataFrame, threshold: float = 0.5, ratio: float
 def closure(edges: DataFrame, levels: int = 100) -> DataFrame:
     """(ancestor, node, depth) of parent-child edges, each node its own ancestor at 0.
 
-    One join a level, until a level is empty; edges without a child end a branch.
+    One join a level, until a level is empty; edges without a child end a branch. Trees deeper
+    than ``levels`` and cycles are an error.
     """
     nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).where("node is not null").distinct()
     level = nodes.select(F.col("node").alias("ancestor"), "node", F.lit(0).cast("long").alias("depth"))
     out, links = level, edges.where("parent is not null")
-    for depth in range(1, levels + 1):
+    for depth in range(1, levels + 2):
         level = level.join(links, level["node"] == links["parent"]).select("ancestor", F.col("child").alias("node"), F.lit(depth).cast("long").alias("depth"))
         if level.limit(1).count() == 0:
-            break
+            return out
         out = out.union(level)
-    return out
+    raise ValueError("the tree is deeper than allowed or has a cycle")

@@ -46,18 +46,31 @@ def trim_entities(entities: DataFrame, n: int) -> DataFrame:
     return entities.orderBy(F.desc("edges"), "pos").limit(n)
 
 
+def ranked(rows: DataFrame, key: str, name: str, parts: int = 64) -> DataFrame:
+    """rows with ``name``, their place from 0 by the number ``key`` (nulls first). Rows are cut into about
+    ``parts`` ranges at quantiles and ranked within them, so no task sorts all rows."""
+    cuts = sorted(set(rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts)))  # parts numbers at most
+    part = F.lit(0)
+    for c in cuts:
+        part = part + F.coalesce((F.col(key) > c).cast("int"), F.lit(0))
+    cut = rows.withColumn("_part", part)
+    before = cut.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).drop("_n")  # a row a range
+    place = F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1
+    return cut.withColumn("_at", place).join(F.broadcast(before), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
 def round_robin(children: DataFrame, parents: DataFrame, orphan_percent: int, seed: int = 13) -> DataFrame:
     """(child, parent, orphan): children dealt over shuffled parents in turn; a share, picked
     by a hash of integers, gets a key that no parent has.
 
-    children: child; parents: parent; both whole numbers. The shuffle is by
-    (id * 48271 + seed) modulo 2147483647.
+    children: child; parents: parent; both whole numbers, each once. The shuffle is by
+    (id * 48271 + seed) modulo 2147483647, which tells ids under that number apart.
     """
-    mixed = lambda c: (F.col(c) * 48271 + seed) % 2147483647
-    p = parents.select("parent", (F.row_number().over(W.orderBy(mixed("parent"), "parent")) - 1).alias("_k"))
+    mixed = lambda c: (F.col(c).cast("long") * 48271 + seed) % 2147483647
+    p = ranked(parents.select("parent", mixed("parent").alias("_m")), "_m", "_k").drop("_m")
     n = p.agg(F.count("*").alias("_n"))
-    c = children.select("child", (F.row_number().over(W.orderBy("child")) - 1).alias("_i")).crossJoin(F.broadcast(n))  # one row
-    dealt = c.withColumn("_k", F.col("_i") % F.col("_n")).join(p, "_k")
+    c = ranked(children.select("child"), "child", "_i").crossJoin(F.broadcast(n))  # one row
+    dealt = c.withColumn("_k", F.try_mod("_i", "_n")).join(p, "_k")
     orphan = mixed("child") % 100 < orphan_percent
     return dealt.select("child", F.when(orphan, None).otherwise(F.col("parent")).alias("parent"), orphan.alias("orphan"))
 
@@ -96,7 +109,9 @@ def tag_tree(events: DataFrame, doc: str) -> DataFrame:
     order = W.partitionBy(doc).orderBy("pos")
     depth = F.sum("step").over(order.rowsBetween(W.unboundedPreceding, 0))
     opened = events.withColumn("depth", depth).where("step = 1").withColumn("seq", F.row_number().over(order).cast("long"))
-    up = opened.select(doc, F.col("pos").alias("_p"), F.col("depth").alias("_d"), F.col("seq").alias("_s"))
-    met = opened.join(up, doc, "left").where((F.col("_d") == F.col("depth") - 1) & (F.col("_p") < F.col("pos")))
-    parent = met.groupBy(doc, "seq").agg(F.max("_s").alias("parent_seq"))
-    return opened.join(parent, [doc, "seq"], "left").select(doc, "seq", "parent_seq", F.col("depth").cast("long").alias("depth"), "tag")
+    # on a level: the elements of the level, and those below it that look for the last before them
+    above = opened.select(doc, F.col("depth").alias("_level"), "pos", F.col("seq").alias("_open"), F.lit(None).cast("long").alias("seq"), "depth", "tag")
+    below = opened.select(doc, (F.col("depth") - 1).alias("_level"), "pos", F.lit(None).cast("long").alias("_open"), "seq", "depth", "tag")
+    last = F.last("_open", ignorenulls=True).over(W.partitionBy(doc, "_level").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    found = above.union(below).withColumn("parent_seq", last).where("seq is not null")
+    return found.select(doc, "seq", "parent_seq", F.col("depth").cast("long").alias("depth"), "tag")

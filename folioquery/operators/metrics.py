@@ -71,7 +71,20 @@ def cell_iou(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return j.groupBy(*keys).agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), both.alias("common"), _ratio(both, F.count("*")).alias("iou"))
 
 
-def upper_median(values: Column) -> Column:
-    """The element at half the number of values, counted from 0, of the sorted non-null values."""
-    s = F.sort_array(F.collect_list(values))
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+def upper_median(name: str) -> Column:
+    """The element at half the number of values, counted from 0, of the sorted non-null values
+    of a column; values are counted, not listed."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}` DESC)")
+
+
+def matching_ratio(a: Column, b: Column) -> Column:
+    """Twice the characters in matching blocks over the characters of both texts (1 for two
+    empty ones, null as empty), as the standard library's matcher finds the blocks."""
+    import pandas as pd
+
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype=float)
+
+    return F.pandas_udf(ratios, "double")(a, b)

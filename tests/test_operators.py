@@ -133,7 +133,7 @@ def test_confusion(spark):
 
 
 def test_upper_median(spark):
-    assert spark.createDataFrame([(v,) for v in (4, 1, 3, 2, None)], "v int").agg(metrics.upper_median(F.col("v"))).first()[0] == 3
+    assert spark.createDataFrame([(v,) for v in (4, 1, 3, 2, None)], "v int").agg(metrics.upper_median("v")).first()[0] == 3
 
 
 @pytest.mark.parametrize("seed", range(4))
