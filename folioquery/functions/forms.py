@@ -160,6 +160,40 @@ def strip_math(c: Column, most: int = 6) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), s, lambda x, _: peeled(x))
 
 
+#: Accents, commands and signs of table cells and their plain text, in this order.
+CELL_MARKS = [
+    *[(r"\\\"\{%s\}" % a, b) for a, b in zip("aeiou", "äëïöü")],
+    *[(r"\\'\{%s\}" % a, b) for a, b in zip("aeiou", "áéíóú")],
+    (r"\\mathcal\{([A-Za-z])\}", "$1"),
+    (r"\\mathbf\{([A-Za-z])\}", "$1"),
+    (r"\\(?:emph|textbf|textit|texttt|text|url)\{", "{"),
+    *[(r"\\%s(?![A-Za-z]) ?" % a, b) for a, b in (("times", "×"), ("pm", "±"), ("in", "∈"), ("sigma", "σ"), ("dagger", "†"), ("leq", "≤"), ("ldots", "..."))],
+    (r"\\textsuperscript\{4\}", "⁴"),
+    (r"\\S(?=[0-9])", "§"),
+    *[(r"\\%s" % a, a) for a in "%&_#"],
+    (r"\\\$", r"\$"),
+    (r"\\\{", "\x01"),
+    (r"\\\}", "\x02"),
+    (r"\\,", ""),
+    (r"\\;", " "),
+    (r"\\ ", " "),
+    ("---", "—"),
+    ("--", "–"),
+    ("``", '"'),
+    ("''", '"'),
+    (r"\^\{([^{}]*)\}", "^$1"),
+    (r"_\{([^{}]*)\}", "_$1"),
+]
+
+
+def plain_cell(c: Column) -> Column:
+    """A LaTeX table cell as the text that it shows, collapsed; escaped braces stay."""
+    for mark, shown in CELL_MARKS:
+        c = F.regexp_replace(c, mark, shown)
+    c = F.translate(F.regexp_replace(c, r"[${}]", ""), "~\x01\x02", " {}")
+    return clean_ws(c)
+
+
 def log_errors(c: Column, shown: int = 3, most: int = 500) -> Column:
     """The first errors of a LaTeX log, each with the ``l.`` line of the three after it, and
     how many more there are; null without any."""

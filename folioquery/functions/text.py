@@ -198,7 +198,7 @@ def is_atomic(c: Column, most: int = 4) -> Column:
     return F.size(words_of(clean_ws(c))) <= most
 
 
-def as_bool(c: Column, default: bool = False) -> Column:
+def as_bool(c: Column, default: bool | None = False) -> Column:
     s = F.lower(F.trim(c.cast("string")))
     return F.when(s.isin("true", "1", "yes", "y", "t"), True).when(s.isin("false", "0", "no", "n", "f"), False).otherwise(F.lit(default))
 

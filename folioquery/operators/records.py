@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioquery.functions.text import canon_value, norm_key
+from folioquery.functions.text import canon_value, clean_ws, norm_key
 from folioquery.functions.vectors import dot
 
 GROUNDING = ["in_evidence", "in_document", "evidence_only", "none"]
@@ -90,6 +90,19 @@ def match_levels(gold: DataFrame, pred: DataFrame, levels: list[list[str]]) -> D
     return out
 
 
+def field_states(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, field, state): hit if a found text holds the wanted value, partial if the value
+    holds a found text of two characters or more, else miss; case and white space don't count.
+
+    wanted: key, field, value; found: key, text.
+    """
+    near = found.select(key, F.lower(clean_ws(F.col("text"))).alias("_t")).distinct()
+    v, t = F.lower("value"), F.col("_t")
+    rank = F.max(F.when(t.contains(v), 2).when((F.length(t) > 1) & v.contains(t), 1).otherwise(0))
+    got = wanted.join(near, key, "left").groupBy(key, "field").agg(F.coalesce(rank, F.lit(0)).alias("_r"))
+    return got.select(key, "field", F.when(F.col("_r") == 2, "hit").when(F.col("_r") == 1, "partial").otherwise("miss").alias("state"))
+
+
 def assign_vocabulary(vectors: DataFrame, centroids: DataFrame, key: str, threshold: float) -> DataFrame:
     """(key, label, score): the nearest centroid (first of equals) at or over ``threshold``
     of cosine, else the key itself. centroids are few and broadcast by size."""

@@ -12,6 +12,13 @@ def granularities(asked: Column) -> Column:
     return F.when(asked == "all", F.array(*map(F.lit, GRANULARITIES))).otherwise(F.array(asked))
 
 
+def pick_granularity(preferred: Column, **boxes: Column) -> Column:
+    """The granularity asked for if its list of boxes isn't empty, else the first that isn't,
+    from words to paragraphs; null if all are empty."""
+    some = {g: F.coalesce(F.size(b), F.lit(0)) > 0 for g, b in boxes.items()}
+    return F.coalesce(*[F.when((preferred == g) & ok, g) for g, ok in some.items()], *[F.when(some[g], g) for g in reversed(GRANULARITIES) if g in some])
+
+
 def read_pages(spark: SparkSession, folder: str, granularity: str = "paragraph") -> DataFrame:
     """(doc, page, width, height, boxes) of every document folder under ``folder`` that has a
     manifest.json (pages: page, dir); a page without its file is left out. A box without

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioquery.functions.text import sql_ident, xml_escape, xml_tag
+from folioquery.functions.text import clean_ws, sql_ident, xml_escape, xml_tag
 
 RESERVED = ["id", "parent_id", "parent_table", "text_content"]
 
@@ -58,6 +58,14 @@ def blocks_to_xml(blocks: DataFrame, key: str) -> DataFrame:
     return pages.groupBy(key).agg(F.concat(F.lit("<document>"), joined("_x", "_g"), F.lit("</document>")).alias("xml"))
 
 
+def document_titles(blocks: DataFrame, key: str, default: str = "Document") -> DataFrame:
+    """(key, title): the first title block of the whole document that has a text, collapsed.
+    blocks: key, ord, kind, label, text."""
+    t = clean_ws(F.col("text"))
+    ok = (F.col("kind") == "TITLE") & F.col("label").isin("doc_title", "title") & (t != "")
+    return blocks.groupBy(key).agg(F.coalesce(F.min_by(F.when(ok, t), F.when(ok, F.col("ord"))), F.lit(default)).alias("title"))
+
+
 def blocks_to_markdown(blocks: DataFrame, key: str) -> DataFrame:
     """(key, markdown): titles as headings, other texts as they are, blank lines between."""
     t = F.when(F.col("kind") == "TITLE", F.concat(F.lit("## "), "text")).otherwise(F.col("text"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioquery.functions import text as T
 from folioquery.functions.geometry import Box, polygon_box
-from folioquery.operators import align, components, corpus, graph, layout, metrics, records, reading
+from folioquery.operators import align, components, corpus, graph, layout, metrics, placement, reading, records
 from folioquery.plans.workspace import Workspace
 
 
@@ -277,3 +277,28 @@ def test_page_files(spark, tmp_path):
     files = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "doc string, file string")
     assert {r.doc: r.built for r in pages.built(files, files.where("file = 'x'"), ["doc"]).collect()} == {"a": False, "b": True}
     assert values(spark, pages.granularities, "all", "word") == [["paragraph", "line", "word"], ["word"]]
+
+
+def test_matching_ratio(spark):
+    from difflib import SequenceMatcher
+
+    pairs = [("abcd", "bcde"), ("", ""), ("x", ""), ("the quick fox", "a quick brown fox"), ("ab" * 150, "ba" * 150)]
+    got = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", metrics.matching_ratio(F.col("a"), F.col("b"))).collect()
+    assert dict(map(tuple, got)) == {i: SequenceMatcher(None, *p).ratio() for i, p in enumerate(pairs)}
+
+
+def test_ranked(spark):
+    values = [(v,) for v in [None, *(i * 7919 % 1009 for i in range(1000)), 5000]]
+    got = graph.ranked(spark.createDataFrame(values, "v long").repartition(5), "v", "at", 8).collect()
+    assert [r.v for r in sorted(got, key=lambda r: r["at"])] == [None, *sorted(v for (v,) in values if v is not None)]
+    assert sorted(r["at"] for r in got) == list(range(1002))
+    assert graph.ranked(spark.createDataFrame([], "v long"), "v", "at").count() == 0
+
+
+def test_overlaps_across_stretches(spark):
+    spans = lambda rows: spark.createDataFrame(rows, "doc_id long, i long, start long, stop long")
+    tokens = [(1, i, i * 37, i * 37 + (i % 3) * 300) for i in range(40)]
+    placed = [(1, 0, 0, 2000), (1, 1, 255, 257), (1, 2, 256, 256), (1, 3, 600, 1300), (2, 4, 0, 9)]
+    got = placement.token_owner(spans(tokens).withColumnRenamed("i", "idx"), spans(placed).withColumnRenamed("i", "item_id")).collect()
+    want = [(t[0], t[1], p[1]) for t in tokens for p in placed if t[0] == p[0] and t[2] < p[3] and t[3] > p[2]]
+    assert sorted((r.doc_id, r.idx, r.item_id) for r in got) == sorted(want)

@@ -92,3 +92,23 @@ def test_streams(spark, read, tmp_path):
     e = read("events").select("ts", F.col("event_type").alias("verdict"))
     counted = ingest.verdict_counts(e)
     assert counted.agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_payloads_drop_what_cannot_be_read(spark):
+    from folioquery.sources import payloads
+
+    rows = spark.createDataFrame([(1, '{"output": {"tables": [{"table": "a b", "columns": "x"}, {"fields": []}]}}'), (2, None), (3, "not json"), (4, '{"entities": []}')], "k int, p string")
+    e = payloads.read_entities(rows, "k", "p")
+    assert sorted((r.k, r.pos, r.name or "") for r in e.collect()) == [(1, 0, "AB"), (1, 1, "")]
+    assert [(r.entity, r.name, r.type, r.required) for r in payloads.read_attributes(e, "k").collect()][0] == ("AB", "x", "string", False)
+    rels = payloads.read_relationships(rows, "k", "p")
+    assert rels.count() == 0 and [(r.k, r.kind) for r in payloads.dropped_entries(e, rels, "k").collect()] == [(1, "entity")]
+
+
+def test_record_files(spark, tmp_path):
+    from folioquery.sources import payloads
+
+    (tmp_path / "a.json").write_text('{"records": [{"key": "k", "value": "v"}]}')
+    (tmp_path / "b.json").write_text('[{"entity": "e", "key": "k", "raw_key": "K", "value": "w", "src": "T.1"}]')
+    got = {tuple(r) for r in payloads.read_records(spark, str(tmp_path)).collect()}
+    assert got == {("a.json", 0, "", "k", "k", "v", ""), ("b.json", 0, "e", "k", "K", "w", "T.1")}
