@@ -302,3 +302,10 @@ def test_overlaps_across_stretches(spark):
     got = placement.token_owner(spans(tokens).withColumnRenamed("i", "idx"), spans(placed).withColumnRenamed("i", "item_id")).collect()
     want = [(t[0], t[1], p[1]) for t in tokens for p in placed if t[0] == p[0] and t[2] < p[3] and t[3] > p[2]]
     assert sorted((r.doc_id, r.idx, r.item_id) for r in got) == sorted(want)
+
+
+def test_closure_of_a_deep_tree_is_an_error(spark):
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, 5)], "child long, parent long")
+    assert align.closure(edges, 4).count() == 15
+    with pytest.raises(ValueError):
+        align.closure(edges, 3).count()
