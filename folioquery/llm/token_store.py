@@ -16,6 +16,7 @@ Reading checks every payload against its digest and every part against its root.
 
 import hashlib
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from folioquery.llm.bytelevel import Encoder, encoder
 from folioquery.plans.workspace import Workspace
 
 END = 0
-#: Chunk lengths in ids: a cut needs MASK bits of the hash of WINDOW ids to be zero.
+#: Chunk lengths in ids: a cut needs MASK bits of the hash of WINDOW ids (a power of 2) to be zero.
 LEAST, MOST, WINDOW, MASK = 64, 4096, 16, 0xFF
 _POLY = 0xEDB88320
 #: Texts of more characters go to the exact encoder by chunks: the whole-text encoder's
@@ -75,9 +76,10 @@ def cuts(ids: np.ndarray) -> list[int]:
     if n <= LEAST:
         return [n] if n else []
     gear = _GEAR[ids % 4096] ^ (ids >> 12).astype(np.uint32) * np.uint32(2654435761)
-    h = np.zeros(n, np.uint32)
-    for j in range(WINDOW):
-        h[j:] += gear[: n - j] << np.uint32(j)
+    h, j = gear, 1
+    while j < WINDOW:  # sums over j ids, each shifted by its distance; two of them give those over 2 * j
+        h[j:] += h[:-j] << np.uint32(j)
+        j *= 2
     spots = np.flatnonzero((h >> np.uint32(8)) & np.uint32(MASK) == 0) + 1
     out, last = [], 0
     for s in spots.tolist():
@@ -97,7 +99,7 @@ def cuts(ids: np.ndarray) -> list[int]:
 
 def _pieces(ids: list[int], width: int):
     """(digest, count, payload) of each chunk."""
-    a = np.array(ids, np.uint32)
+    a = np.frombuffer(array("I", ids), np.uint32)
     data = a.astype(f"<u{width}").tobytes()
     start = 0
     for end in cuts(a):
@@ -158,7 +160,8 @@ def write_store(docs: DataFrame, folder: str, text: str = "text", path: str | No
         for b in batches:
             key, payload, ids_of, n, chunks = [], [], [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids, own = [*enc.ids(t), END], []
+                ids, own = enc.ids(t), []
+                ids.append(END)
                 for digest, k, p in _pieces(ids, width):
                     own.append({"digest": digest, "n": k})
                     if digest not in seen:
