@@ -189,6 +189,25 @@ def test_keys_dealt_out_are_met(spark):
     assert {tuple(r) for r in line_dedup._met(dealt).collect()} == want
 
 
+def test_met_keys_pass_on_a_common_line_once(spark):
+    """Each of many tasks sends the keys of the lines that all of them have."""
+    lines = ["one line that is found in every document", "one lime that is found in every document"]
+    docs = spark.createDataFrame([(k, "\n".join(lines)) for k in range(40)], "doc_id long, text string").repartition(40, "doc_id")
+    met = line_dedup._met(line_dedup._keys(docs, "text", 2, 24))
+    assert met.count() == met.distinct().count() > 0
+
+
+def test_met_keys_grow_with_a_group(spark):
+    """Lines that are all near each other: each has its own keys at most, whatever the group."""
+    random.seed(22)
+    made = []
+    for n in (100, 200):
+        rows = [(k, "a common line of a large group " + random.choice("abcdefgh") + f"{k:03d}") for k in range(n)]
+        keys = line_dedup._keys(spark.createDataFrame(rows, "doc_id long, text string").repartition(20), "text", 2, 24)
+        made.append(line_dedup._met(keys).count())
+    assert made[0] > 100 and made[1] < 2.2 * made[0]
+
+
 def near_lines(a, b, tau=2, least=24):
     """The measure of line_dedup, by plain rules."""
     if min(len(a), len(b)) < least:
