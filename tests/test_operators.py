@@ -156,6 +156,32 @@ def test_components(spark, seed):
     assert {r.node: r.component for r in got} == {x: root(x) for x in linked}
 
 
+@pytest.mark.parametrize(("a_file", "most"), [(10_000, 1), (30, 8)])
+def test_component_rounds_write_few_files(spark, monkeypatch, a_file, most):
+    """As many files as the rows need, with many shuffle partitions and no coalescing of them."""
+    monkeypatch.setattr(components, "ROWS_A_FILE", a_file, raising=False)
+    made, real = [], Workspace.table
+
+    def table(self, df, name="t"):
+        out = real(self, df, name)
+        made.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(Workspace, "table", table)
+    own = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        edges = [(i, i + 1) for i in range(100)] + [(500, i) for i in range(501, 600)]
+        got = components.connected_components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "test")).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert {r.node: r.component for r in got} == {i: 0 for i in range(101)} | {i: 500 for i in range(500, 600)}
+    assert made[0] > most >= max(made[1:]) and (most == 1 or max(made[1:]) > 1)
+
+
 def test_pipe_tables(spark):
     doc = "intro\nname | x y | \n--- | --- | ---\nA | 1 | 9\nB | - | 2\nC | C |\n\nafter | not"
     got = [tuple(r) for r in records.pipe_tables(spark.createDataFrame([(1, doc)], "d int, t string"), "d", "t").select("line", "header", "entity", "value").orderBy("line", "col").collect()]
