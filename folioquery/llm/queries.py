@@ -2,7 +2,7 @@
 
 from functools import wraps
 
-from folioquery.llm import bpe, decontam, line_dedup, near_dup, pii, quality, secrets, token_count, token_store, toxicity, url_filter
+from folioquery.llm import bpe, collocation, decontam, line_dedup, near_dup, pii, quality, secrets, token_count, token_store, toxicity, url_filter
 from folioquery.plans.ship import ship
 from folioquery.sources.tables import table
 
@@ -35,6 +35,7 @@ def queries() -> dict:
         "op9_secret_scan": docs(secrets.secrets_query),
         "op10_token_counts": docs(token_count.count_tokens),
         "op11_url_filter": _over("pages")(url_filter.url_query),
+        "op12_collocations": docs(collocation.collocation_query),
     }
 
 
@@ -66,4 +67,4 @@ FROM dw LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)"""
 
 def oracle_sql() -> dict:
     """Those whose whole result SQL can express; the others are tested in tests/llm."""
-    return {"op3_near_duplicates": NEAR_DUPLICATES_SQL, "op7_decontamination": DECONTAMINATION_SQL, "op11_url_filter": url_filter.url_sql()}
+    return {"op3_near_duplicates": NEAR_DUPLICATES_SQL, "op7_decontamination": DECONTAMINATION_SQL, "op11_url_filter": url_filter.url_sql(), "op12_collocations": collocation.COLLOCATION_SQL}
