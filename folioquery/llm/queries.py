@@ -2,7 +2,7 @@
 
 from functools import wraps
 
-from folioquery.llm import bpe, collocation, decontam, line_dedup, near_dup, pii, quality, secrets, token_count, token_store, toxicity, url_filter
+from folioquery.llm import alignment, bpe, collocation, decontam, line_dedup, near_dup, pii, quality, secrets, token_count, token_store, toxicity, url_filter
 from folioquery.plans.ship import ship
 from folioquery.sources.tables import table
 
@@ -36,6 +36,7 @@ def queries() -> dict:
         "op10_token_counts": docs(token_count.count_tokens),
         "op11_url_filter": _over("pages")(url_filter.url_query),
         "op12_collocations": docs(collocation.collocation_query),
+        "op13_token_alignment": docs(alignment.alignment_query),
     }
 
 
