@@ -25,17 +25,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioquery.llm.bytelevel import TOKENIZER, byte_alphabet
+from folioquery.llm.bytelevel import TOKENIZER, byte_alphabet, encoder
 from folioquery.llm.token_count import VOCABULARY
 from folioquery.plans.workspace import Workspace
 
 STRIPE = 64
 #: Pairs of a stripe that one task adds up.
-PAIRS_A_TASK = 20_000_000
+PAIRS_A_TASK = 4_000_000
 #: Characters and rows of a part, pairs of a row, cells of a row, links made at once.
-PART_CHARS, PART_ROWS, ROW_PAIRS, ROW_CELLS, LINKS = 1 << 22, 1 << 16, 1 << 12, 1 << 16, 1 << 21
+PART_CHARS, PART_ROWS, ROW_PAIRS, ROW_CELLS, LINKS = 1 << 21, 1 << 16, 1 << 12, 1 << 16, 1 << 21
 #: In a group with more links than this each side's equal ids are taken together first.
 WIDE = 4096
+LONG = 100_000
 _SEPARATORS = [b",", b"|", b";", b""]
 
 
@@ -51,6 +52,7 @@ class Pair:
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
+        self.fast = encoder(path_a).library
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         alphabet, n = byte_alphabet(), self.a.get_vocab_size()
         entry = lambda t: bytes(map(alphabet.__getitem__, t)) if all(c in alphabet for c in t) else t.encode()
@@ -62,16 +64,21 @@ class Pair:
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.written = [str(i).encode() + s for i in range(max(n, len(self.bytes_b))) for s in _SEPARATORS]
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def ids_a(self, text: str) -> np.ndarray:
+        """Ids of a space and the text. The same vocabulary in a faster library; texts over LONG characters
+        go to the tokenizer's own, as the other's pattern engine stops on a million blanks in a row."""
+        if len(text) > LONG:
+            return np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.uint32)
+        return self.fast.encode_to_numpy(" " + text, disallowed_special=())
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[int]]]:
         """Both sides' ids; none where a side doesn't cover exactly a space and the text."""
         some = [i for i, t in enumerate(texts) if t]
-        a, b = [[]] * len(texts), [[]] * len(texts)
-        got_a = self.a.encode_batch_fast([" " + texts[i] for i in some], add_special_tokens=False)
-        got_b = self.b.encode([texts[i] for i in some], num_threads=1)
-        for i, x, y in zip(some, got_a, got_b):
-            want, ids = (" " + texts[i]).encode(), x.ids
-            if b"".join(map(self.bytes_a.__getitem__, ids)) == want == b"".join(map(self.bytes_b.__getitem__, y)):
-                a[i], b[i] = ids, y
+        a, b = [np.zeros(0, np.uint32)] * len(texts), [[]] * len(texts)
+        for i, y in zip(some, self.b.encode([texts[i] for i in some], num_threads=1)):
+            want, x = (" " + texts[i]).encode(), self.ids_a(texts[i])
+            if b"".join(map(self.bytes_b.__getitem__, y)) == want and b"".join(map(self.bytes_a.__getitem__, x.tolist())) == want:
+                a[i], b[i] = x, y
         return a, b
 
 
@@ -85,11 +92,6 @@ def _pair(path_a: str | None, path_b: str | None) -> Pair:
     return _held[key]
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())), sizes
-
-
 def _spread(sizes: np.ndarray) -> np.ndarray:
     """0, 1, .. size - 1 for each size."""
     ends = np.cumsum(sizes)
@@ -102,8 +104,9 @@ class Groups:
     def __init__(self, pair: Pair, texts: list[str]):
         a, b = pair.encode(texts)
         self.n_docs = len(texts)
-        self.a, self.n_a = _flat(a)
-        self.b, self.n_b = _flat(b)
+        self.n_a, self.n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+        self.a = np.concatenate(a).astype(np.int64)
+        self.b = np.fromiter((i for x in b for i in x), np.int64, int(self.n_b.sum()))
         ends_a, ends_b = np.cumsum(pair.len_a[self.a]), np.cumsum(pair.len_b[self.b])
         size = int(ends_a[-1]) + 1 if len(ends_a) else 1
         in_a, in_b = np.zeros(size, bool), np.zeros(size, bool)

@@ -109,6 +109,14 @@ def test_pairs_of_wide_groups(sides, monkeypatch, wide, links):
     assert got == want and (np.diff(keys) > 0).all()
 
 
+def test_either_library_gives_the_same_ids(sides, monkeypatch):
+    pair = A._pair(None, None)
+    texts = [t for _, t in made(11, 300) if t] + ["<|endoftext|>" * 9, "word " * 25_000, " " * 300_000 + "end"]
+    got = [pair.ids_a(t).tolist() for t in texts]
+    monkeypatch.setattr(A, "LONG", 0)
+    assert got == [pair.ids_a(t).tolist() for t in texts]
+
+
 def test_parts_keep_every_row(monkeypatch):
     monkeypatch.setattr(A, "PART_CHARS", 10)
     texts = ["", "a" * 30, "bb", "", "c" * 9, "d"]
