@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioquery.functions.text import norm_alnum, words_of
 from folioquery.functions.vectors import char_grams, dot, tfidf
+from folioquery.plans.workspace import Workspace
 
 
 def naive_score(a: Column, b: Column, a_words: Column, b_words: Column) -> Column:
@@ -63,75 +64,6 @@ def coverage(segs: DataFrame, aligned: DataFrame, by: str) -> DataFrame:
     return joined.groupBy(by).agg(F.count("*").alias("n"), F.count("hit").alias("covered"), F.round(F.count("hit") / F.count("*"), 6).alias("coverage"))
 
 
-def common_words(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence, by the shortest edit script: work grows with
-    the length times the number of differences."""
-    n, m = len(a), len(b)
-    reach, steps = {1: 0}, []
-    for d in range(n + m + 1):
-        steps.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
-            while x < n and x - k < m and a[x] == b[x - k]:
-                x += 1
-            reach[k] = x
-            if x >= n and x - k >= m:
-                break
-        else:
-            continue
-        break
-    out, x, y = [], n, m
-    for d in range(len(steps) - 1, -1, -1):
-        seen, k = steps[d], x - y
-        back = k + 1 if k == -d or (k != d and seen[k - 1] < seen[k + 1]) else k - 1
-        px = seen[back] if d else 0
-        py = px - back if d else 0
-        while x > px and y > py and x > 0 and y > 0 and a[x - 1] == b[y - 1]:
-            x, y = x - 1, y - 1
-            out.append((x, y))
-        x, y = px, py
-    return out[::-1]
-
-
-def stream_matches(segs: DataFrame, boxes: DataFrame, gap_chars: int = 400) -> DataFrame:
-    """(doc_id, seg, box, n_chars): passages and boxes laid out as two streams of one document
-    and aligned in order; characters in common by pair.
-
-    Whole words are aligned first; stretches of up to ``gap_chars`` characters between them
-    are then aligned by character. segs: doc_id, seg, norm; boxes: doc_id, box, text, with
-    box in reading order. One document is one group.
-    """
-    import difflib
-
-    import pandas as pd
-
-    rows = segs.select("doc_id", F.lit(0).alias("side"), F.col("seg").alias("key"), F.col("norm").alias("t"))
-    rows = rows.union(boxes.select("doc_id", F.lit(1), F.col("box"), norm_alnum(F.col("text"))))
-
-    def spread(words):
-        return " ".join(w for w, _ in words), [k for w, k in words for _ in range(len(w) + 1)]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = ([(w, k) for k, t in zip(part.key, part.t) for w in t.split()] for part in (pdf[pdf.side == side].sort_values("key") for side in (0, 1)))
-        met = common_words([w for w, _ in a], [w for w, _ in b])
-        found: dict = {}
-        last_a = last_b = 0
-        for i, j in [*met, (len(a), len(b))]:
-            left, right = spread(a[last_a:i]), spread(b[last_b:j])
-            if 0 < len(left[0]) <= gap_chars and 0 < len(right[0]) <= gap_chars:
-                for m in difflib.SequenceMatcher(None, left[0], right[0], autojunk=False).get_matching_blocks():
-                    for k in range(m.size):
-                        pair = (left[1][m.a + k], right[1][m.b + k])
-                        found[pair] = found.get(pair, 0) + 1
-            if i < len(a):
-                pair = (a[i][1], b[j][1])
-                found[pair] = found.get(pair, 0) + len(a[i][0])
-            last_a, last_b = i + 1, j + 1
-        return pd.DataFrame([(pdf.doc_id.iloc[0], s, x, n) for (s, x), n in found.items()], columns=["doc_id", "seg", "box", "n_chars"])
-
-    return rows.groupBy("doc_id").applyInPandas(one, "doc_id long, seg long, box long, n_chars long")
-
-
 def best_monotone(boxes: list[tuple[int, list[tuple[int, int, int, int]]]], ratio: float) -> tuple[int, list[tuple[int, int]]]:
     """(gain, [(box, seg)]) for boxes in reading order with candidates (seg, box size, passage
     size, gain): passages never go back, and one takes at most ``ratio`` times its size.
@@ -196,15 +128,18 @@ def monotone_assignment(scored: DataFrame, threshold: float = 0.5, ratio: float
 def closure(edges: DataFrame, levels: int = 100) -> DataFrame:
     """(ancestor, node, depth) of parent-child edges, each node its own ancestor at 0.
 
-    One join a level, until a level is empty; edges without a child end a branch. Trees deeper
-    than ``levels`` and cycles are an error.
+    One join a level, each level a written table, until one is empty; edges without a child end a
+    branch. Trees deeper than ``levels`` and cycles are an error.
     """
+    ws = Workspace(edges.sparkSession, "closure")
+    links = ws.table(edges.where("parent is not null and child is not null").select("parent", "child"), "links")
     nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).where("node is not null").distinct()
-    level = nodes.select(F.col("node").alias("ancestor"), "node", F.lit(0).cast("long").alias("depth"))
-    out, links = level, edges.where("parent is not null")
+    level = ws.table(nodes.select(F.col("node").alias("ancestor"), "node", F.lit(0).cast("long").alias("depth")), "level")
+    out = level
     for depth in range(1, levels + 2):
-        level = level.join(links, level["node"] == links["parent"]).select("ancestor", F.col("child").alias("node"), F.lit(depth).cast("long").alias("depth"))
-        if level.limit(1).count() == 0:
+        below = level.join(links, level["node"] == links["parent"]).select("ancestor", F.col("child").alias("node"), F.lit(depth).cast("long").alias("depth"))
+        level = ws.table(below, "level")
+        if level.isEmpty():
             return out
         out = out.union(level)
     raise ValueError("the tree is deeper than allowed or has a cycle")

@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioquery.functions.text import fold_marks, norm_alnum, word_set, words_of
-from folioquery.operators import align, metrics, placement
+from folioquery.operators import align, metrics, placement, stream
 from folioquery.plans.model import BOXES_SQL, SEGMENTS_SQL, TOKENS_SQL, boxes, segments, tokens
 from folioquery.plans.registry import query
 
@@ -83,17 +83,47 @@ def subtree_union(read):
     return aligned.join(top, "doc_id").groupBy("source").agg(F.countDistinct(F.struct("doc_id", "gold", "box")).alias("n_boxes"), F.countDistinct(F.struct("doc_id", "seg")).alias("n_nodes"))
 
 
+def _numbered(segs):
+    """Boxes of the passages with ``n``, their place in the document's reading order."""
+    page = boxes(segs)
+    return page.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("gold", "box")).cast("long"))
+
+
+def _pieces(segs, page):
+    """The normalised streams' pieces; the blank after a box belongs to none."""
+    return stream.stream_pieces(segs, page.select("doc_id", F.col("n").alias("box"), "text"), F.col("norm"), norm_alnum(F.col("text")), blank_of_box=False)
+
+
 @query("stream_align_owner", python=True)
 def stream_align_owner(read):
     """Owner of each box by characters in common of the two streams, and accuracy."""
     segs = segments(read("documents"))
-    page = boxes(segs)
-    order = W.partitionBy("doc_id").orderBy("gold", "box")
-    placed = page.withColumn("n", F.row_number().over(order).cast("long"))
-    met = align.stream_matches(segs, placed.select("doc_id", F.col("n").alias("box"), "text"))
+    page = _numbered(segs)
     first = W.partitionBy("doc_id", "box").orderBy(F.desc("n_chars"), "seg")
-    best = met.withColumn("r", F.row_number().over(first)).where("r = 1").select("doc_id", F.col("box").alias("n"), "seg")
-    return metrics.pair_f1(placed.join(best, ["doc_id", "n"], "left"), ["lang"], "gold", "seg")
+    best = stream.box_owners(_pieces(segs, page)).withColumn("r", F.row_number().over(first)).where("r = 1").select("doc_id", F.col("box").alias("n"), "seg")
+    return metrics.pair_f1(page.join(best, ["doc_id", "n"], "left"), ["lang"], "gold", "seg")
+
+
+@query("stream_coverage", python=True)
+def stream_coverage(read):
+    """Characters of each document, in lower case but otherwise as written, that lie in a box."""
+    segs = segments(read("documents"))
+    page = _numbered(segs).select("doc_id", F.col("n").alias("box"), "text")
+    pieces = stream.stream_pieces(segs, page, F.lower("text"), F.lower("text"))
+    return stream.stream_coverage(segs, pieces, F.col("text"))
+
+
+@query("word_boxes", python=True)
+def word_boxes(read):
+    """Words of each document by how many boxes hold a part of them: none, one, more."""
+    segs = segments(read("documents"))
+    words = segs.select("doc_id", "seg", F.posexplode(words_of(F.col("norm"))).alias("pos", "word"))
+    before = W.partitionBy("doc_id", "seg").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).cast("long")
+    spans = words.select("doc_id", "seg", start.alias("start"), (start + F.length("word")).alias("stop"))
+    held = stream.span_boxes(_pieces(segs, _numbered(segs)), spans).groupBy("doc_id", "seg", "start", "stop").agg(F.count("*").alias("k"))
+    each = spans.join(held, ["doc_id", "seg", "start", "stop"], "left")
+    return each.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(F.col("k").isNull()).alias("lost"), F.count_if(F.col("k") == 1).alias("one_box"), F.count_if(F.col("k") > 1).alias("more_boxes"))
 
 
 @query("monotone_assignment", python=True)
@@ -127,12 +157,16 @@ PLACED_SQL = r"""
 docs AS (SELECT doc_id, string_agg(norm, ' ' ORDER BY seg) AS body FROM segments GROUP BY doc_id),
 items AS (SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 \t\n\x0B\f\r]', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS needle FROM benchmark),
 placed AS (SELECT doc_id, item_id, CAST(instr(' ' || body || ' ', ' ' || needle || ' ') - 1 AS BIGINT) AS start, CAST(instr(' ' || body || ' ', ' ' || needle || ' ') - 1 + length(needle) AS BIGINT) AS stop
-  FROM docs, items WHERE len(string_split(needle, ' ')) >= 5 AND contains(' ' || body || ' ', ' ' || needle || ' '))"""
+  FROM docs, items WHERE length(needle) >= 4 AND contains(' ' || body || ' ', ' ' || needle || ' '))"""
+
+
+def _bodies(read):
+    bodies = read("documents").select("doc_id", norm_alnum(F.col("text")).alias("body")).where("body <> ''")
+    return bodies, read("benchmark").select("item_id", norm_alnum(F.col("text")).alias("needle"))
 
 
 def _placed(read):
-    segs = segments(read("documents"))
-    return segs, placement.place_exact(tokens(segs), read("benchmark").select("item_id", norm_alnum(F.col("text")).alias("needle")))
+    return segments(read("documents")), placement.place_exact(*_bodies(read))
 
 
 @query("exact_placement", f"WITH {SEGMENTS_SQL.strip()},{PLACED_SQL} SELECT doc_id, item_id, start, stop FROM placed")
@@ -140,6 +174,24 @@ def exact_placement(read):
     return _placed(read)[1]
 
 
+@query("fuzzy_placement", python=True)
+def fuzzy_placement(read):
+    """Benchmark items in the documents that hold three quarters of their long words; places and ratios."""
+    return placement.place_fuzzy(*_bodies(read))
+
+
+@query("passage_placement", python=True)
+def passage_placement(read):
+    """Passages in their document's noisy page stream: by document how many lie there literally, nearly,
+    and not at all, and the mean ratio."""
+    segs = segments(read("documents"))
+    got = placement.place_passages(segs.select("doc_id", "seg", F.col("norm").alias("needle")), _numbered(segs).select("doc_id", F.col("n").alias("box"), "text"))
+    return got.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.count_if("exact").alias("exact"), F.count_if(~F.col("exact")).alias("fuzzy"), F.count_if(F.col("start").isNull()).alias("unplaced"),
+        F.sum("start").alias("start_sum"), F.sum("stop").alias("stop_sum"), F.round(F.avg("ratio"), 4).alias("mean_ratio"),
+    )
+
+
 OWNED_SQL = r"""
 met AS (SELECT t.doc_id, t.idx, p.item_id, row_number() OVER (PARTITION BY t.doc_id, t.idx ORDER BY p.start, p.item_id) AS claim
   FROM tokens t JOIN placed p ON t.doc_id = p.doc_id AND t.start < p.stop AND t.start + length(t.word) > p.start)"""

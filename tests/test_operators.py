@@ -103,27 +103,6 @@ def test_monotone_assignment_is_best():
         assert [s for _, s in chosen] == sorted(s for _, s in chosen)
 
 
-def test_common_words():
-    random.seed(4)
-    for _ in range(200):
-        a, b = ([random.choice("abc") for _ in range(random.randrange(9))] for _ in range(2))
-        got = align.common_words(a, b)
-        assert all(a[i] == b[j] for i, j in got)
-        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
-        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        assert len(got) == table[-1][-1]
-
-
-def test_stream_matches_without_noise(spark):
-    segs = spark.createDataFrame([(1, 0, "alpha beta"), (1, 1, "gamma delta eps")], "doc_id long, seg long, norm string")
-    page = spark.createDataFrame([(1, 0, "alpha beta"), (1, 1, "gamma"), (1, 2, "delta epsi")], "doc_id long, box long, text string")
-    got = {(r.seg, r.box): r.n_chars for r in align.stream_matches(segs, page).collect()}
-    assert got == {(0, 0): 9, (1, 1): 5, (1, 2): 8}
-
-
 def test_confusion(spark):
     rows = spark.createDataFrame([("en", 1, 1), ("en", 1, 2), ("en", 1, None), ("de", None, None), ("de", None, 3)], "lang string, gold int, pred int")
     got = {r.stratum: r for r in metrics.confusion_scores(metrics.confusion(rows, "lang")).collect()}

@@ -74,9 +74,6 @@ def test_walks(spark):
     assert folds.group_rows([0, 2, 3, 3.5, 9]) == [0, 0, 0, 1, 2]
     assert folds.merge_runs([("A", 0, 5, 0), ("A", 9, 12, 1), ("A", 60, 70, 0), ("O", 71, 72, 0), ("B", 73, 75, 0)]) == [("A", 0, 1), ("A", 2, 2), ("B", 4, 4)]
     assert folds.nearest_links([(5, 0, 0), (1, 1, 0), (7, 0, 1)]) == [(1, 0), (0, 1)]
-    assert folds.place_in_order("aaaa bbbb aaaa", ["aaaa", "aaaa", "bbbb", "x"]) == [(0, 4), (10, 14), (5, 9), None]
-    assert folds.admit_edges([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("x", "a")], 3) == [("a", "b"), ("b", "c")]
-    assert folds.parents_first(["c", "b", "a", "l", "m"], [("a", "b"), ("b", "c"), ("l", "m"), ("m", "l")]) == ["a", "b", "c", "l", "m"]
     df = spark.createDataFrame([(1, 0.0), (1, 2.0), (1, 9.0)], "g long, top double")
     got = folds.over_groups(df, ["g"], ["top"], lambda rows: [(rows[0]["g"], r) for r in folds.group_rows([x["top"] for x in rows])], "g long, row long").collect()
     assert [r.row for r in got] == [0, 0, 1]
