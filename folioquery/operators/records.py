@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioquery.functions import views
 from folioquery.functions.text import canon_value, clean_ws, norm_key
 from folioquery.functions.vectors import dot
 
@@ -47,14 +48,22 @@ def _cells(line: Column) -> Column:
 
 
 def ground(records: DataFrame, value: str, evidence: str, document: str) -> DataFrame:
-    """records with ``grounded_by`` and ``at``: the value in the evidence that the document
-    holds, else in the document, else in the evidence only, else nowhere."""
-    v, e, d = F.col(value), F.col(evidence), F.col(document)
-    known = (v != "") & v.isNotNull()
-    inside = known & e.contains(v) & d.contains(e)
-    kind = F.when(inside, "in_evidence").when(known & d.contains(v), "in_document").when(known & e.contains(v), "evidence_only").otherwise("none")
-    at = F.when(inside, F.instr(d, e) + F.instr(e, v) - 2).when(known & d.contains(v), F.instr(d, v) - 1)
-    return records.withColumn("grounded_by", kind).withColumn("at", at.cast("long"))
+    """records with ``grounded_by``, and ``start``, ``stop`` and ``said``, the span of the document's text.
+
+    Texts are compared in their views (functions.views). The value is looked for inside the place
+    of its evidence in the document, else in the document; if it is in neither, the evidence's own place
+    stands for it (evidence_only), else nothing does (none; no span). Null and empty texts are nowhere.
+    """
+    rows = records.withColumn("_p", views.pieces(F.col(document))).withColumn("_d", views.shown(F.col("_p")))
+    rows = rows.withColumn("_v", views.view(F.col(value))).withColumn("_e", views.view(F.col(evidence)))
+    rows = rows.withColumn("_ea", views.find(F.col("_d"), F.col("_e")))
+    inside = views.find(F.col("_d"), F.col("_v"), F.col("_ea"), F.col("_ea") + F.length("_e"))
+    rows = rows.withColumn("_ia", inside).withColumn("_va", views.find(F.col("_d"), F.col("_v")))
+    kind = F.when(F.col("_ia").isNotNull(), "in_evidence").when(F.col("_va").isNotNull(), "in_document").when(F.col("_ea").isNotNull(), "evidence_only").otherwise("none")
+    at, size = F.coalesce("_ia", "_va", "_ea"), F.when(F.coalesce("_ia", "_va").isNotNull(), F.length("_v")).otherwise(F.length("_e"))
+    rows = rows.withColumn("grounded_by", kind).withColumn("_s", views.source_span(F.col("_p"), at, size))
+    said = F.substring(F.col(document), F.col("_s.start") + 1, F.col("_s.stop") - F.col("_s.start"))
+    return rows.select(*[F.col(f"`{c}`") for c in records.columns], "grounded_by", "_s.start", "_s.stop", said.alias("said"))
 
 
 def collapse(records: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

@@ -22,22 +22,49 @@ def pipe_table_records(read):
     return records.pipe_tables(tables, "doc_id", "text").select("doc_id", F.col("line").cast("long").alias("line"), "col", "header", "entity", "value")
 
 
+#: The view of functions.views without escapes, and the places in the text of what it keeps.
+VIEW_SQL = r"""lower(regexp_replace({0}, '[ \t\r\n\-*_`"''“”‘’{{}}()\[\]|~^$\\]', '', 'g'))"""
+KEPT_SQL = r"""list_filter(range(1, len({0}) + 1), lambda i: NOT regexp_matches({0}[i], '[ \t\r\n\-*_`"''“”‘’{{}}()\[\]|~^$\\]'))"""
+GROUND_SQL = f"""
+v AS (SELECT *, {VIEW_SQL.format("document")} AS dv, {VIEW_SQL.format("evidence")} AS ev, {VIEW_SQL.format("value")} AS vv, string_split(document, '') AS chars FROM r),
+f AS (SELECT *, CASE WHEN ev <> '' AND contains(dv, ev) THEN instr(dv, ev) END AS ea FROM v),
+g AS (SELECT *, CASE WHEN vv <> '' AND ea IS NOT NULL AND contains(ev, vv) THEN 'in_evidence' WHEN vv <> '' AND contains(dv, vv) THEN 'in_document' WHEN ea IS NOT NULL THEN 'evidence_only' ELSE 'none' END AS grounded_by FROM f),
+p AS (SELECT *, CASE grounded_by WHEN 'in_evidence' THEN ea + instr(ev, vv) - 1 WHEN 'in_document' THEN instr(dv, vv) WHEN 'evidence_only' THEN ea END AS j, length(CASE WHEN grounded_by = 'evidence_only' THEN ev ELSE vv END) AS n FROM g),
+k AS (SELECT *, {KEPT_SQL.format("chars")} AS kept FROM p),
+s AS (SELECT *, CAST(kept[j] - 1 AS BIGINT) AS start, CAST(kept[j + n - 1] AS BIGINT) AS stop FROM k)"""
+
+
 @query(
     "grounding_precedence",
-    """WITH r AS (SELECT o_orderkey AS id, 'the order of ' || o_orderpriority || ' is ' || o_orderstatus AS document, CASE WHEN o_orderkey % 3 = 0 THEN 'order of ' || o_orderpriority ELSE 'a note on ' || o_orderstatus END AS evidence,
-  CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority WHEN o_orderkey % 5 = 0 THEN 'note' ELSE o_orderstatus || '?' END AS value FROM orders),
-g AS (SELECT *, CASE WHEN contains(evidence, value) AND contains(document, evidence) THEN 'in_evidence' WHEN contains(document, value) THEN 'in_document' WHEN contains(evidence, value) THEN 'evidence_only' ELSE 'none' END AS grounded_by FROM r),
-p AS (SELECT grounded_by, CASE grounded_by WHEN 'in_evidence' THEN instr(document, evidence) + instr(evidence, value) - 2 WHEN 'in_document' THEN instr(document, value) - 1 END AS place FROM g)
-SELECT grounded_by, count(*) AS n, CAST(sum(place) AS BIGINT) AS at_sum FROM p GROUP BY grounded_by""",
+    f"""WITH r AS (SELECT o_orderkey AS id, 'the order of ' || o_orderpriority || ' is ' || o_orderstatus AS document, CASE WHEN o_orderkey % 3 = 0 THEN 'order of **' || o_orderpriority || '**' ELSE 'a note on ' || o_orderstatus END AS evidence,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority WHEN o_orderkey % 5 = 0 THEN 'note' ELSE o_orderstatus || '?' END AS value FROM orders),{GROUND_SQL}
+SELECT grounded_by, count(*) AS n, CAST(sum(start) AS BIGINT) AS start_sum, CAST(sum(stop) AS BIGINT) AS stop_sum FROM s GROUP BY grounded_by""",
 )
 def grounding_precedence(read):
+    """Values grounded in made documents with marks, by the strength of the claim, and their spans."""
     k = F.col("o_orderkey")
     rows = read("orders").select(
         F.concat(F.lit("the order of "), "o_orderpriority", F.lit(" is "), "o_orderstatus").alias("document"),
-        F.when(k % 3 == 0, F.concat(F.lit("order of "), "o_orderpriority")).otherwise(F.concat(F.lit("a note on "), "o_orderstatus")).alias("evidence"),
+        F.when(k % 3 == 0, F.concat(F.lit("order of **"), "o_orderpriority", F.lit("**"))).otherwise(F.concat(F.lit("a note on "), "o_orderstatus")).alias("evidence"),
         F.when(k % 2 == 0, F.col("o_orderpriority")).when(k % 5 == 0, "note").otherwise(F.concat("o_orderstatus", F.lit("?"))).alias("value"),
     )
-    return records.ground(rows, "value", "evidence", "document").groupBy("grounded_by").agg(F.count("*").alias("n"), F.sum("at").alias("at_sum"))
+    got = records.ground(rows, "value", "evidence", "document").groupBy("grounded_by")
+    return got.agg(F.count("*").alias("n"), F.sum("start").alias("start_sum"), F.sum("stop").alias("stop_sum"))
+
+
+@query(
+    "grounded_spans",
+    f"""WITH t AS (SELECT doc_id, text AS document, split_part(text, chr(10), 2) AS line FROM documents),
+r AS (SELECT doc_id, document, '**' || replace(line, ' ', ' - ') || '**' AS evidence, CASE WHEN doc_id % 7 = 0 THEN 'no such value' WHEN doc_id % 3 = 0 THEN '(' || left(document, 9) || ')' ELSE '`' || right(line, 9) || '`' END AS value FROM t),{GROUND_SQL}
+SELECT doc_id, grounded_by, start, stop, CASE WHEN start IS NOT NULL THEN substr(document, start + 1, stop - start) END AS said FROM s""",
+)
+def grounded_spans(read):
+    """Quotes of each document's second line, written with other marks, and their spans in the document."""
+    d = read("documents").select("doc_id", F.col("text").alias("document"), F.split_part("text", F.lit("\n"), F.lit(2)).alias("line"))
+    quoted = lambda a, c, b: F.concat(F.lit(a), c, F.lit(b))
+    value = F.when(F.col("doc_id") % 7 == 0, "no such value").when(F.col("doc_id") % 3 == 0, quoted("(", F.left("document", F.lit(9)), ")")).otherwise(quoted("`", F.right("line", F.lit(9)), "`"))
+    rows = d.select("doc_id", "document", quoted("**", F.replace("line", F.lit(" "), F.lit(" - ")), "**").alias("evidence"), value.alias("value"))
+    return records.ground(rows, "value", "evidence", "document").select("doc_id", "grounded_by", "start", "stop", "said")
 
 
 @query(
