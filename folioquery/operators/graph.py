@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioquery.plans.workspace import Workspace
+
 
 def dangling(children: DataFrame, fk: str, parents: DataFrame, pk: str) -> DataFrame:
     """Child rows whose key has no parent; a null key counts."""
@@ -21,13 +23,15 @@ def roots(entities: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def levels(entities: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """(name, level): 1 for a root, else one more than the deepest parent. One join a level;
-    a cycle ends at ``most`` and is an error."""
-    level = roots(entities, edges).select("name", F.lit(1).cast("long").alias("level"))
+    """(name, level): 1 for a root, else one more than the deepest parent. One join a level, each
+    level a written table; a cycle ends at ``most`` and is an error."""
+    ws = Workspace(entities.sparkSession, "levels")
+    level = ws.table(roots(entities, edges).select("name", F.lit(1).cast("long").alias("level")), "level")
     out = level
     for n in range(2, most + 2):
-        level = level.join(edges, level["name"] == edges["parent"]).select(F.col("child").alias("name"), F.lit(n).cast("long").alias("level")).distinct()
-        if level.limit(1).count() == 0:
+        below = level.join(edges, level["name"] == edges["parent"]).select(F.col("child").alias("name"), F.lit(n).cast("long").alias("level")).distinct()
+        level = ws.table(below, "level")
+        if level.isEmpty():
             return out.groupBy("name").agg(F.max("level").alias("level"))
         out = out.union(level)
     raise ValueError("the graph is deeper than allowed or has a cycle")
@@ -77,17 +81,18 @@ def round_robin(children: DataFrame, parents: DataFrame, orphan_percent: int, se
 
 def scopes(links: DataFrame, levels: int = 64) -> DataFrame:
     """(root, node, level): each record with the root it hangs under; a record without a
-    resolving parent is a root. Records nested deeper than ``levels`` are an error.
-    links: node, parent (null or unknown: none)."""
+    resolving parent is a root. Records nested deeper than ``levels`` are an error. Each level is a
+    written table. links: node, parent (null or unknown: none)."""
+    ws = Workspace(links.sparkSession, "scopes")
     nodes = links.select("node").distinct()
-    known = links.join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node", "parent")
+    known = ws.table(links.join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node", "parent"), "known")
     top = nodes.join(known.select("node"), "node", "left_anti")
-    level = top.select(F.col("node").alias("root"), "node", F.lit(0).cast("long").alias("level"))
+    level = ws.table(top.select(F.col("node").alias("root"), "node", F.lit(0).cast("long").alias("level")), "level")
     out = level
     for n in range(1, levels + 1):
         below = known.select(F.col("node").alias("_c"), F.col("parent").alias("_p"))
-        level = level.join(below, F.col("node") == F.col("_p")).select("root", F.col("_c").alias("node"), F.lit(n).cast("long").alias("level"))
-        if level.limit(1).count() == 0:
+        level = ws.table(level.join(below, F.col("node") == F.col("_p")).select("root", F.col("_c").alias("node"), F.lit(n).cast("long").alias("level")), "level")
+        if level.isEmpty():
             return out
         out = out.union(level)
     raise ValueError("records are nested deeper than allowed")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioquery.operators import graph
+from folioquery.operators import forest, graph
 from folioquery.operators.align import closure
 from folioquery.operators.components import connected_components
 from folioquery.plans.registry import query
@@ -147,3 +147,80 @@ def relational_export_ids(read):
     return ex.groupBy("page_id", "tag").agg(
         F.count("*").alias("n"), F.max("depth").alias("depth"), F.sum("id").alias("id_sum"), F.sum("parent_id").alias("parent_sum"), F.countDistinct("parent_table").alias("n_parents")
     )
+
+
+MOST_ENTITIES, MOST_DEPTH = 15, 3
+
+
+def brand_graphs(read):
+    """A schema for each brand: some of the nations as entities, in an order of their own, and a relationship
+    for each part, many of them to unknown entities, back to where they come from, or in a circle."""
+    brand = read("part").select(F.col("p_brand").alias("graph"), F.regexp_extract("p_brand", "[0-9]+", 0).cast("long").alias("b")).distinct()
+    ents = brand.join(F.broadcast(read("nation")), (F.col("n_nationkey") + F.col("b")) % 6 != 0)  # few names a brand
+    ents = ents.select("graph", ((F.col("n_nationkey") * 7 + F.col("b")) % 25).alias("pos"), F.col("n_name").alias("name"))
+    nation = lambda c: F.concat(F.lit("NATION_"), c)
+    rels = read("part").select(
+        F.col("p_brand").alias("graph"),
+        F.col("p_partkey").alias("pos"),
+        nation((F.col("p_partkey") * 7 + F.col("p_size")) % 27).alias("child"),
+        F.when(F.col("p_type") == "PROMO", "b").otherwise("a").alias("child_attribute"),
+        nation(F.col("p_size") % 26).alias("parent"),
+    )
+    return ents, rels
+
+
+#: Relationships are folded one by one: ``roots`` (and ``depths``) lie beside ``names``, each name's root so far.
+ENFORCED_SQL = f"""WITH RECURSIVE br AS (SELECT DISTINCT p_brand AS graph, CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS b FROM part),
+ent AS MATERIALIZED (SELECT graph, (n_nationkey * 7 + b) % 25 AS pos, n_name AS name FROM br, nation WHERE (n_nationkey + b) % 6 <> 0),
+rel AS (SELECT p_brand AS graph, p_partkey AS pos, 'NATION_' || (p_partkey * 7 + p_size) % 27 AS child, CASE WHEN p_type = 'PROMO' THEN 'b' ELSE 'a' END AS child_attribute, 'NATION_' || p_size % 26 AS parent FROM part),
+chk AS MATERIALIZED (SELECT rel.*, CASE WHEN p.name IS NULL THEN 'unknown_parent' WHEN c.name IS NULL THEN 'unknown_child' WHEN child = parent THEN 'loop' END AS bad
+  FROM rel LEFT JOIN ent p ON p.graph = rel.graph AND p.name = parent LEFT JOIN ent c ON c.graph = rel.graph AND c.name = child),
+cand AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY pos) AS i FROM chk WHERE bad IS NULL),
+f1 AS (SELECT graph, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS pos, list(name ORDER BY pos) AS names, list(name ORDER BY pos) AS roots, CAST([] AS VARCHAR[]) AS keys, CAST(NULL AS VARCHAR) AS fate FROM ent GROUP BY graph
+  UNION ALL SELECT graph, i, pos, names, CASE WHEN fate = 'kept' THEN list_transform(roots, lambda r: CASE WHEN r = child THEN rp ELSE r END) ELSE roots END, CASE WHEN fate = 'kept' THEN list_append(keys, key) ELSE keys END, fate
+  FROM (SELECT f1.graph, c.i, c.pos, names, roots, keys, child, rp, key, CASE WHEN list_contains(keys, key) THEN 'duplicate' WHEN rc <> child THEN 'second_parent' WHEN rp = child THEN 'cycle' ELSE 'kept' END AS fate
+    FROM f1, LATERAL (SELECT c.i, c.pos, c.child, c.child || '.' || c.child_attribute || '.' || c.parent AS key, f1.roots[list_position(f1.names, c.parent)] AS rp, f1.roots[list_position(f1.names, c.child)] AS rc FROM cand c WHERE c.graph = f1.graph AND c.i = f1.i + 1) c)),
+k1 AS MATERIALIZED (SELECT cand.* FROM f1 JOIN cand USING (graph, pos) WHERE f1.fate = 'kept'),
+t1 AS (SELECT e.graph, e.name, e.name AS root, [e.pos] AS path FROM ent e LEFT JOIN k1 ON k1.graph = e.graph AND k1.child = e.name WHERE k1.child IS NULL
+  UNION ALL SELECT t1.graph, e.name, t1.root, list_append(t1.path, e.pos) FROM t1 JOIN k1 ON k1.graph = t1.graph AND k1.parent = t1.name JOIN ent e ON e.graph = t1.graph AND e.name = k1.child),
+sz AS (SELECT graph, root, count(*) AS n, min(path[len(path)]) AS first FROM t1 GROUP BY ALL),
+pri AS MATERIALIZED (SELECT graph, name, row_number() OVER (PARTITION BY graph ORDER BY n DESC, first, len(path), path) - 1 AS priority FROM t1 JOIN sz USING (graph, root)),
+stay AS MATERIALIZED (SELECT ent.* FROM ent JOIN pri USING (graph, name) WHERE priority < {MOST_ENTITIES}),
+k2 AS MATERIALIZED (SELECT k1.* EXCLUDE (i), row_number() OVER (PARTITION BY k1.graph ORDER BY k1.pos) AS i FROM k1 JOIN stay p ON p.graph = k1.graph AND p.name = parent JOIN stay c ON c.graph = k1.graph AND c.name = child),
+f2 AS (SELECT graph, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS pos, list(name ORDER BY pos) AS names, list(name ORDER BY pos) AS roots, list(CAST(0 AS BIGINT)) AS depths, CAST(NULL AS BOOLEAN) AS deep FROM stay GROUP BY graph
+  UNION ALL SELECT graph, i, pos, names, CASE WHEN deep THEN roots ELSE list_transform(roots, lambda r: CASE WHEN r = child THEN rp ELSE r END) END,
+    CASE WHEN deep THEN depths ELSE list_transform(depths, lambda d, j: CASE WHEN roots[j] = child THEN d + dp + 1 ELSE d END) END, deep
+  FROM (SELECT f2.graph, c.i, c.pos, names, roots, depths, child, rp, dp, dp + 2 + list_max(list_transform(depths, lambda d, j: CASE WHEN roots[j] = child THEN d ELSE 0 END)) > {MOST_DEPTH} AS deep
+    FROM f2, LATERAL (SELECT k2.i, k2.pos, k2.child, f2.roots[list_position(f2.names, k2.parent)] AS rp, f2.depths[list_position(f2.names, k2.parent)] AS dp FROM k2 WHERE k2.graph = f2.graph AND k2.i = f2.i + 1) c)),
+k3 AS MATERIALIZED (SELECT k2.* FROM f2 JOIN k2 USING (graph, pos) WHERE NOT f2.deep),
+t3 AS (SELECT s.graph, s.name, [s.pos] AS path FROM stay s LEFT JOIN k3 ON k3.graph = s.graph AND k3.child = s.name WHERE k3.child IS NULL
+  UNION ALL SELECT t3.graph, k3.child, list_append(t3.path, k3.pos) FROM t3 JOIN k3 ON k3.graph = t3.graph AND k3.parent = t3.name)"""
+
+
+def _enforced(read):
+    return forest.enforce(*brand_graphs(read), most_entities=MOST_ENTITIES, most_depth=MOST_DEPTH)
+
+
+@query(
+    "schema_edge_fates",
+    f"""{ENFORCED_SQL}
+SELECT chk.graph, chk.pos, child, child_attribute, parent, coalesce(bad, CASE WHEN f1.fate <> 'kept' THEN f1.fate WHEN f2.deep IS NULL THEN 'trimmed' WHEN f2.deep THEN 'too_deep' ELSE 'kept' END) AS fate
+FROM chk LEFT JOIN f1 ON f1.graph = chk.graph AND f1.pos = chk.pos LEFT JOIN f2 ON f2.graph = chk.graph AND f2.pos = chk.pos""",
+    python=True,
+)
+def schema_edge_fates(read):
+    """What becomes of each relationship of the brands' schemas."""
+    return _enforced(read)[1]
+
+
+@query(
+    "schema_entity_places",
+    f"""{ENFORCED_SQL}
+SELECT pri.graph, pri.name, priority, CAST(len(path) AS BIGINT) AS level, CASE WHEN path IS NOT NULL THEN row_number() OVER (PARTITION BY pri.graph ORDER BY path IS NULL, len(path), path) - 1 END AS place,
+  CASE WHEN path IS NULL THEN 'trimmed' ELSE 'kept' END AS fate
+FROM pri LEFT JOIN t3 ON t3.graph = pri.graph AND t3.name = pri.name""",
+    python=True,
+)
+def schema_entity_places(read):
+    """The brands' entities by priority, and those that stay by level and order of filling."""
+    return _enforced(read)[0].select("graph", "name", "priority", "level", "place", "fate")
