@@ -77,9 +77,3 @@ def polygon_box(points: Column) -> list[Column]:
     """Bounding box of an array of (x, y) pairs."""
     x, y = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
     return [F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y)]
-
-
-def grid_cells(box: Box, cell: float = 4.0) -> tuple[Column, Column]:
-    """Arrays of cell columns and rows that a box covers, the last one included."""
-    span = lambda a, b: F.sequence(F.floor(a / cell), F.floor(b / cell))
-    return span(box.x0, box.x1), span(box.y0, box.y1)

@@ -62,15 +62,6 @@ def with_cer(rows: DataFrame, ref: str, hyp: Column) -> DataFrame:
     return rows.withColumn("edits", F.levenshtein(F.col(ref), hyp)).withColumn("cer", _ratio(F.col("edits"), F.length(ref), 4))
 
 
-def cell_iou(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n_a, n_b, common, iou) of two sets of grid cells (cx, cy) by key."""
-    one = a.select(*keys, "cx", "cy").distinct().withColumn("a", F.lit(1))
-    two = b.select(*keys, "cx", "cy").distinct().withColumn("b", F.lit(1))
-    j = one.join(two, [*keys, "cx", "cy"], "full")
-    both = F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull())
-    return j.groupBy(*keys).agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), both.alias("common"), _ratio(both, F.count("*")).alias("iou"))
-
-
 def upper_median(name: str) -> Column:
     """The element at half the number of values, counted from 0, of the sorted non-null values
     of a column; values are counted, not listed."""

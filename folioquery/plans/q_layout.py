@@ -3,8 +3,9 @@ a page is an order or a customer, a box is one of its rows."""
 
 from pyspark.sql import functions as F
 
-from folioquery.functions.geometry import Box, grid_cells
-from folioquery.operators import layout, reading, metrics
+from folioquery.functions.geometry import Box
+from folioquery.functions.text import norm_alnum, words_of
+from folioquery.operators import areas, bands, layout, links, reading
 from folioquery.plans.registry import query
 
 LINES_SQL = """lines AS (SELECT l_orderkey AS page, l_linenumber AS line, (l_partkey % 600)::DOUBLE AS x0, ((l_linenumber - 1) * 40 + l_suppkey % 30)::DOUBLE AS y0,
@@ -105,22 +106,42 @@ def block_routing_counts(read):
 
 @query(
     "node_iou_cells",
-    f"""WITH {LINES_SQL}, a AS (SELECT DISTINCT page, cx, cy FROM lines, unnest(range(CAST(floor(x0 / 16) AS BIGINT), CAST(floor(x1 / 16) AS BIGINT) + 1)) t(cx), unnest(range(CAST(floor(y0 / 16) AS BIGINT), CAST(floor(y1 / 16) AS BIGINT) + 1)) u(cy)),
-b AS (SELECT DISTINCT page, cx, cy FROM lines, unnest(range(CAST(floor((x0 + 30) / 16) AS BIGINT), CAST(floor((x1 + 30) / 16) AS BIGINT) + 1)) t(cx), unnest(range(CAST(floor(y0 / 16) AS BIGINT), CAST(floor(y1 / 16) AS BIGINT) + 1)) u(cy))
+    f"""WITH {LINES_SQL}, a AS (SELECT DISTINCT page, cx, cy FROM lines, unnest(range(CAST(floor(x0 / 4) AS BIGINT), CAST(floor(x1 / 4) AS BIGINT) + 1)) t(cx), unnest(range(CAST(floor(y0 / 4) AS BIGINT), CAST(floor(y1 / 4) AS BIGINT) + 1)) u(cy)),
+b AS (SELECT DISTINCT page, cx, cy FROM lines, unnest(range(CAST(floor((x0 + 30) / 4) AS BIGINT), CAST(floor((x1 + 30) / 4) AS BIGINT) + 1)) t(cx), unnest(range(CAST(floor(y0 / 4) AS BIGINT), CAST(floor(y1 / 4) AS BIGINT) + 1)) u(cy))
 SELECT coalesce(a.page, b.page) AS page, count(a.cx) AS n_a, count(b.cx) AS n_b, CAST(sum(CASE WHEN a.cx IS NOT NULL AND b.cx IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS common,
   round(sum(CASE WHEN a.cx IS NOT NULL AND b.cx IS NOT NULL THEN 1.0 ELSE 0 END) / count(*), 6) AS iou
 FROM a FULL JOIN b ON a.page = b.page AND a.cx = b.cx AND a.cy = b.cy GROUP BY 1""",
+    python=True,
 )
 def node_iou_cells(read):
-    """Overlap of a page's boxes with themselves moved by 30, on a grid of 16."""
-    lines = _lines(read)
+    """Overlap of a page's boxes with themselves moved by 30, in cells of 4."""
+    sides = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
+    each = _lines(read).select("page", sides, "x0", "y0", "x1", "y1")
+    shift = F.col("side") * 30
+    return areas.overlap_areas(each.withColumns({"x0": F.col("x0") + shift, "x1": F.col("x1") + shift}), ["page"])
 
-    def cells(df):
-        xs, ys = grid_cells(Box(), 16.0)
-        return df.select("page", F.explode(xs).alias("cx"), ys.alias("ys")).select("page", "cx", F.explode("ys").alias("cy"))
 
-    moved = lines.withColumn("x0", F.col("x0") + 30).withColumn("x1", F.col("x1") + 30)
-    return metrics.cell_iou(cells(lines), cells(moved), ["page"])
+@query(
+    "node_localisation",
+    f"""WITH {LINES_SQL}, r AS (SELECT page AS doc, line, 1 + line % 2 AS page, x0, y0, x1, y1, CAST(floor(line / 3) AS BIGINT) AS g, CAST(floor((line + CASE WHEN CAST(x0 AS BIGINT) % 4 = 0 THEN 1 ELSE 0 END) / 3) AS BIGINT) AS p FROM lines),
+gold AS (SELECT doc, g AS node, CASE WHEN g = 2 AND doc % 3 = 0 THEN NULL ELSE line END AS box FROM r), pred AS (SELECT doc, p AS node, line AS box FROM r WHERE line <> 4),
+n AS (SELECT DISTINCT doc, node FROM gold), gs AS (SELECT DISTINCT doc, node, box FROM gold WHERE box IS NOT NULL), ps AS (SELECT DISTINCT pred.* FROM pred JOIN n USING (doc, node)),
+c AS (SELECT n.doc, n.node, (SELECT count(*) FROM gs WHERE gs.doc = n.doc AND gs.node = n.node) AS gold, (SELECT count(*) FROM ps WHERE ps.doc = n.doc AND ps.node = n.node) AS pred,
+  (SELECT count(*) FROM gs JOIN ps USING (doc, node, box) WHERE gs.doc = n.doc AND gs.node = n.node) AS common FROM n),
+cell AS (SELECT doc, line, page, cx, cy FROM r, unnest(range(CAST(floor(x0 / 4) AS BIGINT), CAST(floor(x1 / 4) AS BIGINT) + 1)) t(cx), unnest(range(CAST(floor(y0 / 4) AS BIGINT), CAST(floor(y1 / 4) AS BIGINT) + 1)) u(cy)),
+ac AS (SELECT DISTINCT gs.doc, node, page, cx, cy FROM gs JOIN cell ON cell.doc = gs.doc AND line = box), bc AS (SELECT DISTINCT ps.doc, node, page, cx, cy FROM ps JOIN cell ON cell.doc = ps.doc AND line = box),
+i AS (SELECT doc, node, sum(CASE WHEN ac.cx IS NOT NULL AND bc.cx IS NOT NULL THEN 1.0 ELSE 0 END) / count(*) AS iou FROM (SELECT *, cx AS k FROM ac) ac FULL JOIN (SELECT *, cx AS k FROM bc) bc USING (doc, node, page, k, cy) GROUP BY doc, node)
+SELECT doc, node, gold, pred, common > 0 AND common = gold AND common = pred AS exact, CASE WHEN common > 0 AND common = gold AND common = pred THEN 1.0 WHEN gold = 0 OR pred = 0 THEN 0.0 ELSE round(iou, 6) END AS iou FROM c LEFT JOIN i USING (doc, node)""",
+    python=True,
+)
+def node_localisation(read):
+    """Blocks of three lines against blocks with some lines at the wrong one, over two pages; some blocks absent."""
+    lines = _lines(read).select(F.col("page").alias("doc"), F.col("line").alias("box"), (1 + F.col("line") % 2).alias("page"), "x0", "y0", "x1", "y1")
+    node = F.floor(F.col("box") / 3)
+    gold = lines.select("doc", node.alias("node"), F.when(~((node == 2) & (F.col("doc") % 3 == 0)), F.col("box")).alias("box"))
+    wrong = F.when(F.col("x0").cast("long") % 4 == 0, 1).otherwise(0)
+    pred = lines.where("box <> 4").select("doc", F.floor((F.col("box") + wrong) / 3).alias("node"), "box")
+    return areas.localisation(gold, pred, lines, "doc")
 
 
 @query(
@@ -164,3 +185,74 @@ def resume_todo_pages(read):
     """Pages of each document that have no finished part yet."""
     done = read("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     return read("orders").join(done, "o_orderkey", "left_anti").groupBy(F.col("o_custkey").alias("doc")).agg(F.count("*").alias("todo"))
+
+
+FORM_SQL = """form AS (SELECT o_orderkey % 23 AS page, o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'header' WHEN o_orderkey % 5 < 3 THEN 'label' ELSE 'value' END AS kind,
+  o_custkey * 31 % 701 AS x0, o_orderkey * 7 % 1009 AS y0, o_custkey * 31 % 701 + 20 + o_orderkey % 50 AS x1, o_orderkey * 7 % 1009 + 12 AS y1 FROM orders),
+v AS (SELECT * FROM form WHERE kind = 'value'), q AS (SELECT * FROM form WHERE kind = 'label'), h AS (SELECT * FROM form WHERE kind = 'header')"""
+
+
+def _form(read):
+    """Values, labels and headers of pages of scattered boxes, one an order."""
+    k, x, y = F.col("o_orderkey"), F.col("o_custkey") * 31 % 701, F.col("o_orderkey") * 7 % 1009
+    kind = F.when(k % 5 == 0, "header").when(k % 5 < 3, "label").otherwise("value")
+    rows = read("orders").select((k % 23).alias("page"), k.alias("id"), kind.alias("kind"), x.alias("x0"), y.alias("y0"), (x + 20 + k % 50).alias("x1"), (y + 12).alias("y1"), F.concat_ws(" ", "o_orderpriority", (k % 7).cast("string")).alias("text"))
+    return [rows.where(F.col("kind") == n).drop("kind") for n in ("value", "label", "header")]
+
+
+@query(
+    "label_candidates",
+    f"""WITH {FORM_SQL}, p AS (SELECT v.page, v.id AS value, q.id AS label, v.x0 - q.x1 AS dx, v.y0 - q.y1 AS dy,
+  (least(v.y1, q.y1) - greatest(v.y0, q.y0)) / least(v.y1 - v.y0, q.y1 - q.y0) AS tall, (least(v.x1, q.x1) - greatest(v.x0, q.x0)) / least(v.x1 - v.x0, q.x1 - q.x0) AS wide FROM v JOIN q ON v.page = q.page AND q.y1 >= v.y0 - 40 AND q.y0 <= v.y1)
+SELECT page, value, label, CAST(dx AS DOUBLE) AS gap, 'row' AS how FROM p WHERE tall > 0.5 AND dx BETWEEN -2 AND 250
+UNION ALL SELECT page, value, label, CAST(dy AS DOUBLE), 'above' FROM p WHERE wide > 0.3 AND dy BETWEEN -2 AND 40""",
+)
+def label_candidates(read):
+    """Labels left of a value on its row, or just above it."""
+    values, labels, _ = _form(read)
+    got = links.candidates(values, labels, ["page"])
+    return got.select("page", "value", "label", F.col("gap").cast("double").alias("gap"), "how")
+
+
+@query(
+    "header_above",
+    f"""WITH {FORM_SQL} SELECT v.page, v.id, (SELECT arg_min(h.id, struct_pack(a := -h.y1, b := h.id)) FROM h WHERE h.page = v.page AND h.y1 <= v.y0 + 2) AS header FROM v""",
+)
+def header_above(read):
+    """The nearest header above each value."""
+    values, _, headers = _form(read)
+    return links.header_above(values, headers, ["page"]).select("page", "id", "header")
+
+
+@query("form_fields_xml", python=True)
+def form_fields_xml(read):
+    """Values under their labels and headers, a document a page."""
+    return links.fields_xml(links.fields(*_form(read), ["page"]), ["page"], "form")
+
+
+@query(
+    "band_reading_order",
+    r"""WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 \t\n\x0B\f\r]', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS norm FROM documents),
+w AS (SELECT doc_id, unnest(string_split(norm, ' ')) AS text, generate_subscripts(string_split(norm, ' '), 1) - 1 AS i FROM d WHERE norm <> ''),
+f AS (SELECT doc_id, i, text, i // 8 AS r, i % 8 AS j, (i // 8) % 7 = 3 OR doc_id % 3 = 0 AS wide FROM w),
+p AS (SELECT doc_id, i, text, r, CASE WHEN wide THEN 20 + j * 72 WHEN j < 4 THEN 20 + j * 65 ELSE 330 + (j - 4) * 65 END AS x0, CASE WHEN wide THEN 20 + j * 72 + 66 WHEN j < 4 THEN 70 + j * 65 ELSE 380 + (j - 4) * 65 END AS x1 FROM f),
+t AS (SELECT doc_id, x, count(*) AS n, count(*) FILTER (x0 < x AND x < x1) AS c, count(*) FILTER (x1 <= x) AS l, count(*) FILTER (x0 >= x) AS h FROM p, (SELECT 600 * (0.44 + 0.01 * k)::DOUBLE AS x FROM range(13) u(k)) GROUP BY ALL),
+g AS (SELECT doc_id, arg_min(x, c * 1000 + x) AS x FROM t WHERE l >= 0.25 * n AND h >= 0.25 * n GROUP BY doc_id HAVING any_value(n) >= 40 AND min(c) <= 0.06 * any_value(n)),
+q AS (SELECT p.*, g.x, lead(x0) OVER (PARTITION BY p.doc_id, r ORDER BY x0) - x1 AS gap FROM p LEFT JOIN g USING (doc_id)),
+rows_ AS (SELECT doc_id, r, any_value(x) AS x, bool_or(x0 < x AND x < x1) AS crossed, max(x1) FILTER (x1 <= x) AS l, min(x0) FILTER (x0 >= x) AS h, list_sort(list(gap) FILTER (gap > 0)) AS gaps,
+  string_agg(text, ' ' ORDER BY x0) AS whole, string_agg(text, ' ' ORDER BY x0) FILTER (x1 <= x) AS lt, string_agg(text, ' ' ORDER BY x0) FILTER (x0 >= x) AS rt FROM q GROUP BY doc_id, r),
+s AS (SELECT *, CASE WHEN x IS NULL THEN 'page' WHEN crossed THEN 'across' WHEN l IS NULL THEN 'right' WHEN h IS NULL THEN 'left' WHEN h - l > greatest(8, 3 * coalesce(gaps[len(gaps) // 2 + 1], 1)) THEN 'both' ELSE 'across' END AS side FROM rows_),
+o AS (SELECT *, x IS NULL OR sum(CASE side WHEN 'both' THEN 2 WHEN 'left' THEN 1 WHEN 'right' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) <= sum(CASE WHEN side = 'across' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS one,
+  coalesce(sum(CASE WHEN side = 'across' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS band FROM s),
+e AS (SELECT doc_id, one, r, 0 AS b, 2 AS k, whole AS text FROM o WHERE one UNION ALL SELECT doc_id, one, r, band, 2, whole FROM o WHERE NOT one AND side = 'across'
+  UNION ALL SELECT doc_id, one, r, band, 0, lt FROM o WHERE NOT one AND side IN ('both', 'left') UNION ALL SELECT doc_id, one, r, band, 1, rt FROM o WHERE NOT one AND side IN ('both', 'right'))
+SELECT doc_id, CASE WHEN one THEN 1 ELSE 2 END AS columns, row_number() OVER (PARTITION BY doc_id ORDER BY b, k, r) - 1 AS line, text FROM e""",
+    python=True,
+)
+def band_reading_order(read):
+    """Words of each document set in two columns with lines across, a third of them in one, read back by bands."""
+    w = read("documents").select("doc_id", F.posexplode(words_of(norm_alnum(F.col("text")))).alias("id", "text")).where("text <> ''")
+    j, wide = F.col("id") % 8, (F.floor(F.col("id") / 8) % 7 == 3) | (F.col("doc_id") % 3 == 0)
+    x0 = F.when(wide, 20 + j * 72).when(j < 4, 20 + j * 65).otherwise(330 + (j - 4) * 65)
+    set_ = w.select("doc_id", "id", "text", x0.alias("x0"), (x0 + F.when(wide, 66).otherwise(50)).alias("x1"), (F.floor(F.col("id") / 8) * 14.0 + F.col("id") % 3).alias("top"))
+    return bands.band_lines(bands.with_rows(set_, "doc_id"), "doc_id", F.lit(600.0))
