@@ -7,6 +7,7 @@ from folioquery.functions.text import fold_marks, norm_alnum, word_set, words_of
 from folioquery.operators import align, metrics, placement, stream
 from folioquery.plans.model import BOXES_SQL, SEGMENTS_SQL, TOKENS_SQL, boxes, segments, tokens
 from folioquery.plans.registry import query
+from folioquery.plans.workspace import Workspace
 
 PAIRS_SQL = r"""
 sw AS (SELECT doc_id, seg, norm, list_distinct(string_split(norm, ' ')) AS ws FROM segments),
@@ -84,9 +85,9 @@ def subtree_union(read):
 
 
 def _numbered(segs):
-    """Boxes of the passages with ``n``, their place in the document's reading order."""
-    page = boxes(segs)
-    return page.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("gold", "box")).cast("long"))
+    """Boxes of the passages with ``n``, their place in the document's reading order; a written table, as it is read twice."""
+    page = boxes(segs).withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("gold", "box")).cast("long"))
+    return Workspace(segs.sparkSession, "page").table(page, "boxes")
 
 
 def _pieces(segs, page):
