@@ -65,17 +65,16 @@ def scan(docs: DataFrame, owner: str, repository: str, text: str = "text", keep:
     )
     rows = ws.table(rows, "found")
     name = lambda s: F.sha2(s["value"], 256)
-    each = F.explode(F.array_distinct(F.transform("found", name)))
-    cand = rows.where(F.size("found") > 0).select("_row", "_owner", "_repo", each.alias("_h"))
+    cand = rows.where(F.size("found") > 0).select("_row", "_owner", "_repo", F.posexplode(F.transform("found", name)).alias("_pos", "_h"))
     seen = cand.groupBy("_h", "_owner", "_repo").agg(F.lit(1).alias("one")).groupBy("_h", "_owner").agg(F.count("*").alias("r"))
     seen = seen.groupBy("_h").agg(F.count("*").alias("owners"), F.sum("r").alias("repos"))
-    counts = cand.select("_row", "_h").join(seen, "_h").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_h", F.struct("owners", "repos")))).alias("_of"))
+    counts = cand.select("_row", "_pos", "_h").join(seen, "_h").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_pos", "owners", "repos"))).alias("_of"))
 
-    def judged(s):
-        of = F.col("_of")[name(s)]
+    def judged(s, of):
         return F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "text", "value")], of["owners"].alias("owners"), of["repos"].alias("repositories"), (of["owners"] < shared_by).alias("live"))
 
-    return rows.join(counts, "_row", "left").select(*keep, F.transform("found", judged).alias("found"))
+    none = F.array().cast("array<struct<_pos:int,owners:bigint,repos:bigint>>")
+    return rows.join(counts, "_row", "left").select(*keep, F.zip_with("found", F.coalesce("_of", none), judged).alias("found"))
 
 
 def secrets_query(docs: DataFrame) -> DataFrame:

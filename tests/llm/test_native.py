@@ -2,13 +2,16 @@
 
 import hashlib
 import random
+import re
+import time
 
 import brute
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from folioquery.llm import decontam, pii, quality, secrets
+from folioquery.llm import decontam, pii, quality, secrets, spans
 
 sha = lambda xs: hashlib.sha256(",".join(xs).encode()).hexdigest()
 
@@ -141,6 +144,41 @@ def test_pii_redact(spark, edge):
     assert pii.redact(edge).columns == edge.columns
 
 
+def test_texts_with_very_many_matches(spark):
+    """Work is near linear in a text's matches: these took minutes for a third of them."""
+    n = 100_000
+    docs = spark.createDataFrame([(1, " ".join(f"{i}@ex.org" for i in range(n))), (2, "no span"), (3, "ä " * 3000 + "to a@b.org, 10.0.0.1")], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r for r in pii.pii_query(docs).select("doc_id", "n_email", "spans").collect()}
+    assert time.time() - start < 30
+    want = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer("[^ ]+", docs.first().text))
+    assert got[1].n_email == n and got[1].spans == want and got[3].spans == "email:6003:6010,ip:6012:6020"
+    start = time.time()
+    red = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert time.time() - start < 30
+    assert red == {1: " ".join(["<email>"] * n), 2: "no span", 3: "ä " * 3000 + "to <email>, <ip>"}
+
+
+def test_texts_with_very_many_secrets(spark):
+    n = 20_000
+    text = " ".join(f"token = value{i:08d}" for i in range(n)) + " token = value00000000"
+    docs = spark.createDataFrame([(1, text, "en", "a"), (2, "token = value00000001", "en", "b"), (3, None, "en", "c")], "doc_id long, text string, lang string, source string")
+    start = time.time()
+    got = {r.doc_id: r for r in secrets.secrets_query(docs).select("doc_id", "n_assign", "verdicts", "max_owners").collect()}
+    assert time.time() - start < 60
+    said = got[1].verdicts.split(",")
+    assert got[1].n_assign == n + 1 == len(said) and said[1] == "live:2:2" and said[0] == said[-1] == "live:1:1" and got[2].verdicts == "live:2:2" and got[3].n_assign == 0
+
+
+def test_running(spark):
+    df = spark.createDataFrame([([3, 1, 2, 5, 4] * k,) for k in range(9)], "a array<int>")
+    for r in df.select("a", spans.running(F.col("a"), lambda x, y: x + y).alias("s"), spans.running(F.col("a"), F.greatest).alias("m")).collect():
+        assert r.s == [sum(r.a[: i + 1]) for i in range(len(r.a))] and r.m == [max(r.a[: i + 1]) for i in range(len(r.a))]
+    t = "abcdé😀" * 1000
+    one = spark.createDataFrame([(t,)], "t string").select(*[spans.cut(spans.blocks(F.col("t")), F.lit(i), F.lit(n)) for i, n in ((0, 5), (1020, 9), (1024, 0), (3000, 3000), (5999, 50))]).first()
+    assert list(one) == [t[:5], t[1020:1029], "", t[3000:6000], t[5999:]]
+
+
 def test_secrets(spark, edge, noisy, read):
     ascii_only = spark.createDataFrame([(1, "pa\u017f\u017fword = abcdefgh12 to\u212aen=abcdefgh12"), (2, "PassWord = abcdefgh12")], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
     for docs in (edge, noisy, read("documents"), ascii_only):
