@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from folioquery.functions.text import norm_alnum
 from folioquery.operators import metrics, records
 from folioquery.plans.registry import query
+from folioquery.sources import sinks
+from folioquery.streaming import verdicts
 
 
 @query(
@@ -162,13 +164,49 @@ SELECT doc, item, verdict, event_id FROM v WHERE r = 1 AND verdict <> 'clear'"""
 )
 def annotation_latest(read):
     """The last verdict on each item; a clear takes it back."""
-    from pyspark.sql import Window as W
-
-    e = read("events")
     verdict = F.when(F.col("event_id") % 9 == 0, "clear").when(F.col("value") > 50, "accept").otherwise("reject")
-    order = W.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    last = e.withColumn("r", F.row_number().over(order)).where("r = 1").withColumn("verdict", verdict)
-    return last.where("verdict <> 'clear'").select(F.col("user_id").alias("doc"), F.col("event_type").alias("item"), "verdict", "event_id")
+    log = read("events").select(F.col("user_id").alias("doc"), F.col("event_type").alias("item"), verdict.alias("verdict"), "ts", "event_id")
+    return sinks.upsert_latest(log, ["doc", "item"], ["ts", "event_id"]).select("doc", "item", "verdict", "event_id")
+
+
+VERDICT_SQL = """log AS (SELECT 'd' || user_id % 40 AS doc, CASE event_type WHEN 'click' THEN 'excluded:' WHEN 'view' THEN 'null:' WHEN 'error' THEN 'other:' ELSE 'audit:' END || user_id % 7 AS id,
+  CASE WHEN event_id % 9 = 0 THEN 'clear' WHEN event_type = 'click' THEN CASE WHEN value < 50 THEN 'boxes' ELSE 'absent' END WHEN event_type = 'view' THEN CASE WHEN value < 90 THEN 'node' ELSE 'accept' END WHEN value > 50 THEN 'accept' ELSE 'skip' END AS verdict,
+  CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS n_boxes, CASE WHEN event_id % 5 > 0 THEN 'n' || user_id END AS node_id, ts, event_id AS seq FROM events),
+judged AS (SELECT *, CASE WHEN id LIKE 'other:%' THEN 'bad_item' WHEN verdict <> 'clear' AND NOT ((id LIKE 'excluded:%' AND verdict IN ('boxes', 'absent', 'skip')) OR (id LIKE 'null:%' AND verdict IN ('furniture', 'node', 'skip')) OR (id LIKE 'audit:%' AND verdict IN ('accept', 'reject', 'skip'))) THEN 'bad_verdict'
+  WHEN verdict = 'boxes' AND n_boxes = 0 THEN 'needs_boxes' WHEN verdict = 'node' AND node_id IS NULL THEN 'needs_node' END AS fault FROM log),
+held AS (SELECT doc, id, verdict FROM (SELECT *, row_number() OVER (PARTITION BY doc, id ORDER BY ts DESC, seq DESC) AS r FROM judged WHERE fault IS NULL) WHERE r = 1 AND verdict <> 'clear')"""
+
+
+def _verdict_log(read):
+    e, kind, v = read("events"), F.col("event_type"), F.col("value")
+    queue = F.when(kind == "click", "excluded:").when(kind == "view", "null:").when(kind == "error", "other:").otherwise("audit:")
+    verdict = F.when(F.col("event_id") % 9 == 0, "clear").when(kind == "click", F.when(v < 50, "boxes").otherwise("absent"))
+    verdict = verdict.when(kind == "view", F.when(v < 90, "node").otherwise("accept")).otherwise(F.when(v > 50, "accept").otherwise("skip"))
+    user = F.col("user_id")
+    return e.select(
+        F.concat(F.lit("d"), user % 40).alias("doc"), F.concat(queue, user % 7).alias("id"), verdict.alias("verdict"),
+        F.when(F.col("event_id") % 2 == 0, F.array(F.lit("1:0"))).alias("boxes"), F.when(F.col("event_id") % 5 > 0, F.concat(F.lit("n"), user)).alias("node_id"),
+        F.lit(None).cast("string").alias("note"), "ts", F.col("event_id").alias("seq"),
+    )
+
+
+@query("verdict_faults", f"WITH {VERDICT_SQL} SELECT coalesce(fault, 'none') AS fault, verdict, count(*) AS n FROM judged GROUP BY ALL")
+def verdict_faults(read):
+    """Verdicts of the log by what is wrong with them."""
+    return verdicts.checked(_verdict_log(read)).groupBy(F.coalesce("fault", F.lit("none")).alias("fault"), "verdict").agg(F.count("*").alias("n"))
+
+
+@query(
+    "verdict_progress",
+    f"""WITH {VERDICT_SQL}, items AS (SELECT DISTINCT doc, id FROM log WHERE seq % 3 > 0)
+SELECT coalesce(items.doc, held.doc) AS doc, count(items.id) AS n_items, count(held.id) AS n_annotated, CAST(sum(CASE WHEN held.id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_open
+FROM items FULL JOIN held ON items.doc = held.doc AND items.id = held.id GROUP BY 1""",
+)
+def verdict_progress(read):
+    """Items, those with a verdict that holds, and open ones, by document."""
+    log = _verdict_log(read)
+    held = verdicts.last_verdicts(verdicts.checked(log).where("fault is null"))
+    return verdicts.progress(log.where("seq % 3 > 0").select("doc", "id"), held)
 
 
 @query("json_props_to_attrs", "SELECT event_id, 'k' AS attr, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
