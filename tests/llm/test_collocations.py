@@ -1,18 +1,15 @@
-"""Collocations against a plain version and SQL."""
+"""Collocations against a plain version; the SQL twin is tested with the others."""
 
 import random
 import re
 from collections import Counter
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from folioquery.llm import collocation as C
 from folioquery.llm import grams
 
-SF = "/root/testdata/sf0.001"
-
 
 def words_of(text):
     low = (text or "").translate({i: i + 32 for i in range(65, 91)})
@@ -63,14 +60,6 @@ def test_equals_plain_version(spark, buckets):
     assert as_rows(C.collocations(df, least=6, top=40, buckets=buckets)) == plain(rows, 6, 40)
 
 
-def test_whole_table_equals_sql(spark):
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = con.sql(f"SELECT lang, rank, phrase, a, l, r, n, score FROM ({C.COLLOCATION_SQL})").fetchall()
-    assert len(want) >= 50
-    assert as_rows(C.collocation_query(spark.read.parquet(f"{SF}/documents.parquet"))) == sorted(want)
-
-
 @pytest.mark.parametrize("block", [16, 64, 1 << 22])
 def test_blocks_count_each_phrase_once(block):
     texts = [t for _, t in made(5, 60)] + ["alpha beta gamma delta " * 200, None, "", "z" * 300, "no, " * 50]
