@@ -187,7 +187,8 @@ def _exact(c) -> Column:
 
 def scored(tables: list[DataFrame], ws: Workspace) -> list[DataFrame]:
     """For phrases of 2, 3, .. words: (lang, phrase, a, l, r, score) of the lowest-scoring cut. Each
-    length takes the counts of its parts from the two phrases that are one word shorter."""
+    length takes the counts of its parts from the two phrases that are one word shorter. All joins
+    are merges: a table's size on disk doesn't show its copies, and a broadcast is built in the driver."""
     out, held = [], None
     for k in range(2, len(tables) + 1):
         c = tables[k - 1].select("lang", "phrase", "a", _slice(1, k - 1).alias("head"), _slice(2, k - 1).alias("tail"))
@@ -199,7 +200,7 @@ def scored(tables: list[DataFrame], ws: Workspace) -> list[DataFrame]:
             short = {side: held.select("lang", F.col("phrase").alias("part"), F.concat(F.col(side), F.array("a")).alias("counts")) for side in ("heads", "tails")}
         for side, part in (("heads", "head"), ("tails", "tail")):
             on = ["lang", part, *(["salt"] if k == 2 else [])]
-            c = c.join(short[side].withColumnsRenamed({"part": part, "counts": side}), on)
+            c = c.join(short[side].withColumnsRenamed({"part": part, "counts": side}).hint("merge"), on)
         # heads: counts of the first 1, 2, .. k - 1 words; tails: of the last 1, 2, .. k - 1
         held = ws.table(c.select("lang", "phrase", "a", "heads", "tails"), f"parts{k}")
         a = "cast(a as decimal(20,0)) * 2000000"
@@ -231,7 +232,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
         if k < longest:
             inside = by_length[k - 1].select("lang", "a", F.explode(F.array(_slice(1, k), _slice(2, k))).alias("phrase"))
             inside = inside.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-            c = c.join(inside, ["lang", "phrase"], "left")
+            c = c.join(inside.hint("merge"), ["lang", "phrase"], "left")
             c = c.where(F.col("longer").isNull() | (_exact("longer") * 100 < _exact("a") * 80)).drop("longer")
         kept = c if kept is None else kept.unionByName(c)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]

@@ -97,3 +97,21 @@ def test_large_counts_score_exactly(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "lang string, text string")
     assert C.collocation_query(df).count() == 0
+
+
+def test_phrase_tables_are_not_broadcast(spark, monkeypatch):
+    """Small files can hold many phrases, and the two-word join repeats each word's row."""
+    plans = []
+    table = C.Workspace.table
+
+    def seen(self, df, name="t"):
+        if name.startswith("parts"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table(self, df, name)
+
+    monkeypatch.setattr(C.Workspace, "table", seen)
+    docs = spark.createDataFrame([("en", "a b c d e")] * 5, "lang string, text string")
+    C.collocations(docs, least=2, buckets=1 << 10)
+    assert len(plans) == 3
+    for plan in plans:
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
