@@ -1,12 +1,14 @@
 """Which page boxes render which passage: theta, similarity and lexical joins within a
 document, the owner of a box, and the closure over a tree."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioquery.functions.text import norm_alnum, words_of
 from folioquery.functions.vectors import char_grams, dot, tfidf
+from folioquery.operators.folds import walked
 from folioquery.plans.workspace import Workspace
 
 
@@ -16,16 +18,78 @@ def naive_score(a: Column, b: Column, a_words: Column, b_words: Column) -> Colum
     return F.when(a.contains(b) | b.contains(a), 1.0).when(few == 0, 0.0).otherwise(F.size(F.array_intersect(a_words, b_words)) / few)
 
 
-def align_naive(segs: DataFrame, boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, seg, gold, box, score) of pairs at or over the threshold.
+#: Most postings of words that are counted at once; a document's pairs are scored in blocks of boxes.
+BLOCK = 2_000_000
 
-    segs: doc_id, seg, norm; boxes: doc_id, gold, box, text. The join is by document.
+
+def naive_pairs(segs: list[str], boxes: list[str], threshold: float, top: int | None = None) -> list[tuple[int, int, float]]:
+    """(box, seg, score) of naive_score() at or over the threshold, by place in the two lists. With ``top``
+    only the best that many of each box and the best of each passage, the first of equal ones.
+
+    Words in common are counted from lists of the passages that hold a word. A text in another one
+    has all its words there but the first and the last, so only such pairs are compared as texts.
+    """
+    words = {}
+    for i, t in enumerate(segs):
+        for w in set(t.split(" ")) if t else ():
+            words.setdefault(w, []).append(i)
+    words = {w: np.array(at, np.int64) for w, at in words.items()}
+    n_seg = np.array([len(set(t.split(" "))) if t else 0 for t in segs], np.int64)
+    sets = [set(t.split(" ")) if t else set() for t in boxes]
+    best, best_box, out, k, n = np.full(len(segs), -1.0), np.zeros(len(segs), np.int64), [], 0, len(segs)
+    while k < len(boxes):
+        first, room, lists = k, BLOCK, []
+        while k < len(boxes) and (k == first or room > 0):
+            met = [at for w in sets[k] if (at := words.get(w)) is not None]
+            if met:
+                lists.append(np.concatenate(met) + (k - first) * n)
+                room -= len(lists[-1])
+            room -= n
+            k += 1
+        common = np.bincount(np.concatenate(lists), minlength=(k - first) * n) if lists else np.zeros((k - first) * n, np.int64)
+        common = common.reshape(k - first, n)
+        n_box = np.array([len(s) for s in sets[first:k]], np.int64)[:, None]
+        few = np.minimum(n_box, n_seg)
+        score = np.divide(common, few, out=np.zeros(common.shape), where=few > 0)
+        i, j = np.nonzero((score < 1) & ((common >= n_box - 2) | (common >= n_seg - 2)))
+        inside = np.array([segs[y] in (b := boxes[x]) or b in segs[y] for x, y in zip((i + first).tolist(), j.tolist())], bool)
+        score[i[inside], j[inside]] = 1.0
+        if top is None:
+            i, j = np.nonzero(score >= threshold)
+            out += zip((i + first).tolist(), j.tolist(), score[i, j].tolist())
+            continue
+        i = score.argmax(0)
+        more = score[i, np.arange(n)] > best
+        best[more], best_box[more] = score[i, np.arange(n)][more], i[more] + first
+        for _ in range(min(top, n)):
+            j = score.argmax(1)
+            i = np.flatnonzero(score[np.arange(k - first), j] >= threshold)
+            out += zip((i + first).tolist(), j[i].tolist(), score[i, j[i]].tolist())
+            score[i, j[i]] = -1.0
+    if top is not None:
+        held = {(i, j) for i, j, _ in out}
+        out += [(i, j, s) for j, (i, s) in enumerate(zip(best_box.tolist(), best.tolist())) if s >= threshold and (i, j) not in held]
+    return out
+
+
+def align_naive(segs: DataFrame, boxes: DataFrame, threshold: float = 0.5, top: int | None = None) -> DataFrame:
+    """(doc_id, seg, gold, box, score) of pairs at or over the threshold; with ``top`` only those among the
+    ``top`` best of their box, score down, then passage order, and the best of each passage.
+
+    segs: doc_id, seg, norm; boxes: doc_id, gold, box, text. A document is one group, see naive_pairs().
     """
-    s = segs.select("doc_id", "seg", "norm", F.array_distinct(words_of(F.col("norm"))).alias("sw"))
-    b = boxes.select("doc_id", "gold", "box", norm_alnum(F.col("text")).alias("bn"))
-    b = b.where("bn <> ''").withColumn("bw", F.array_distinct(words_of(F.col("bn"))))
-    pairs = s.join(b, "doc_id").withColumn("score", naive_score(F.col("norm"), F.col("bn"), F.col("sw"), F.col("bw")))
-    return pairs.where(F.col("score") >= threshold).select("doc_id", "seg", "gold", "box", "score")
+    rows = segs.where("norm is not null").select("doc_id", F.lit(0).alias("side"), F.col("seg").alias("key"), F.lit(None).cast(dict(boxes.dtypes)["gold"]).alias("gold"), F.col("norm").alias("t"))
+    bn = boxes.select("doc_id", F.lit(1), F.col("box"), F.col("gold"), norm_alnum(F.col("text")).alias("t")).where("t <> ''")
+    kinds = dict(segs.dtypes) | dict(boxes.dtypes)
+
+    def one(rows: list[dict]):
+        cut = next((i for i, r in enumerate(rows) if r["side"]), len(rows))
+        a, b = rows[:cut], rows[cut:]
+        for i, j, score in naive_pairs([r["t"] for r in a], [r["t"] for r in b], threshold, top):
+            yield rows[0]["doc_id"], a[j]["key"], b[i]["gold"], b[i]["key"], score
+
+    schema = f"doc_id {kinds['doc_id']}, seg {kinds['seg']}, gold {kinds['gold']}, box {kinds['box']}, score double"
+    return walked(rows.union(bn).where("doc_id is not null"), ["doc_id"], ["side", "gold", "key"], one, schema)
 
 
 def owners(aligned: DataFrame, box_keys: list[str], top: int = 1) -> DataFrame:
