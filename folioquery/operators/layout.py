@@ -52,8 +52,9 @@ def attach_lines(lines: DataFrame, blocks: DataFrame, by: list[str], threshold:
 
 def orphan_groups(lines: DataFrame, by: list[str], factor: float = 1.6) -> DataFrame:
     """lines with ``island``: runs, in (y, x) order, where each line follows the one before
-    by at most ``factor`` of its height and shares some width with it."""
-    order = W.partitionBy(*by).orderBy("y0", "x0", "line")
+    by at most ``factor`` of its height and shares some width with it. Lines that start at one place under
+    one number follow by their ends, so that islands don't depend on the order of the input."""
+    order = W.partitionBy(*by).orderBy("y0", "x0", "line", "x1", "y1")
     before = Box(x0=F.lag("x0").over(order), y0=F.lag("y0").over(order), x1=F.lag("x1").over(order), y1=F.lag("y1").over(order))
     b = Box()
     follows = (b.y0 - before.y1 <= factor * before.height) & (b.overlap(before, "x") > 0)

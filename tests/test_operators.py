@@ -314,3 +314,14 @@ def test_closure_of_a_deep_tree_is_an_error(spark):
     assert align.closure(edges, 4).count() == 15
     with pytest.raises(ValueError):
         align.closure(edges, 3).count()
+
+
+def test_islands_of_tied_lines_dont_depend_on_input_order(spark):
+    """Two lines at one place, a tall one that the third line may follow and a flat one that it may not."""
+    rows = [(1, 1, 0.0, 0.0, 50.0, 40.0), (1, 1, 0.0, 0.0, 60.0, 4.0), (1, 2, 0.0, 60.0, 50.0, 70.0)]
+    found = []
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "page int, line int, x0 double, y0 double, x1 double, y1 double").coalesce(1)
+        found.append(sorted(tuple(r) for r in layout.island_boxes(layout.orphan_groups(df, ["page"]), ["page"]).collect()))
+    assert found[0] == found[1]
+    assert [r[2] for r in found[0]] == [2, 1]
