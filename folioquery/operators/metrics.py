@@ -57,9 +57,26 @@ def multiset_prf(ref: DataFrame, hyp: DataFrame, key: str, word: str) -> DataFra
     return j.groupBy(key).agg(F.sum("n").alias("n_ref"), F.sum("m").alias("n_hyp"), common.alias("common"), _ratio(common, F.sum("n")).alias("recall"), _ratio(common, F.sum("m")).alias("prec"))
 
 
+def left_out(ref: Column, hyp: Column) -> Column:
+    """Whether hyp is ref with characters left out, none of them moved or new; false with a null."""
+    import pandas as pd
+
+    def held(a: pd.Series, b: pd.Series) -> pd.Series:
+        def inside(x, y):
+            rest = iter(x)
+            return all(c in rest for c in y)
+
+        return pd.Series([x is not None and y is not None and inside(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    return F.pandas_udf(held, "boolean")(ref, hyp)
+
+
 def with_cer(rows: DataFrame, ref: str, hyp: Column) -> DataFrame:
-    """rows with ``edits`` and ``cer`` (edits over reference length, 4 places, null without a reference)."""
-    return rows.withColumn("edits", F.levenshtein(F.col(ref), hyp)).withColumn("cer", _ratio(F.col("edits"), F.length(ref), 4))
+    """rows with ``edits`` and ``cer`` (edits over reference length, 4 places, null without a reference).
+    Where characters are only left out, edits are the difference in length, without a distance."""
+    few = F.length(ref) - F.length(hyp)
+    edits = F.when(left_out(F.col(ref), hyp), few).otherwise(F.levenshtein(F.col(ref), hyp))
+    return rows.withColumn("edits", edits).withColumn("cer", _ratio(F.col("edits"), F.length(ref), 4))
 
 
 def upper_median(name: str) -> Column:

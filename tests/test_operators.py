@@ -325,3 +325,12 @@ def test_islands_of_tied_lines_dont_depend_on_input_order(spark):
         found.append(sorted(tuple(r) for r in layout.island_boxes(layout.orphan_groups(df, ["page"]), ["page"]).collect()))
     assert found[0] == found[1]
     assert [r[2] for r in found[0]] == [2, 1]
+
+
+def test_long_texts_with_words_left_out_need_no_distance(spark):
+    """Two million characters a side: all pairs of them can't be compared."""
+    long = "abcdefghi " * 200_000
+    rows = [(long, long[:1000] + long[2000:]), ("kitten", "sitting"), ("abc", ""), ("", "x"), (None, "x"), ("x", None), ("Zürich", "Zrich")]
+    df = spark.createDataFrame(rows, "r string, h string")
+    got = [r.edits for r in metrics.with_cer(df, "r", F.col("h")).select("edits").collect()]
+    assert got == [1000, 3, 3, 1, None, None, 1]
