@@ -121,32 +121,67 @@ def assign_vocabulary(vectors: DataFrame, centroids: DataFrame, key: str, thresh
     return best.select(key, F.when(ok, F.col("b.label").cast("string")).otherwise(F.concat(F.lit("self:"), F.col(key).cast("string"))).alias("label"), F.col("b.score").alias("score"))
 
 
+def average_linkage(v: "np.ndarray", threshold: float, room: int = 4_000_000) -> list[int]:
+    """For each row the first row of its cluster: average linkage by cosine distance up to ``threshold``.
+
+    The mean distance of two clusters comes from their summed unit vectors, so no matrix of
+    distances is held. In every round all pairs that are each other's nearest are joined, as no join brings
+    a third cluster nearer than its nearest was; only clusters whose nearest is gone are compared
+    anew, and those with nothing within the threshold are done. Equal vectors are joined beforehand.
+    room: most distances that are held at once.
+    """
+    import numpy as np
+
+    length = np.linalg.norm(v, axis=1, keepdims=True)
+    v = v / np.maximum(length, 1e-9)
+    own = np.arange(len(v))
+    if threshold >= 0 and len(v):
+        _, first, same = np.unique(v, axis=0, return_index=True, return_inverse=True)
+        own = np.where(length[:, 0] > 0, first[same.reshape(-1)], own)
+    size = np.bincount(own, minlength=len(v)).astype(float)
+    total = v * size[:, None]
+    ids = np.flatnonzero(size)
+    mean = total[ids] / size[ids, None]
+    near, gap = np.full(len(v), -1), np.full(len(v), np.inf)
+    stale = ids
+    while len(ids) > 1:
+        tile = max(1, room // len(ids))
+        for k in range(0, len(stale), tile):
+            some = stale[k : k + tile]
+            d = 1 - (total[some] / size[some, None]) @ mean.T
+            d[np.arange(len(some)), np.searchsorted(ids, some)] = np.inf
+            at = d.argmin(1)
+            near[some], gap[some] = ids[at], d[np.arange(len(some)), at]
+        ids = ids[gap[ids] <= threshold]  # the others are done
+        pair = ids[(near[near[ids]] == ids) & (ids < near[ids]) & (gap[near[ids]] <= threshold)]
+        if not len(pair) and len(ids):  # ties: the nearest of all
+            pair = ids[[gap[ids].argmin()]]
+        if not len(pair):
+            break
+        gone = near[pair]
+        into = np.arange(len(v))
+        into[gone] = pair
+        own = into[own]
+        total[pair] += total[gone]
+        size[pair] += size[gone]
+        ids = np.setdiff1d(ids, gone, assume_unique=True)
+        mean = total[ids] / size[ids, None]
+        stale = ids[np.isin(ids, pair) | np.isin(near[ids], np.concatenate([pair, gone]))]
+    first = np.full(len(v), len(v))
+    np.minimum.at(first, own, np.arange(len(v)))
+    return first[own].tolist()
+
+
 def induce_vocabulary(vectors: DataFrame, block: str, key: str, threshold: float = 0.45) -> DataFrame:
-    """(block, key, cluster): average-linkage clusters by cosine distance under ``threshold``;
-    the cluster is its smallest key. Keys of one block (a corpus' vocabulary) are few."""
+    """(block, key, cluster): average-linkage clusters by cosine distance under ``threshold``; the cluster
+    is its smallest key. A block is one group: its vectors are held, and compared a tile at a time."""
     import numpy as np
     import pandas as pd
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
-        v = np.array(pdf.vec.tolist(), float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-        d = 1 - v @ v.T
-        np.fill_diagonal(d, np.inf)
-        groups, sizes = [[i] for i in range(len(v))], np.ones(len(v))
-        while len(groups) > 1:
-            i, j = np.unravel_index(np.argmin(d), d.shape)
-            if not d[i, j] <= threshold:
-                break
-            i, j = min(i, j), max(i, j)
-            d[i] = (d[i] * sizes[i] + d[j] * sizes[j]) / (sizes[i] + sizes[j])
-            d[:, i], d[i, i] = d[i], np.inf
-            groups[i] += groups.pop(j)
-            sizes[i] += sizes[j]
-            sizes, d = np.delete(sizes, j), np.delete(np.delete(d, j, 0), j, 1)
-        names = pdf[key].tolist()
-        rows = [(pdf[block].iloc[0], names[k], min(names[m] for m in g)) for g in groups for k in g]
-        return pd.DataFrame(rows, columns=[block, key, "cluster"])
+        names = pdf[key].to_numpy()
+        return pd.DataFrame({block: pdf[block].iloc[0], key: names, "cluster": names[average_linkage(np.stack(pdf.vec.to_numpy()).astype(float), threshold)]})
 
     kinds = dict(vectors.dtypes)
     return vectors.groupBy(block).applyInPandas(one, f"{block} {kinds[block]}, {key} {kinds[key]}, cluster {kinds[key]}")

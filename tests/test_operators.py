@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +188,33 @@ def test_vocabulary(spark):
     assert got == {"a": "a", "b": "a", "c": "c"}
 
 
+def test_vocabulary_of_a_large_block_holds_no_matrix():
+    """Equal to joining the nearest two of a matrix of distances; 4,000 vectors, 1,000 of them copies, in little memory."""
+    import tracemalloc
+
+    def plain(v, threshold):
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        groups = [[i] for i in range(len(v))]
+        while len(groups) > 1:
+            gap, i, j = min((1 - v[a].mean(0) @ v[b].mean(0), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups[:i]))
+            if gap > threshold:
+                break
+            groups[j] += groups.pop(i)
+        return [min(g) for k in range(len(v)) for g in groups if k in g]
+
+    rng = np.random.default_rng(2)
+    for threshold in (0.05, 0.45, 0.8, 1.0) * 3:
+        v = rng.normal(size=(rng.integers(1, 20), 3))
+        v = np.concatenate([v, v[:3], np.zeros((2, 3))])
+        assert records.average_linkage(v, threshold) == plain(v, threshold)
+    v = rng.normal(size=(3000, 16))
+    tracemalloc.start()
+    got = records.average_linkage(np.concatenate([v, v[:1].repeat(1000, 0)]), 0.3, room=100_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(got[3000:]) == {got[0]} and most < 20_000_000
+
+
 def test_levels_and_cycles(spark):
     names = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "name string")
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "parent string, child string")
