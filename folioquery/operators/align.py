@@ -1,6 +1,8 @@
 """Which page boxes render which passage: theta, similarity and lexical joins within a
 document, the owner of a box, and the closure over a tree."""
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -98,13 +100,74 @@ def owners(aligned: DataFrame, box_keys: list[str], top: int = 1) -> DataFrame:
     return aligned.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
 
 
+#: Most vectors of one part of a block, and rows of it that are compared at once.
+PART, TILE = 4_096, 512
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of every two rows, rounded to 4 places as Spark rounds the sum taken in order: sums that
+    lie so near to a tie that their order may matter are taken again in order."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    with np.errstate(all="ignore"):
+        s = a @ b.T
+        length = np.sqrt((a * a).sum(1).max(initial=0) * (b * b).sum(1).max(initial=0))
+        out, scaled = np.round(s, 4), np.abs(s) * 1e4
+        i, j = np.nonzero(~(np.abs(scaled - np.floor(scaled) - 0.5) > 1e-8 * max(1.0, length)) & np.isfinite(s))
+        if len(i):
+            each = np.zeros(len(i))
+            for k in range(a.shape[1]):
+                each += a[i, k] * b[j, k]
+            out[i, j] = [float(Decimal(repr(x)).quantize(Decimal("0.0001"), ROUND_HALF_UP)) for x in each.tolist()]
+    return out
+
+
 def align_vectors(nodes: DataFrame, boxes: DataFrame, block: str, floor: float = 0.2) -> DataFrame:
-    """Cosine of unit vectors within a block, rounded to 4 places, at or over ``floor``.
+    """(block, node, box, score): cosine of unit vectors within a block, rounded to 4 places, at or over ``floor``.
 
-    nodes: block, node, vec; boxes: block, box, vec2.
+    nodes: block, node, vec; boxes: block, box, vec2; vectors with a null, or of unlike lengths, don't
+    meet. Both sides of a block are dealt into parts of about PART rows, and every two parts are a
+    task's group: its vectors are held, its scores are made a tile at a time.
     """
-    pairs = nodes.join(boxes, block).withColumn("score", F.round(dot(F.col("vec"), F.col("vec2")), 4))
-    return pairs.where(F.col("score") >= floor).select(block, "node", "box", "score")
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = dict(nodes.dtypes) | dict(boxes.dtypes)
+    vector = lambda c: F.transform(c, lambda x: x.cast("double"))
+    whole = lambda c: F.col(block).isNotNull() & F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    a = nodes.where(whole("vec")).select(block, "node", vector("vec").alias("v"), F.size("vec").alias("_d"))
+    b = boxes.where(whole("vec2")).select(block, "box", vector("vec2").alias("v"), F.size("vec2").alias("_d"))
+    keys, place = [block, "_d"], [block, "_d", "_i", "_j"]
+    parts = lambda rows, n: rows.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias(n))
+    parted = parts(a, "_n").join(parts(b, "_m"), keys)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = a.join(parted, keys).select(*keys, own("node", "_n").alias("_i"), every("_m").alias("_j"), F.lit(0).alias("_side"), "node", F.lit(None).cast(kinds["box"]).alias("box"), "v")
+    right = b.join(parted, keys).select(*keys, every("_n").alias("_i"), own("box", "_m").alias("_j"), F.lit(1), F.lit(None).cast(kinds["node"]), "box", "v")
+    schema = f"{block} {kinds[block]}, node {kinds['node']}, box {kinds['box']}, score double"
+    arrow = to_arrow_schema(nodes.sparkSession.createDataFrame([], schema).schema)
+
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {0: [], 1: []}
+        for batch in batches:
+            side, v = batch.column("_side").to_numpy(), batch.column("v")
+            flat = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+            for s, name in ((0, "node"), (1, "box")):
+                at = np.flatnonzero(side == s)
+                if len(at):
+                    held[s].append((flat[at], batch.column(name).take(pa.array(at))))
+        if not (held[0] and held[1]):
+            return
+        (a, node), (b, box) = ((np.concatenate([x for x, _ in h]), pa.concat_arrays([x for _, x in h])) for h in (held[0], held[1]))
+        for at in range(0, len(a), TILE):
+            score = _cosines(a[at : at + TILE], b)
+            i, j = np.nonzero(~(score < floor))
+            for k in range(0, len(i), 100_000):
+                x, y = i[k : k + 100_000], j[k : k + 100_000]
+                named = pa.repeat(key[0], len(x)).cast(arrow.field(0).type)
+                yield pa.RecordBatch.from_arrays([named, node.take(pa.array(x + at)), box.take(pa.array(y)), pa.array(score[x, y])], schema=arrow)
+
+    return left.union(right).groupBy(*place).applyInArrow(meet, schema)
 
 
 def align_lexical(nodes: DataFrame, boxes: DataFrame, total: int, least: int = 3, most: int = 5) -> DataFrame:

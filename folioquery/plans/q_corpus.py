@@ -27,6 +27,7 @@ def _scored(read):
     """SELECT a.label, count(*) AS n_pairs, max(round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 4)) AS best
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
 WHERE round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 4) >= 0.2 GROUP BY a.label""",
+    python=True,
 )
 def cosine_join_floor(read):
     e = read("embeddings")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioquery.functions import text as T
 from folioquery.functions.geometry import Box, polygon_box
+from folioquery.functions.vectors import dot
 from folioquery.operators import align, components, corpus, graph, layout, metrics, placement, reading, records
 from folioquery.plans.workspace import Workspace
 
@@ -215,6 +216,22 @@ def test_vocabulary_of_a_large_block_holds_no_matrix():
     assert set(got[3000:]) == {got[0]} and most < 20_000_000
 
 
+@pytest.mark.parametrize("part", [3, 4_096])
+def test_vectors_meet_in_parts(spark, monkeypatch, part):
+    monkeypatch.setattr(align, "PART", part)
+    monkeypatch.setattr(align, "TILE", 2)
+    rng = np.random.default_rng(4)
+    v = {i: [float(x) for x in rng.choice([-0.5, 0.0, 0.5, 0.1, 0.00045], 5)] for i in range(14)}
+    v |= {14: None, 15: [0.5, None, 0.0, 0.0, 0.0], 16: [1.0, 0.0], 17: [0.5, 0.5], 18: [], 19: [float("nan")] * 5}
+    rows = spark.createDataFrame([(None if i == 3 else i % 2, i, x) for i, x in v.items()], "g int, node long, vec array<double>")
+    other = rows.select("g", F.col("node").alias("box"), F.col("vec").alias("vec2"))
+    plain = rows.join(other, "g").withColumn("score", F.round(dot(F.col("vec"), F.col("vec2")), 4)).where("score >= 0.2")
+    got = align.align_vectors(rows, other, "g", 0.2)
+    key = lambda df: sorted(map(str, df.select("g", "node", "box", "score").collect()))
+    assert key(got) == key(plain) and got.count() > 20
+    assert "ArrowInPandas" in (how := got._jdf.queryExecution().executedPlan().toString()) or "FlatMapGroupsInArrow" in how
+
+
 def test_levels_and_cycles(spark):
     names = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "name string")
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "parent string, child string")
