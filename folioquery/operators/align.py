@@ -2,6 +2,7 @@
 document, the owner of a box, and the closure over a tree."""
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -191,42 +192,46 @@ def coverage(segs: DataFrame, aligned: DataFrame, by: str) -> DataFrame:
     return joined.groupBy(by).agg(F.count("*").alias("n"), F.count("hit").alias("covered"), F.round(F.count("hit") / F.count("*"), 6).alias("coverage"))
 
 
+_first = itemgetter(0, 1)
+
+
 def best_monotone(boxes: list[tuple[int, list[tuple[int, int, int, int]]]], ratio: float) -> tuple[int, list[tuple[int, int]]]:
     """(gain, [(box, seg)]) for boxes in reading order with candidates (seg, box size, passage
     size, gain): passages never go back, and one takes at most ``ratio`` times its size.
 
     A passage's boxes are one run, so for each passage it is enough to keep the best gain by
     characters used (more use only for more gain), and before a box the best of all earlier
-    passages.
+    passages, which a tree of maxima over the passages gives.
     """
     order = sorted({c[0] for _, cs in boxes for c in cs})
     at = {s: i for i, s in enumerate(order)}
-    front: list[list[tuple[int, int, tuple | None]]] = [[] for _ in order]  # (used, gain, chain)
+    front: list[list[tuple[int, int, tuple | None]]] = [[] for _ in order]  # (used, -gain, chain)
+    tree: list[tuple[int, int, tuple | None]] = [(0, 0, None)] * (len(order) + 1)  # (-gain, passage, chain), as gains only grow
     for box, cands in boxes:
-        before, best = [], (0, None)
-        for f in front:
-            before.append(best)
-            if f and f[-1][1] > best[0]:
-                best = (f[-1][1], f[-1][2])
-        new: dict[int, list] = {}
+        new = []
         for seg, size, room, gain in cands:
             i, cap = at[seg], int(ratio * room)
             if size <= cap:
-                total, chain = before[i]
-                new.setdefault(i, []).append((size, total + gain, (chain, box, seg)))
-                new[i] += [(u + size, g + gain, (c, box, seg)) for u, g, c in front[i] if u + size <= cap]
-        for i, more in new.items():
-            kept: list = []
-            for state in sorted(front[i] + more, key=lambda x: (x[0], -x[1])):
-                if not kept or state[1] > kept[-1][1]:
+                best, k = tree[0], i
+                while k:
+                    best, k = min(best, tree[k], key=_first), k & (k - 1)
+                more = [(u + size, g - gain, (c, box, seg)) for u, g, c in front[i] if u + size <= cap]
+                new.append((i, [(size, best[0] - gain, (best[2], box, seg)), *more]))
+        for i, more in new:
+            kept, least = [], 1
+            for state in sorted(front[i] + more, key=_first):
+                if state[1] < least:
                     kept.append(state)
-            front[i] = kept
-    gain, chain = max([(f[-1][1], f[-1][2]) for f in front if f] + [(0, None)], key=lambda x: x[0])
+                    least = state[1]
+            front[i], best, k = kept, (least, i, kept[-1][2]), i + 1
+            while k <= len(order):
+                tree[k], k = min(best, tree[k], key=_first), k + (k & -k)
+    gain, chain = min([(f[-1][1], f[-1][2]) for f in front if f] + [(0, None)], key=lambda x: x[0])
     out = []
     while chain:
         chain, box, seg = chain
         out.append((box, seg))
-    return gain, out[::-1]
+    return -gain, out[::-1]
 
 
 def monotone_assignment(scored: DataFrame, threshold: float = 0.5, ratio: float = 2.0, top: int = 12) -> DataFrame:
@@ -236,20 +241,16 @@ def monotone_assignment(scored: DataFrame, threshold: float = 0.5, ratio: float
     candidates; a pair's gain is its score over the threshold in ten-thousandths, plus one so that
     a pair at the threshold is better than none.
     """
-    import pandas as pd
-
     order = W.partitionBy("doc_id", "box").orderBy(F.desc("score"), "seg")
     best = scored.where(F.col("score") >= threshold).withColumn("r", F.row_number().over(order)).where(F.col("r") <= top)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["box", "seg"])
+    def one(rows: list[dict]):
         boxes: dict = {}
-        for box, seg, size, room, score in zip(pdf.box, pdf.seg, pdf.box_chars, pdf.seg_chars, pdf.score):
-            boxes.setdefault(int(box), []).append((int(seg), int(size), int(room), int(round((score - threshold) * 10_000)) + 1))
-        _, got = best_monotone(list(boxes.items()), ratio)
-        return pd.DataFrame([(pdf.doc_id.iloc[0], b, s) for b, s in got], columns=["doc_id", "box", "seg"])
+        for r in rows:
+            boxes.setdefault(r["box"], []).append((r["seg"], r["box_chars"], r["seg_chars"], int(round((r["score"] - threshold) * 10_000)) + 1))
+        return [(rows[0]["doc_id"], b, s) for b, s in best_monotone(list(boxes.items()), ratio)[1]]
 
-    return best.groupBy("doc_id").applyInPandas(one, "doc_id long, box long, seg long")
+    return walked(best.drop("r"), ["doc_id"], ["box", "seg"], one, "doc_id long, box long, seg long")
 
 
 def closure(edges: DataFrame, levels: int = 100) -> DataFrame:

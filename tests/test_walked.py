@@ -1,6 +1,6 @@
 """Groups walked in order while they stream by."""
 
-from folioquery.operators import links, placement, stream
+from folioquery.operators import align, links, placement, stream
 from folioquery.operators.folds import walked
 from pyspark.sql import functions as F
 
@@ -20,3 +20,10 @@ def test_no_step_makes_a_frame_a_group(spark):
         assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in made[2].collect()] == [(1, 2, 4)]
     assert [tuple(r) for r in made[0].collect()] == [(1, 0, 0, 0, 0, 12)]
+
+
+def test_assignment_makes_no_frame_a_document(spark):
+    rows = [(d, s, 20, b, 10, 0.9 if s == b // 2 else 0.6) for d in range(3) for b in range(8) for s in range(4)]
+    df = align.monotone_assignment(spark.createDataFrame(rows, "doc_id long, seg long, seg_chars long, box long, box_chars long, score double"))
+    assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, df.collect())) == [(d, b, b // 2) for d in range(3) for b in range(8)]
