@@ -31,6 +31,45 @@ def swept(side, x0, y0, x1, y1) -> tuple[float, float, float]:
     return tuple(float(a) for a in areas)
 
 
+#: Groups of so many boxes are covered many at a time, larger ones are swept one by one.
+FEW = 16
+
+
+def swept_many(side, x0, y0, x1, y1) -> np.ndarray:
+    """swept() of each of many groups, given as lists of arrays: a row (area 0, area 1, common) a group.
+
+    Groups of equally many boxes lie in one array; their edges cut the plane into cells, and each cell is
+    held by a box or not. Cells grow with the square of a group's boxes, hence only up to FEW."""
+    size = np.array([len(s) for s in side], np.int64)
+    out = np.zeros((len(size), 3))
+    for m in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == m)
+        if m <= FEW:
+            s, a, b, c, d = (np.array([v[i] for i in at], float) for v in (side, x0, y0, x1, y1))
+            plain = np.isfinite(a + b + c + d).all(1)
+            s, a, b, c, d = (v[plain] for v in (s, a, b, c, d))
+            out[at[plain]] = _covered(s, a, b, c, d)
+            at = at[~plain]
+        for i in at:
+            out[i] = swept(side[i], x0[i], y0[i], x1[i], y1[i])
+    return out
+
+
+def _covered(side, x0, y0, x1, y1) -> np.ndarray:
+    """swept() of groups of m boxes, arrays of a row a group."""
+    x, y = np.sort(np.concatenate([x0, x1], 1), 1), np.sort(np.concatenate([y0, y1], 1), 1)
+    wide, tall = np.diff(x), np.diff(y)
+    held = np.zeros((2, len(side), wide.shape[1], tall.shape[1]), bool)
+    real = (x1 > x0) & (y1 > y0)
+    for k in range(side.shape[1]):
+        across = (x0[:, k, None] <= x[:, :-1]) & (x1[:, k, None] >= x[:, 1:]) & real[:, k, None]
+        down = (y0[:, k, None] <= y[:, :-1]) & (y1[:, k, None] >= y[:, 1:])
+        for s in (0, 1):
+            held[s] |= (across & (side[:, k, None] == s))[:, :, None] & down[:, None, :]
+    area = lambda cells: ((cells * tall[:, None, :]).sum(2) * wide).sum(1)
+    return np.stack([area(held[0]), area(held[1]), area(held[0] & held[1])], 1)
+
+
 def on_grid(low: Column, high: Column, cell: float) -> tuple[Column, Column]:
     """First cell of a stretch, and the one after its last; the cell that the end lies in is covered."""
     return F.floor(low / cell), F.floor(high / cell) + 1
@@ -46,10 +85,11 @@ def overlap_areas(boxes: DataFrame, keys: list[str], cell: float | None = 4.0) -
     (x0, x1), (y0, y1) = (on_grid(F.col(a), F.col(b), cell) if cell else (F.col(a), F.col(b)) for a, b in (("x0", "x1"), ("y0", "y1")))
     names = ["x0", "y0", "x1", "y1"]
     cells = boxes.select(*keys, "side", *[c.cast("double").alias(n) for n, c in zip(names, (x0, y0, x1, y1))]).dropna(subset=names)
-    listed = cells.groupBy(*keys).agg(*[F.collect_list(F.struct("side", *names)[n]).alias(n) for n in ["side", *names]])
+    listed = cells.groupBy(*keys).agg(F.collect_list(F.struct("side", *names)).alias("_boxes"))
+    listed = listed.select(*keys, *[F.col("_boxes")[n].alias(n) for n in ["side", *names]])
 
     def areas(side: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([swept(*v) for v in zip(side, x0, y0, x1, y1)], columns=["n_a", "n_b", "common"])
+        return pd.DataFrame(swept_many(*(v.tolist() for v in (side, x0, y0, x1, y1))), columns=["n_a", "n_b", "common"])
 
     kind = "bigint" if cell else "double"
     out = listed.select(*keys, F.pandas_udf(areas, "n_a double, n_b double, common double")("side", *names).alias("r"))

@@ -56,3 +56,17 @@ def test_localisation(spark):
     assert got == {"same": (2, 2, True, 1.0), "near": (1, 1, False, round(10 / 12, 6)), "pages": (2, 1, False, 0.5), "lost": (1, 0, False, 0.0), "absent": (0, 0, False, 0.0), "claimed": (0, 1, False, 0.0)}
     card = cards.node_card(areas.localisation(gold, pred, box, "doc"), []).first()
     assert (card.n_nodes, card.n_absent, card.n_absent_correct, card.n_missed, card.n_localized, card.n_exact) == (6, 2, 1, 1, 3, 1)
+
+
+def test_groups_covered_together_equal_the_sweep(monkeypatch):
+    rng = np.random.default_rng(6)
+    groups = []
+    for m in [0, 1, 2, 3, 5, 8, areas.FEW, areas.FEW + 1] * 20:
+        x, y = rng.integers(-4, 9, m).astype(float), rng.integers(-4, 9, m).astype(float)
+        groups.append((rng.integers(0, 2, m), x, y, x + rng.integers(-1, 5, m), y + rng.integers(-1, 5, m)))
+    groups.append((np.array([0, 1]), np.array([0.0, np.nan]), np.zeros(2), np.ones(2), np.ones(2)))
+    want = [areas.swept(*g) for g in groups]
+    one_by_one, calls = areas.swept, []
+    monkeypatch.setattr(areas, "swept", lambda *g: calls.append(len(g[0])) or one_by_one(*g))
+    assert areas.swept_many(*zip(*groups)).tolist() == [list(w) for w in want]
+    assert sorted(calls) == [2] + [areas.FEW + 1] * 20
