@@ -1,8 +1,10 @@
 """Links between labels and values against a walk over all pairs of a page."""
 
+import random
 import xml.etree.ElementTree as ET
 from collections import defaultdict
 
+import numpy as np
 from folioquery.operators import links
 from folioquery.plans import catalog
 from folioquery.plans.q_layout import _form
@@ -73,3 +75,28 @@ def test_small_page(spark):
     xml = {r.page: r.xml for r in links.fields_xml(links.fields(values, labels, headers, ["page"]), ["page"], "t").collect()}
     assert xml[1] == '<document source="t"><part_a role="header" label="Part A"><f_2nd_grade label="2nd Grade:">42</f_2nd_grade><name label="Name">a&lt;b</name></part_a><unkeyed>far</unkeyed></document>'
     assert links.fields(values.limit(0), labels, headers, ["page"]).count() == 0
+
+
+def test_pairs_are_made_where_boxes_lie(spark):
+    rng = random.Random(5)
+    box = lambda: (x := rng.randrange(300), y := rng.randrange(400), x + rng.randrange(-3, 60), y + rng.choice([-2, 0, 9, 12, 30, 300]))
+    make = lambda n: [(p, i, *map(float, box()), "") for p in (1, 2, None) for i in range(n)]
+    values, labels = make(150), make(130)
+    got = links.candidates(spark.createDataFrame(values, BOX), spark.createDataFrame(labels, BOX), ["page"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    want = []
+    for p, v, a0, b0, a1, b1, _ in values:
+        for r, q, c0, d0, c1, d1, _ in labels:
+            if p and p == r:
+                want += [(p, v, q, a0 - c1, "row")] * (share(b0, b1, d0, d1) > 0.5 and -2 <= a0 - c1 <= 250)
+                want += [(p, v, q, b0 - d1, "above")] * (share(a0, a1, c0, c1) > 0.3 and -2 <= b0 - d1 <= 40)
+    assert len(want) > 1000 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_pairs_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(links, "PAIRS", 7)
+    b = np.array([[0, 0, 10, 10]] * 30 + [[12, 1, 20, 11]] * 3, float)
+    kind = np.array([0] * 30 + [1] * 3)
+    got = [(v, q) for vs, qs, _, below in links._linked(np.zeros(33, int), kind, np.zeros(33, int), b) for v, q in zip(vs, qs) if not below]
+    assert sorted(got) == [(v, q) for v in (30, 31, 32) for q in range(30)]
