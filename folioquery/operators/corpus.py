@@ -1,10 +1,14 @@
 """Search, traces, themes and differences over a corpus."""
 
+import math
+from collections import Counter, defaultdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioquery.functions.vectors import dot
+from folioquery.operators.folds import walked
 
 
 def search(rows: DataFrame, query: Column, vector: str, key: str, top: int = 8, floor: float = 0.2) -> DataFrame:
@@ -49,25 +53,57 @@ def anchors(rows: DataFrame, by: list[str], order: str, partner: str) -> DataFra
     return rows.withColumn("anchor", F.last(partner, ignorenulls=True).over(before))
 
 
+def _shared(left: list[set], right: list[set], least: float) -> list[tuple[int, int, int]]:
+    """(i, j, words in common) of sets that share ``least`` of each one's words or more. Such sets share one of the
+    rarest words of either, of all but that share and one more, so only those are looked up."""
+    seen = Counter(w for ws in (*left, *right) for w in ws)
+    rare = lambda ws: sorted(ws, key=lambda w: (seen[w], w))[: len(ws) - math.ceil(least * len(ws)) + 1]
+    index, out = defaultdict(list), []
+    for j, ws in enumerate(right):
+        for w in rare(ws):
+            index[w].append(j)
+    for i, ws in enumerate(left):
+        n = len(ws)
+        for j in {j for w in rare(ws) for j in index.get(w, ())}:
+            m = len(right[j])
+            if min(n, m) >= least * max(n, m) and (c := len(ws & right[j])) >= least * max(n, m):
+                out.append((i, j, c))
+    return out
+
+
+def similar_passages(segs: DataFrame, pairs: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(a, b, i, j, score): passages of paired documents by common words over all words of the two, rounded to 4 places,
+    at ``threshold`` or more. segs: doc_id, seg, norm; pairs: a, b. A pair's passages are held while pairs stream by."""
+    kinds, least = dict(segs.dtypes), threshold - 0.0001
+    side = lambda n, c: pairs.select(F.col(c).alias("doc_id"), "a", "b", F.lit(n).alias("side"))
+    rows = segs.select("doc_id", "seg", "norm").join(side(0, "a").union(side(1, "b")), "doc_id").drop("doc_id")
+
+    def one(rows: list[dict]):
+        cut = next((k for k, r in enumerate(rows) if r["side"]), len(rows))
+        ws = [set(r["norm"].split(" ")) for r in rows]
+        return [(rows[0]["a"], rows[0]["b"], rows[i]["seg"], rows[cut + j]["seg"], c, len(ws[i]), len(ws[cut + j])) for i, j, c in _shared(ws[:cut], ws[cut:], least)]
+
+    found = walked(rows, ["a", "b"], ["side", "seg"], one, f"a {kinds['doc_id']}, b {kinds['doc_id']}, i {kinds['seg']}, j {kinds['seg']}, c long, n long, m long")
+    scored = found.withColumn("score", F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 4))
+    return scored.select("a", "b", "i", "j", "score").where(F.col("score") >= threshold)
+
+
 def greedy_pairs(scored: DataFrame, by: list[str], left: str, right: str, threshold: float = 0.6) -> DataFrame:
     """One-to-one pairs: best score first, then larger left and right. One group of ``by``
-    is walked in order; its candidates come from a join that has pruned them."""
-    import pandas as pd
-
+    is walked in order; its candidates come from a step that has pruned them."""
     kinds = dict(scored.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, left, right, "score"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(rows: list[dict]):
         used_a, used_b, out = set(), set(), []
-        for row in pdf.sort_values(["score", left, right], ascending=False).itertuples(index=False):
-            a, b = getattr(row, left), getattr(row, right)
-            if a not in used_a and b not in used_b:
-                used_a.add(a)
-                used_b.add(b)
-                out.append(row)
-        return pd.DataFrame(out, columns=pdf.columns)[[*by, left, right, "score"]]
-
-    return scored.where(F.col("score") >= threshold).groupBy(*by).applyInPandas(one, schema)
+        for r in sorted(rows, key=lambda r: (r["score"], r[left], r[right]), reverse=True):
+            if r[left] not in used_a and r[right] not in used_b:
+                used_a.add(r[left])
+                used_b.add(r[right])
+                out.append(tuple(r[c] for c in (*by, left, right, "score")))
+        return out
+
+    return walked(scored.where(F.col("score") >= threshold), by, [], one, schema)
 
 
 def cluster_terms(words: DataFrame, stop: list[str], top: int = 3) -> DataFrame:

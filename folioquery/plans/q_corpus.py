@@ -103,13 +103,8 @@ def doc_diff_counts(read):
 def doc_diff_greedy(read):
     """One-to-one passages of consecutive documents by common words, at 0.6 or more."""
     docs = read("documents")
-    segs = segments(docs).select("doc_id", "seg", F.array_distinct(F.split("norm", " ")).alias("ws"))
-    each = segs.select("doc_id", "seg", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    left = _pairs(docs).join(each.select(F.col("doc_id").alias("a"), F.col("seg").alias("i"), "n", "w"), "a")
-    right = each.select(F.col("doc_id").alias("b"), F.col("seg").alias("j"), F.col("n").alias("m"), "w")
-    common = left.join(right, ["b", "w"]).groupBy("a", "b", "i", "j").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
-    scored = common.withColumn("score", F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 4))
-    return corpus.greedy_pairs(scored.select("a", "b", "i", "j", "score"), ["a", "b"], "i", "j").groupBy("a", "b").agg(F.count("*").alias("matched"), F.round(F.avg("score"), 4).alias("mean_score"))
+    scored = corpus.similar_passages(segments(docs), _pairs(docs))
+    return corpus.greedy_pairs(scored, ["a", "b"], "i", "j").groupBy("a", "b").agg(F.count("*").alias("matched"), F.round(F.avg("score"), 4).alias("mean_score"))
 
 
 @query(
