@@ -1,8 +1,12 @@
 """Scores: pairs, confusion counts with a null class, areas, error rates."""
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioquery.operators.folds import walked
+
 
 def _ratio(a: Column, b: Column, places: int = 6) -> Column:
     """a / b rounded, null if b is 0."""
@@ -57,6 +61,19 @@ def multiset_prf(ref: DataFrame, hyp: DataFrame, key: str, word: str) -> DataFra
     return j.groupBy(key).agg(F.sum("n").alias("n_ref"), F.sum("m").alias("n_hyp"), common.alias("common"), _ratio(common, F.sum("n")).alias("recall"), _ratio(common, F.sum("m")).alias("prec"))
 
 
+def text_multiset_prf(ref: DataFrame, hyp: DataFrame, key: str, text: str) -> DataFrame:
+    """multiset_prf() of the words, parted by single blanks, of both sides' texts. A key's texts are held as they stream
+    by, so words are neither shuffled nor joined. Null texts have no words; keys without a word have no row."""
+    rows = ref.select(key, F.lit(0).alias("side"), F.col(text).alias("t")).union(hyp.select(key, F.lit(1), text)).where("t is not null")
+
+    def one(rows: list[dict]):
+        n, m = (Counter(w for r in rows if r["side"] == side for w in r["t"].split(" ")) for side in (0, 1))
+        return [(rows[0][key], n.total(), m.total(), (n & m).total())]
+
+    got = walked(rows, [key], [], one, f"{key} {dict(ref.dtypes)[key]}, n_ref long, n_hyp long, common long")
+    return got.select("*", _ratio(F.col("common"), F.col("n_ref")).alias("recall"), _ratio(F.col("common"), F.col("n_hyp")).alias("prec"))
+
+
 def left_out(ref: Column, hyp: Column) -> Column:
     """Whether hyp is ref with characters left out, none of them moved or new; false with a null."""
     import pandas as pd

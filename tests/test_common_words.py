@@ -2,7 +2,7 @@
 
 import random
 
-from folioquery.operators import corpus
+from folioquery.operators import corpus, metrics
 
 
 def test_similar_passages_equal_all_pairs(spark):
@@ -22,3 +22,12 @@ def test_similar_passages_equal_all_pairs(spark):
                     want.add((a, a + 1, i, j, score))
     found = [tuple(r) for r in got.collect()]
     assert len(found) == len(want) > 30 and set(found) == want
+
+
+def test_words_of_texts_are_counted_where_they_are(spark):
+    ref = spark.createDataFrame([(1, "a a"), (1, "b"), (2, "c"), (3, None)], "d long, t string")
+    hyp = spark.createDataFrame([(1, "a"), (1, "c"), (4, "d d"), (3, None)], "d long, t string")
+    got = metrics.text_multiset_prf(ref, hyp, "d", "t")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    assert {tuple(r) for r in got.collect()} == {(1, 3, 2, 1, 0.333333, 0.5), (2, 1, 0, 0, 0.0, None), (4, 0, 2, 0, None, 0.0)}
