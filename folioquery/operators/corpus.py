@@ -53,6 +53,22 @@ def anchors(rows: DataFrame, by: list[str], order: str, partner: str) -> DataFra
     return rows.withColumn("anchor", F.last(partner, ignorenulls=True).over(before))
 
 
+def removed(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, seg, anchor): the lines of a that b hasn't, with their place in a; anchor is the partner of the nearest
+    line before that b has, which is the first equal line of b, or null.
+
+    lines: doc_id, marks, an array with a value for each line that equal lines share, null for what doesn't count;
+    pairs: a, b. The marks of a document are dealt once for each of its pairs, and a pair's rows are made where they meet.
+    """
+    side = lambda n, c: F.struct(F.col(c).alias("doc_id"), F.lit(n).alias("side"))
+    sides = pairs.select("a", "b", F.explode(F.array(side(0, "a"), side(1, "b"))).alias("s")).select("a", "b", "s.*")
+    met = lines.select("doc_id", "marks").join(sides, "doc_id").select("a", "b", "side", "marks").repartition("a", "b")
+    rows = met.select("a", "b", "side", F.posexplode_outer("marks").alias("seg", "mark")).where("mark is not null")
+    first = F.min(F.when(F.col("side") == 1, F.col("seg"))).over(W.partitionBy("a", "b", "mark"))
+    rows = rows.select("a", "b", "side", F.col("seg").cast("long").alias("seg"), first.cast("long").alias("partner")).where("side = 0")
+    return anchors(rows, ["a", "b"], "seg", "partner").where("partner is null").select("a", "b", "seg", "anchor")
+
+
 def _shared(left: list[set], right: list[set], least: float) -> list[tuple[int, int, int]]:
     """(i, j, words in common) of sets that share ``least`` of each one's words or more. Such sets share one of the
     rarest words of either, of all but that share and one more, so only those are looked up."""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from folioquery.functions.vectors import dot
 from folioquery.operators import align, corpus
-from folioquery.plans.model import SEGMENTS_SQL, segments
+from folioquery.plans.model import SEGMENTS_SQL, lines, segments
 from folioquery.plans.registry import query
 
 SCORED_SQL = """q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
@@ -117,10 +117,8 @@ SELECT a, b, seg, anchor FROM x WHERE partner IS NULL""",
 def diff_anchor_last_match(read):
     """Where a removed passage stood: the partner of the last matched one before it."""
     docs = read("documents")
-    segs = segments(docs)
-    first = segs.groupBy(F.col("doc_id").alias("b"), "norm").agg(F.min("seg").alias("partner"))
-    rows = _pairs(docs).join(segs.select(F.col("doc_id").alias("a"), "seg", "norm"), "a").join(first, ["b", "norm"], "left")
-    return corpus.anchors(rows, ["a", "b"], "seg", "partner").where("partner is null").select("a", "b", "seg", "anchor")
+    mark = F.transform("norms", lambda n: F.when(n != "", F.unhex(F.sha2(n, 256))))  # what is dealt for a passage
+    return corpus.removed(lines(docs).select("doc_id", mark.alias("marks")), _pairs(docs))
 
 
 @query(
