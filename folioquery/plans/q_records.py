@@ -62,7 +62,8 @@ SELECT doc_id, grounded_by, start, stop, CASE WHEN start IS NOT NULL THEN substr
 )
 def grounded_spans(read):
     """Quotes of each document's second line, written with other marks, and their spans in the document."""
-    d = read("documents").select("doc_id", F.col("text").alias("document"), F.split_part("text", F.lit("\n"), F.lit(2)).alias("line"))
+    d = read("documents").select("doc_id", "text").repartition("doc_id")  # dealt anew, as one file can be one task
+    d = d.select("doc_id", F.col("text").alias("document"), F.split_part("text", F.lit("\n"), F.lit(2)).alias("line"))
     quoted = lambda a, c, b: F.concat(F.lit(a), c, F.lit(b))
     value = F.when(F.col("doc_id") % 7 == 0, "no such value").when(F.col("doc_id") % 3 == 0, quoted("(", F.left("document", F.lit(9)), ")")).otherwise(quoted("`", F.right("line", F.lit(9)), "`"))
     rows = d.select("doc_id", "document", quoted("**", F.replace("line", F.lit(" "), F.lit(" - ")), "**").alias("evidence"), value.alias("value"))

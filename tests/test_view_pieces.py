@@ -4,6 +4,7 @@ import random
 
 from folioquery.functions import views
 from folioquery.operators import records
+from folioquery.plans import catalog
 from pyspark.sql import functions as F
 from test_views import BITS, plain_ground, plain_view
 
@@ -41,3 +42,9 @@ def test_grounding_of_long_texts_equals_plain_version(spark):
     df = spark.createDataFrame(rows, "i int, value string, evidence string, document string")
     got = {r.i: (r.grounded_by, r.start, r.stop, r.said) for r in records.ground(df, "value", "evidence", "document").collect()}
     assert got == {i: plain_ground(v, e, t) for i, v, e, t in rows}
+
+
+def test_documents_of_one_file_are_dealt(spark):
+    df = catalog.queries()["grounded_spans"](spark, "/root/testdata/sf0.001")
+    top, dealt, _ = df._jdf.queryExecution().optimizedPlan().toString().partition("RepartitionByExpression [doc_id")
+    assert dealt and "regexp_extract_all" in top and df.count() == 200
