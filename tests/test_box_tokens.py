@@ -23,7 +23,8 @@ def test_smallest_box_equals_all_pairs():
 def test_box_votes_makes_no_rows_of_tokens(spark, tmp_path):
     # a document of many passages: their product with its tokens is 900 million pairs
     texts = ["w\n" * 30_000, "one two\n\n--\nthree", "", "\n", None, "x" * 1_200 + " y\nz"]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(d, t, "en", "src0") for d, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     df = catalog.queries()["box_votes"](spark, str(tmp_path))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan

@@ -13,7 +13,7 @@ def test_plain_text_has_few_pieces(spark):
     t = "one - two **three** " * 500
     df = spark.createDataFrame([(t,), (t + "\\le\\",), (None,)], "t string").select("t", views.pieces(F.col("t")).alias("p"))
     got = df.select(F.size("p").alias("n"), F.array_join("p.source", "").alias("back"), "t").collect()
-    assert [r.n for r in got] == [(n := -(-len(t) // views.STRETCH)), n + 2, 0]
+    assert [r.n for r in got] == [(n := -(-len(t) // 64)), n + 2, 0]
     assert all(r.back == (r.t or "") for r in got)
 
 
