@@ -195,37 +195,46 @@ def coverage(segs: DataFrame, aligned: DataFrame, by: str) -> DataFrame:
 _first = itemgetter(0, 1)
 
 
-def best_monotone(boxes: list[tuple[int, list[tuple[int, int, int, int]]]], ratio: float) -> tuple[int, list[tuple[int, int]]]:
-    """(gain, [(box, seg)]) for boxes in reading order with candidates (seg, box size, passage
-    size, gain): passages never go back, and one takes at most ``ratio`` times its size.
-
-    A passage's boxes are one run, so for each passage it is enough to keep the best gain by
-    characters used (more use only for more gain), and before a box the best of all earlier
-    passages, which a tree of maxima over the passages gives.
-    """
+def _monotone(boxes: list, ratio: float, few: int | None, need: int) -> tuple[int, list[tuple[int, int]]]:
+    """best_monotone(), knowing that ``need`` can be gained: what can't come to that much with the best candidates of all
+    boxes to come is left out. With ``few`` only so many uses of a passage are kept, which gives some gain, not the best."""
     order = sorted({c[0] for _, cs in boxes for c in cs})
-    at = {s: i for i, s in enumerate(order)}
+    at, n = {s: i for i, s in enumerate(order)}, len(order)
     front: list[list[tuple[int, int, tuple | None]]] = [[] for _ in order]  # (used, -gain, chain)
-    tree: list[tuple[int, int, tuple | None]] = [(0, 0, None)] * (len(order) + 1)  # (-gain, passage, chain), as gains only grow
+    tree: list[tuple[int, int, tuple | None]] = [(0, 0, None)] * (n + 1)  # (-gain, passage, chain), as gains only grow
+    most = sum(max((c[3] for c in cs), default=0) for _, cs in boxes) - need  # -gain of a state may be up to this
     for box, cands in boxes:
         new = []
+        most -= max((c[3] for c in cands), default=0)
         for seg, size, room, gain in cands:
             i, cap = at[seg], int(ratio * room)
             if size <= cap:
-                best, k = tree[0], i
+                (g, s, chain), k = tree[0], i
                 while k:
-                    best, k = min(best, tree[k], key=_first), k & (k - 1)
-                more = [(u + size, g - gain, (c, box, seg)) for u, g, c in front[i] if u + size <= cap]
-                new.append((i, [(size, best[0] - gain, (best[2], box, seg)), *more]))
+                    t, k = tree[k], k & (k - 1)
+                    if t[0] < g or t[0] == g and t[1] < s:
+                        g, s, chain = t
+                more = [(size, g - gain, (chain, box, seg))] if g - gain <= most else []
+                if front[i]:
+                    more += [(u + size, g - gain, (c, box, seg)) for u, g, c in front[i] if u + size <= cap and g - gain <= most]
+                if more:
+                    new.append((i, more))
         for i, more in new:
-            kept, least = [], 1
-            for state in sorted(front[i] + more, key=_first):
+            kept, least, was = [], 1, front[i]
+            for state in sorted([x for x in was if x[1] <= most] + more, key=_first) if was else more:
                 if state[1] < least:
                     kept.append(state)
                     least = state[1]
+            if few and len(kept) > few:
+                kept = kept[-few:]
             front[i], best, k = kept, (least, i, kept[-1][2]), i + 1
-            while k <= len(order):
-                tree[k], k = min(best, tree[k], key=_first), k + (k & -k)
+            if was and was[-1] is kept[-1]:
+                continue
+            while k <= n:
+                t = tree[k]
+                if t[0] < least or t[0] == least and t[1] < i:
+                    break  # so it is in all wider ones
+                tree[k], k = best, k + (k & -k)
     gain, chain = min([(f[-1][1], f[-1][2]) for f in front if f] + [(0, None)], key=lambda x: x[0])
     out = []
     while chain:
@@ -234,23 +243,43 @@ def best_monotone(boxes: list[tuple[int, list[tuple[int, int, int, int]]]], rati
     return -gain, out[::-1]
 
 
-def monotone_assignment(scored: DataFrame, threshold: float = 0.5, ratio: float = 2.0, top: int = 12) -> DataFrame:
-    """(doc_id, box, seg): owners of largest total gain under best_monotone()'s limits.
+#: From so many candidates on, some gain is sought first, see _monotone().
+SOUGHT = 200
+
+
+def best_monotone(boxes: list[tuple[int, list[tuple[int, int, int, int]]]], ratio: float) -> tuple[int, list[tuple[int, int]]]:
+    """(gain, [(box, seg)]) for boxes in reading order with candidates (seg, box size, passage
+    size, gain): passages never go back, and one takes at most ``ratio`` times its size.
+
+    A passage's boxes are one run, so for each passage it is enough to keep the best gain by
+    characters used (more use only for more gain), and before a box the best of all earlier
+    passages, which a tree of maxima over the passages gives. A gain that is reached anyway, found first,
+    rules out what lies too far behind it; no candidate and no state that can be best is left out.
+    """
+    need = _monotone(boxes, ratio, 2, 0)[0] if sum(len(cs) for _, cs in boxes) >= SOUGHT else 0
+    return _monotone(boxes, ratio, None, need)
+
+
+def monotone_owners(boxes: list[tuple[int, int, list[tuple[int, int, float]]]], threshold: float = 0.5, ratio: float = 2.0) -> list[tuple[int, int]]:
+    """(box, seg) by best_monotone(), all candidates counted. boxes, in reading order: (box, size, [(seg, passage size, score)]).
+    A pair's gain is its score over the threshold in ten-thousandths, plus one so that a pair at the threshold is better than none."""
+    return best_monotone([(b, [(s, size, room, int(round((score - threshold) * 10_000)) + 1) for s, room, score in cs]) for b, size, cs in boxes], ratio)[1]
+
+
+def monotone_assignment(scored: DataFrame, threshold: float = 0.5, ratio: float = 2.0) -> DataFrame:
+    """(doc_id, box, seg): owners of largest total gain, see monotone_owners(), over all pairs at or over the threshold.
 
-    scored: doc_id, seg, seg_chars, box, box_chars, score. Each box brings its ``top``
-    candidates; a pair's gain is its score over the threshold in ten-thousandths, plus one so that
-    a pair at the threshold is better than none.
+    scored: doc_id, seg, seg_chars, box, box_chars, score. A document's pairs are one group.
     """
-    order = W.partitionBy("doc_id", "box").orderBy(F.desc("score"), "seg")
-    best = scored.where(F.col("score") >= threshold).withColumn("r", F.row_number().over(order)).where(F.col("r") <= top)
 
     def one(rows: list[dict]):
         boxes: dict = {}
         for r in rows:
-            boxes.setdefault(r["box"], []).append((r["seg"], r["box_chars"], r["seg_chars"], int(round((r["score"] - threshold) * 10_000)) + 1))
-        return [(rows[0]["doc_id"], b, s) for b, s in best_monotone(list(boxes.items()), ratio)[1]]
+            boxes.setdefault(r["box"], (r["box"], r["box_chars"], []))[2].append((r["seg"], r["seg_chars"], r["score"]))
+        return [(rows[0]["doc_id"], b, s) for b, s in monotone_owners(list(boxes.values()), threshold, ratio)]
 
-    return walked(best.drop("r"), ["doc_id"], ["box", "seg"], one, "doc_id long, box long, seg long")
+    best = scored.where(F.col("score") >= threshold).select("doc_id", "seg", "seg_chars", "box", "box_chars", "score")
+    return walked(best, ["doc_id"], ["box", "seg"], one, "doc_id long, box long, seg long")
 
 
 def closure(edges: DataFrame, levels: int = 100) -> DataFrame:
