@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from folioquery.operators import align, placement, stream
 from folioquery.plans import catalog
 from folioquery.plans.model import boxes, page_walk, segments
@@ -18,6 +19,10 @@ def no_rows_of_words(spark, name):
     assert "Join" not in text and "Window" not in text and "Generate" not in text and text.count("MapInArrow") == 1
 
 
+def test_owners_of_streams_make_no_rows_of_words(spark):
+    no_rows_of_words(spark, "stream_align_owner")
+
+
 def test_assignment_makes_no_rows_of_words(spark):
     no_rows_of_words(spark, "monotone_assignment")
 
@@ -35,6 +40,37 @@ def test_walk_has_the_passages_and_boxes_of_the_tables(spark):
     assert sorted((tuple(r) for r in got if r.b is not None), key=str) == want_page
 
 
+def plain_runs(a, b, i=0, j=0):
+    n, _, _, p, q = max(((n, -p, -q, p, q) for p in range(len(a)) for q in range(len(b)) for n in [next((k for k in range(min(len(a) - p, len(b) - q)) if a[p + k] != b[q + k]), min(len(a) - p, len(b) - q))] if n), default=(0,) * 5)
+    return plain_runs(a[:p], b[:q], i, j) + [(i + p, j + q, n)] + plain_runs(a[p + n :], b[q + n :], i + p + n, j + q + n) if n else []
+
+
+@pytest.mark.parametrize(("small", "pieces", "met", "few"), [(200, (16, 48), 32, 64), (0, (2, 5), 32, 64), (0, (3,), 1000, 0), (0, (2, 4), 1, 3)])
+def test_runs_by_pieces_equal_the_plain_rule(monkeypatch, small, pieces, met, few):
+    for name, value in (("SMALL", small), ("PIECES", pieces), ("MET", met), ("FEW", few)):
+        monkeypatch.setattr(stream, name, value)
+    random.seed(8)
+    for k in range(60):
+        a = "".join(random.choices("ab c" if k % 2 else "é😀x", k=random.randrange(40)))
+        b = "".join(c for c in a if random.random() < 0.85) if k % 3 else "".join(random.choices("abc ", k=30))
+        want = []
+        for i, j, n in plain_runs(a, b):
+            if want and want[-1][0] + want[-1][2] == i and want[-1][1] + want[-1][2] == j:
+                i, j, n = want[-1][0], want[-1][1], want.pop()[2] + n
+            want.append((i, j, n))
+        assert stream.common_runs(a, b) == want
+
+
+def test_long_texts_are_not_searched_place_by_place(monkeypatch):
+    searched, whole = [], stream.longest_run
+    monkeypatch.setattr(stream, "longest_run", lambda a, a0, a1, b, b0, b1, bound: searched.append(a1 - a0) or whole(a, a0, a1, b, b0, b1, bound))
+    random.seed(9)
+    words = ["".join(random.choices("abcdefgh", k=random.randrange(2, 9))) for _ in range(3000)]
+    a, b = " ".join(words), " ".join(w for i, w in enumerate(words) if i % 10)
+    runs = stream.common_runs(a, b)
+    assert sum(n for *_, n in runs) > 0.95 * len(b) and sum(searched) < len(a)
+
+
 def test_assignment_has_all_candidates(spark):
     """The second box fits twelve passages better, but they lie before the first box's only one."""
     rows = [(1, 20, 50, 1, 40, 1.0), (1, 21, 50, 2, 40, 0.6)] + [(1, s, 50, 2, 40, 0.9) for s in range(12)]
