@@ -23,6 +23,10 @@ def test_owners_of_streams_make_no_rows_of_words(spark):
     no_rows_of_words(spark, "stream_align_owner")
 
 
+def test_coverage_makes_no_rows_of_words(spark):
+    no_rows_of_words(spark, "stream_coverage")
+
+
 def test_assignment_makes_no_rows_of_words(spark):
     no_rows_of_words(spark, "monotone_assignment")
 
