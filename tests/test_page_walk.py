@@ -27,6 +27,10 @@ def test_coverage_makes_no_rows_of_words(spark):
     no_rows_of_words(spark, "stream_coverage")
 
 
+def test_words_of_boxes_make_no_rows_of_words(spark):
+    no_rows_of_words(spark, "word_boxes")
+
+
 def test_assignment_makes_no_rows_of_words(spark):
     no_rows_of_words(spark, "monotone_assignment")
 
@@ -75,6 +79,12 @@ def test_long_texts_are_not_searched_place_by_place(monkeypatch):
     assert sum(n for *_, n in runs) > 0.95 * len(b) and sum(searched) < len(a)
 
 
+def test_spans_of_many_boxes():
+    pieces = [(0, 0, 0, 0, 5), (0, 6, 1, 0, 4), (0, 10, 2, 0, 3), (2, 0, 2, 3, 9)]
+    spans = [(0, 0, 5), (0, 5, 6), (0, 6, 12), (1, 0, 4), (2, 0, 3), (2, 8, 12)]
+    assert stream.span_counts(pieces, spans) == [1, 0, 2, 0, 1, 1]
+
+
 def test_assignment_has_all_candidates(spark):
     """The second box fits twelve passages better, but they lie before the first box's only one."""
     rows = [(1, 20, 50, 1, 40, 1.0), (1, 21, 50, 2, 40, 0.6)] + [(1, s, 50, 2, 40, 0.9) for s in range(12)]
