@@ -31,6 +31,10 @@ def test_words_of_boxes_make_no_rows_of_words(spark):
     no_rows_of_words(spark, "word_boxes")
 
 
+def test_placement_makes_no_rows_of_words(spark):
+    no_rows_of_words(spark, "passage_placement")
+
+
 def test_assignment_makes_no_rows_of_words(spark):
     no_rows_of_words(spark, "monotone_assignment")
 
@@ -104,3 +108,11 @@ def test_bounded_assignment_equals_the_whole_search(monkeypatch):
         got = align.best_monotone(rows, 2.0)
         monkeypatch.setattr(align, "SOUGHT", 10_000)
         assert got == align.best_monotone(rows, 2.0)
+
+
+def test_windows_that_cannot_be_better_are_not_compared(monkeypatch):
+    """After a window with all of a text's characters no other is looked at."""
+    compared, whole = [], placement.common_runs
+    monkeypatch.setattr(placement, "common_runs", lambda a, b: compared.append(1) or whole(a, b))
+    assert placement.best_window("zebra of zebu " * 30, "zebra zebu") == (0, 13, 1.0)
+    assert len(compared) == 1
