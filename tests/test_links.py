@@ -100,3 +100,30 @@ def test_pairs_come_in_parts(spark, monkeypatch):
     kind = np.array([0] * 30 + [1] * 3)
     got = [(v, q) for vs, qs, _, below in links._linked(np.zeros(33, int), kind, np.zeros(33, int), b) for v, q in zip(vs, qs) if not below]
     assert sorted(got) == [(v, q) for v in (30, 31, 32) for q in range(30)]
+
+
+def test_links_without_pairs_equal_those_of_all_pairs(spark, monkeypatch):
+    """No row a pair; few pairs at once, one gap of very many pairs, gaps that lie close together."""
+    random.seed(12)
+    rows = []
+    for p in range(30):
+        step = random.choice([1, 10, 0.3])
+        for i in range(60):
+            x, y = random.randrange(40) * step, random.randrange(30 if p % 3 else 2) * step
+            rows.append((p, i, i % 2, float(x), float(y), x + random.choice([4.0, 9.5]), y + random.choice([6.0, 8.0])))
+    df = spark.createDataFrame(rows, "page int, id long, kind int, x0 double, y0 double, x1 double, y1 double").repartition(3)
+    values, labels = (df.where(f"kind = {k}").drop("kind") for k in (1, 0))
+    want = sorted(map(tuple, links.one_to_one(links.candidates(values, labels, ["page"]), ["page"]).collect()))
+    assert len(want) > 300 and sorted(map(tuple, links.nearest(values, labels, ["page"]).collect())) == want
+    for most in (30, 3):
+        monkeypatch.setattr(links, "MOST", most)
+        got = []
+        for p in range(6):
+            v, q = (np.array([r[1:2] + r[3:] for r in rows if r[0] == p and r[2] == k]) for k in (1, 0))
+            got += [(p, int(v[x, 0]), int(q[y, 0])) for x, y in links._nearest(v[:, 0], v[:, 1:].T, q[:, 0], q[:, 1:].T)]
+        assert sorted(got) == [r for r in want if r[0] < 6]
+
+
+def test_fields_make_no_row_a_pair(spark):
+    plan = catalog.queries()["form_fields_xml"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "_band" not in plan and "gap" not in plan
